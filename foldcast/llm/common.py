@@ -59,3 +59,15 @@ def any_of(columns: Sequence[Column]) -> Column:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)).cast("int")
+
+
+#: Rows of a table of ids or hashes that may be broadcast: some tens of MB at most.
+BROADCAST_IDS = 1_000_000
+
+
+def bounded(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (few narrow columns, cheap to count), broadcast if it is counted to be small.
+
+    A larger table is joined by shuffle.
+    """
+    return F.broadcast(ids) if ids.count() <= most else ids

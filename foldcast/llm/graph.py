@@ -1,12 +1,17 @@
-"""Connected components of a large edge table."""
+"""Connected components of large edge tables and of similarity joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldcast.llm.common import staged
 
+#: Gives a member's column by name.
+Side = Callable[[str], Column]
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """Label each node that has an edge with the smallest node of its component.
@@ -43,3 +48,44 @@ def _small_star(e: DataFrame) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
     hung = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge: Callable[[DataFrame], DataFrame], pivot_rounds: int = 2) -> DataFrame:
+    """Components of a similarity join that is given by lists of members.
+
+    ``lists`` has key, id, indexed and what ``can_link`` reads. Two members of a key may link
+    if one of them at least is indexed and ``can_link`` holds; ``judge`` takes distinct pairs
+    (a, b) and returns them with a boolean ``linked``. Members first meet one pivot of
+    their list; all other pairs are judged afterwards, but for those whose two members are
+    already known to be connected. So components are exact, while a list of copies costs about
+    its length.
+
+    Returns (node, component) for nodes with links.
+    """
+    tried = links = labels = None
+    for k in range(pivot_rounds + 1):
+        now = lists.withColumn("component", F.col("id")) if labels is None else lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        pairs = _pivot_pairs(now, can_link, k) if k < pivot_rounds else _other_pairs(now, can_link)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        judged = staged(judge(staged(pairs, "pairs")), "judged")
+        tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
+        found = judged.where("linked").select("a", "b")
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    return labels
+
+
+def _pivot_pairs(lists: DataFrame, can_link: Callable[[Side, Side], Column], k: int) -> DataFrame:
+    rest = [c for c in lists.columns if c not in ("key", "id")]
+    pivots = lists.where("indexed").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", *rest)).alias("p"))
+    met = lists.join(pivots, "key").where((F.col("component") != F.col("p.component")) & can_link(F.col, lambda c: F.col(f"p.{c}")))
+    return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+
+
+def _other_pairs(lists: DataFrame, can_link: Callable[[Side, Side], Column]) -> DataFrame:
+    open_ = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("indexed").alias("x")).where("lo <> hi and x").select("key")
+    left = lists.join(open_, "key", "left_semi")
+    right = left.select(*(F.col(c).alias(f"{c}_") for c in left.columns))
+    once = (F.col("id") < F.col("id_")) | ~F.col("indexed_")
+    met = left.where("indexed").join(right, (F.col("key") == F.col("key_")) & once & (F.col("component") != F.col("component_")) & can_link(F.col, lambda c: F.col(f"{c}_")))
+    return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()

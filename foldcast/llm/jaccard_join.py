@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldcast.llm import graph, textkit
-from foldcast.llm.common import short_batches, staged, table
+from foldcast.llm.common import bounded, short_batches, staged, table
 
 #: log2 of the sketch's counters, and counters in a block of it.
 SKETCH_BITS, BLOCK = 22, 1 << 16
@@ -207,39 +207,13 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     entries = chosen.select(F.col("doc_id").alias("id"), F.col("n"), F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("i"))).alias("key", "i"))
     entries = entries.withColumn("indexed", (F.col("i") < 0) | (F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(100 + percent))))
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("x")).where("lo <> hi and x").select("key")
-    live = staged(entries.join(shared, "key", "left_semi"), "lists")
-    sets = staged(_sets_of(docs, live.select("id").distinct(), size), "sets")
-    labels, tried, links = None, None, None
-    for k in range(PIVOT_ROUNDS + 1):
-        now = live.withColumn("component", F.col("id")) if labels is None else live.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = _pivot_pairs(now, percent, k) if k < PIVOT_ROUNDS else _other_pairs(now, percent)
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        judged = staged(_judge(pairs, sets, percent), "judged")
-        tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
-        found = judged.where("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        labels = graph.components(links)
+    live = staged(entries.join(bounded(staged(shared, "keys")), "key", "left_semi"), "lists")
+    labels = graph.link_lists(live, lambda x, y: _can_link(x("n"), x("i"), y("n"), y("i"), percent), lambda pairs: _judge(pairs, docs, size, percent), PIVOT_ROUNDS)
     known = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(known, ["s1", "s2"], "left")
     return out.select("doc_id", "n_shingles", "s1", "s2", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _pivot_pairs(lists: DataFrame, percent: int, k: int) -> DataFrame:
-    pivots = lists.where("indexed").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), F.col("id"), F.col("n"), F.col("i"), F.col("component"))).alias("p"))
-    met = lists.join(pivots, "key").where((F.col("component") != F.col("p.component")) & _can_link(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"), percent))
-    return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).where("a <> b").distinct()
-
-
-def _other_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list that can link and are in different components, on lists that have any."""
-    open_ = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = lists.join(open_, "key", "left_semi")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "i", "component", "indexed")))
-    ahead = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & ((F.col("id") < F.col("id2")) | ~F.col("indexed2")))
-    met = left.where("indexed").join(right, (left["key"] == right["key"]) & ahead & (F.col("component") != F.col("component2")) & _can_link(F.col("n"), F.col("i"), F.col("n2"), F.col("i2"), percent))
-    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-
-
 def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,14 +221,16 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made or [np.zeros(0, np.int64)])))], ["id", "shingles"])
 
-    return docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(make, "id long, shingles array<long>")
+    return docs.join(bounded(ids), "doc_id", "left_semi").mapInArrow(make, "id long, shingles array<long>")
 
 
-def _judge(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact verification of candidate pairs."""
+def _judge(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Exact verification of candidate pairs: only their texts are read into sets again."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = staged(_sets_of(docs, staged(ids, "ids"), size), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).alias("linked"))
+    return both.groupBy("a", "b").agg(F.max(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).alias("linked"))
 
 
 def one_per_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from foldcast.llm import jaccard_join
+from foldcast.llm import chat, decontaminate, jaccard_join, language_id, packing, quality, topk, warc
 
 
 def queries() -> dict:
-    return {"op1_jaccard_join": jaccard_join.query}
+    return {
+        "op1_jaccard_join": jaccard_join.query,
+        "op2_chat_format": chat.query,
+        "op3_language_id": language_id.query,
+        "op5_quality_ranking": quality.query,
+        "op7_packing": packing.query,
+        "op8_top_k": topk.query,
+        "op9_decontamination": decontaminate.query,
+        "op10_warc_revisits": warc.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat.SQL, "op8_top_k": topk.SQL, "op10_warc_revisits": warc.SQL}
