@@ -50,7 +50,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge: Callable[[DataFrame], DataFrame], pivot_rounds: int = 2) -> DataFrame:
+def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge: Callable[[DataFrame], DataFrame], pivot_rounds: int = 3) -> DataFrame:
     """Components of a similarity join that is given by lists of members.
 
     ``lists`` has key, id, indexed and what ``can_link`` reads. Two members of a key may link
@@ -77,7 +77,9 @@ def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge
 
 def _pivot_pairs(lists: DataFrame, can_link: Callable[[Side, Side], Column], k: int) -> DataFrame:
     rest = [c for c in lists.columns if c not in ("key", "id")]
-    pivots = lists.where("indexed").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", *rest)).alias("p"))
+    # one order for all lists first, so that few pairs are judged; then one for each list, should the first pivots be odd ones
+    turn = F.xxhash64("id") if k == 0 else F.xxhash64(F.lit(k), "id", "key")
+    pivots = lists.where("indexed").groupBy("key").agg(F.min(F.struct(turn.alias("h"), "id", *rest)).alias("p"))
     met = lists.join(pivots, "key").where((F.col("component") != F.col("p.component")) & can_link(F.col, lambda c: F.col(f"p.{c}")))
     return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 

@@ -42,8 +42,6 @@ SKETCH_BITS, BLOCK = 22, 1 << 16
 LIGHT_MOST = 29
 #: What scanning one heavy entry's list costs against probing one subset.
 LIST_COST = 8.0
-#: Rounds in which list members are compared with a pivot, before all the rest.
-PIVOT_ROUNDS = 2
 
 
 def _least_overlap(n: int, m: int, percent: int) -> int:
@@ -208,7 +206,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     entries = entries.withColumn("indexed", (F.col("i") < 0) | (F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(100 + percent))))
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("x")).where("lo <> hi and x").select("key")
     live = staged(entries.join(bounded(staged(shared, "keys")), "key", "left_semi"), "lists")
-    labels = graph.link_lists(live, lambda x, y: _can_link(x("n"), x("i"), y("n"), y("i"), percent), lambda pairs: _judge(pairs, docs, size, percent), PIVOT_ROUNDS)
+    labels = graph.link_lists(live, lambda x, y: _can_link(x("n"), x("i"), y("n"), y("i"), percent), lambda pairs: _judge(pairs, docs, size, percent))
     known = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(known, ["s1", "s2"], "left")
     return out.select("doc_id", "n_shingles", "s1", "s2", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from foldcast.llm import chat, decontaminate, jaccard_join, language_id, packing, quality, topk, warc
+import corpus_pipeline
+from foldcast.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, lm_score, packing, quality, topk, warc
 
 
 def queries() -> dict:
@@ -10,11 +11,14 @@ def queries() -> dict:
         "op1_jaccard_join": jaccard_join.query,
         "op2_chat_format": chat.query,
         "op3_language_id": language_id.query,
+        "op4_line_dedup": line_dedup.query,
         "op5_quality_ranking": quality.query,
+        "op6_lm_score": lm_score.query,
         "op7_packing": packing.query,
         "op8_top_k": topk.query,
         "op9_decontamination": decontaminate.query,
         "op10_warc_revisits": warc.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
