@@ -9,7 +9,6 @@ number of bins grows with the input, never their size.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,13 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldcast.llm.common import short_batches, staged, table
+from foldcast.llm.wordpieces import WordPieces
 
 LENGTH = 4096
 END_ID = 2
 #: Pieces that are packed together. More fill the windows no better.
 BIN_PIECES = 20_000
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -36,30 +34,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds:
-    """Token ids of texts by way of a bounded memory of words.
-
-    The vocabulary's tokens never span a space, so a text's ids are its words' ids in turn.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list({w for ws in split for w in ws})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in split]
+def token_ids(texts: list[str], pieces: WordPieces) -> list[np.ndarray]:
+    """Ids of whole texts. The vocabulary's tokens never span a space, so these are its words' ids in turn."""
+    split = [t.replace("\n", " ").split(" ") for t in texts]
+    known = pieces.learn(set().union(*split))
+    return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in split]
 
 
 def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -71,10 +50,10 @@ def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     short_batches(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        known = WordPieces.of(path)
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
-            for doc, x in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+            for doc, x in zip(batch.column(0).to_pylist(), token_ids([t or "" for t in batch.column(1).to_pylist()], known)):
                 raw, n = x.tobytes() + np.uint32(end_id).astype("<u4").tobytes(), len(x) + 1
                 for at in range(0, n, length):
                     part = raw[4 * at : 4 * (at + length)]
