@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from foldcast.llm import graph, textkit
 from foldcast.llm.common import bounded, short_batches, staged, table
 
+#: Columns of the odd hash buckets.
+ODD = ("p1", "p2", "p3", "p4")
 #: log2 of the sketch's counters, and counters in a block of it.
 SKETCH_BITS, BLOCK = 22, 1 << 16
 #: Sizes that may be light at most.
@@ -138,8 +140,8 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 def signatures(docs: DataFrame, size: int, percent: int, weights: np.ndarray, boundary: int) -> DataFrame:
     """Per text: set size, a 128-bit hash of the set, and the list entries of the set.
 
-    Columns: doc_id, n, s1, s2, p1, p2 (which of 128 hash buckets hold an odd number of the set's
-    members), keys array<long>, places array<int> (-1: a light entry).
+    Columns: doc_id, n, s1, s2, p1 to p4 (which of 256 hash buckets hold an odd number of the
+    set's members), keys array<long>, places array<int> (-1: a light entry).
     """
     order = docs.sparkSession.sparkContext.broadcast(weights)
     top = np.uint64(64 - SKETCH_BITS)
@@ -154,7 +156,7 @@ def signatures(docs: DataFrame, size: int, percent: int, weights: np.ndarray, bo
                 with np.errstate(over="ignore"):
                     s1.append(textkit.mix(u, 1).sum(dtype=np.uint64).view(np.int64))
                     s2.append(textkit.mix(u, 2).sum(dtype=np.uint64).view(np.int64))
-                odd.append(np.packbits(np.bincount((textkit.mix(u, 7) >> np.uint64(57)).astype(np.int64), minlength=128) & 1).view(np.int64))
+                odd.append(np.packbits(np.bincount((textkit.mix(u, 7) >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64))
                 own, at = [], []
                 if 0 < k <= boundary:
                     own = [_subset_key(u, c) for c in sorted(subset_sizes(k, percent))]
@@ -167,9 +169,9 @@ def signatures(docs: DataFrame, size: int, percent: int, weights: np.ndarray, bo
                 places.append(np.concatenate(at) if at else np.zeros(0, np.int32))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x or [np.zeros(0, kind)]), t)) for x, t, kind in ((keys, pa.int64(), np.int64), (places, pa.int32(), np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *(pa.array([x[j] for x in odd], pa.int64()) for j in (0, 1)), *lists], ["doc_id", "n", "s1", "s2", "p1", "p2", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *(pa.array([x[j] for x in odd], pa.int64()) for j in range(4)), *lists], ["doc_id", "n", "s1", "s2", *ODD, "keys", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, keys array<long>, places array<int>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, p3 long, p4 long, keys array<long>, places array<int>")
 
 
 def _subset_key(u: np.ndarray, c: int) -> np.ndarray:
@@ -188,7 +190,7 @@ def _can_link(x: graph.Side, y: graph.Side, percent: int) -> Column:
     """
     n, i, m, j = x("n"), x("i"), y("n"), y("i")
     rest = F.lit(1) + F.least(n - i - 1, m - j - 1)
-    apart = F.bit_count(x("p1").bitwiseXOR(y("p1"))) + F.bit_count(x("p2").bitwiseXOR(y("p2")))
+    apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in ODD), F.lit(0))
     return (F.greatest(n, m) * percent <= F.least(n, m) * 100) & ((i < 0) | (rest * (100 + percent) >= (n + m) * percent)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
@@ -209,7 +211,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     sig = staged(signatures(docs, size, percent, weights, light_boundary(small, percent)), "signatures")
     reps = staged(sig.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
     chosen = sig.join(reps.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    entries = chosen.select(F.col("doc_id").alias("id"), "n", "p1", "p2", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("i"))).alias("key", "i"))
+    entries = chosen.select(F.col("doc_id").alias("id"), "n", *ODD, F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("i"))).alias("key", "i"))
     entries = entries.withColumn("indexed", (F.col("i") < 0) | (F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(100 + percent))))
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("x")).where("lo <> hi and x").select("key")
     live = staged(entries.join(bounded(staged(shared, "keys")), "key", "left_semi"), "lists")

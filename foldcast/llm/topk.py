@@ -26,6 +26,8 @@ from foldcast.llm.common import table
 CANDIDATES, QUERIES = 16_384, 8_192
 #: Pairs that are looked at together, and the numbers of segments, coarse to fine.
 TILE, LEVELS = 1 << 20, (4, 16)
+#: The share of a tile's pairs above which the next step takes the whole tile in one product.
+DENSE = 0.01
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -59,13 +61,18 @@ def block_top(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray,
         got = np.einsum("qd,qmd->qm", qf[own], xf[first])
         got[np.take_along_axis(same, first, 1)] = -np.inf
         kth = -np.partition(-got, min(k, m) - 1, axis=1)[:, min(k, m) - 1] if m >= k else np.full(len(got), -np.inf)
-        r, c = np.nonzero(bound >= (kth - slack)[:, None])
+        need = (kth - slack)[:, None]
+        alive = bound >= need
         for sq, sx in levels[1:]:
-            keep = np.einsum("nd,nd->n", sq[own][r], sx[c]) >= kth[r] - slack
-            r, c = r[keep], c[keep]
-        ok = ~same[r, c]
-        r, c = r[ok], c[ok]
-        s = np.concatenate([_exact(q[own], x, r[i : i + TILE], c[i : i + TILE], exact_float) for i in range(0, len(r), TILE)] or [np.zeros(0, np.int64)])
+            if alive.mean() > DENSE:
+                alive &= sq[own] @ sx.T >= need
+        if alive.mean() > DENSE and exact_float:
+            score = qf[own] @ xf.T
+            r, c = np.nonzero(alive & (score >= kth[:, None]))
+            s = score[r, c].astype(np.int64)
+        else:
+            r, c = np.nonzero(alive)
+            s = np.concatenate([_exact(q[own], x, r[i : i + TILE], c[i : i + TILE], exact_float) for i in range(0, len(r), TILE)] or [np.zeros(0, np.int64)])
         best = np.lexsort((c, -s, r))
         r, c, s = r[best], c[best], s[best]
         place = np.arange(len(r)) - np.searchsorted(r, r)
