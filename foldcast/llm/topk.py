@@ -62,7 +62,7 @@ def block_top(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray,
         got[np.take_along_axis(same, first, 1)] = -np.inf
         kth = -np.partition(-got, min(k, m) - 1, axis=1)[:, min(k, m) - 1] if m >= k else np.full(len(got), -np.inf)
         need = (kth - slack)[:, None]
-        alive = bound >= need
+        alive = (bound >= need) & ~same
         for sq, sx in levels[1:]:
             if alive.mean() > DENSE:
                 alive &= sq[own] @ sx.T >= need
