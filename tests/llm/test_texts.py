@@ -224,10 +224,9 @@ def test_lm_gradients():
     copy = {k: a.copy() for k, a in m.w.items()}
     m.train(x, before, target, weight, 0.0, v.follow)
     loss = lambda: attention_lm.Attention({k: a.copy() for k, a in copy.items()}).train(x, before, target, weight, 0.0, v.follow)
-    r = np.random.default_rng(3)
     for name in copy:
         g = m.m[name] / 0.1
-        k = np.unravel_index(np.abs(g).argmax() if r.random() < 2 else 0, g.shape)
+        k = np.unravel_index(np.abs(g).argmax(), g.shape)
         copy[name][k] += 1e-3
         up = loss()
         copy[name][k] -= 2e-3
