@@ -50,7 +50,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge: Callable[[DataFrame], DataFrame], pivot_rounds: int = 3) -> DataFrame:
+def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge: Callable[[DataFrame], DataFrame], pivot_rounds: int = 2) -> DataFrame:
     """Components of a similarity join that is given by lists of members.
 
     ``lists`` has key, id, indexed and what ``can_link`` reads. Two members of a key may link
@@ -62,16 +62,21 @@ def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge
 
     Returns (node, component) for nodes with links.
     """
-    tried = links = labels = None
+    tried = labels = None
     for k in range(pivot_rounds + 1):
         now = lists.withColumn("component", F.col("id")) if labels is None else lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         pairs = _pivot_pairs(now, can_link, k) if k < pivot_rounds else _other_pairs(now, can_link)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        judged = staged(judge(staged(pairs, "pairs")), "judged")
+        pairs = staged(pairs, "pairs")
+        if labels is not None and pairs.isEmpty():
+            continue
+        judged = staged(judge(pairs), "judged")
         tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
         found = judged.where("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():
+            labels = components(found.union(labels.where("node <> component").select("node", "component")))
     return labels
 
 
