@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcast.llm import graph, textkit
@@ -26,6 +26,8 @@ from foldcast.llm.common import bounded, short_batches, staged, table
 
 #: Largest edit distance, and the shortest line in code points that takes part.
 THRESHOLD, MIN_CHARS = 2, 20
+#: Columns of the odd buckets of character pairs.
+ODD = ("p1", "p2", "p3", "p4")
 #: Code points that are hashed together.
 CHUNK = 1 << 19
 #: Rows of the table of repeated lines that may be broadcast.
@@ -61,8 +63,22 @@ def line_keys(lines: list[str], t: int, min_chars: int) -> np.ndarray:
     return out
 
 
+def odd_pairs(lines: list[str]) -> np.ndarray:
+    """Per line which of 256 buckets hold an odd number of its character pairs, as four int64.
+
+    An edit takes and adds two pairs at most, so lines within t edits differ in 4t buckets at most.
+    """
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = np.array([len(x) for x in lines], np.int64)
+    line = np.repeat(np.arange(len(lines)), n)
+    pair = (textkit.mix(codes[:-1] * np.uint64(0x110000) + codes[1:], 8) >> np.uint64(56)).astype(np.int64)
+    whole = line[:-1] == line[1:]
+    odd = np.bincount(line[:-1][whole] * 256 + pair[whole], minlength=256 * len(lines)).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(len(lines), 4)
+
+
 def entries(docs: DataFrame, t: int, min_chars: int) -> DataFrame:
-    """(id, n, keys) for the lines of all texts; of equal lines in a task the first only."""
+    """(id, n, p1 to p4, keys) for the lines of all texts; of equal lines in a task the first only."""
     width = len(probes(t))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,13 +98,14 @@ def entries(docs: DataFrame, t: int, min_chars: int) -> DataFrame:
             if held:
                 yield _batch(held, ids, t, min_chars, width)
 
-    return docs.select("text").mapInArrow(make, "id long, n int, keys array<long>")
+    return docs.select("text").mapInArrow(make, "id long, n int, p1 long, p2 long, p3 long, p4 long, keys array<long>")
 
 
 def _batch(lines: list[str], ids: list[int], t: int, min_chars: int, width: int) -> pa.RecordBatch:
     keys = line_keys(lines, t, min_chars)
     ends = np.arange(0, keys.size + 1, width, dtype=np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.array([len(x) for x in lines], np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["id", "n", "keys"])
+    odd = odd_pairs(lines)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(np.array([len(x) for x in lines], np.int32)), *(pa.array(odd[:, k].copy()) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["id", "n", *ODD, "keys"])
 
 
 def within(a: str, b: str, t: int) -> bool:
@@ -135,7 +152,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 def near_classes(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, component) for the lines that are near another line; id is the line's hash."""
     made = staged(entries(docs, t, min_chars), "lines")
-    flat = made.select("id", "n", F.posexplode_outer("keys").alias("place", "key")).where("key <> 0").select("key", "id", "n", (F.col("place") <= t).alias("indexed"))
+    flat = made.select("id", "n", *ODD, F.posexplode_outer("keys").alias("place", "key")).where("key <> 0").select("key", "id", "n", *ODD, (F.col("place") <= t).alias("indexed"))
     shared = flat.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("x")).where("lo <> hi and x").select("key")
     lists = staged(flat.join(bounded(staged(shared, "keys")), "key", "left_semi").distinct(), "lists")
     ids = staged(lists.select("id").distinct(), "ids")
@@ -150,7 +167,11 @@ def near_classes(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS
         both = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "y"}), "b")
         return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, linked boolean")
 
-    labels = graph.link_lists(lists, lambda x, y: F.abs(x("n") - y("n")) <= t, judge)
+    def can_link(x: graph.Side, y: graph.Side) -> Column:
+        apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in ODD), F.lit(0))
+        return (F.abs(x("n") - y("n")) <= t) & (apart <= 4 * t)
+
+    labels = graph.link_lists(lists, can_link, judge)
     return labels.withColumnRenamed("node", "id")
 
 
