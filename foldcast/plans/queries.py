@@ -30,7 +30,8 @@ class Tables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return sources.panel_from_lineitem(self.read("lineitem"))
+        """A row a day and asset, far smaller than the order lines; queries read it more than once."""
+        return sources.panel_from_lineitem(self.read("lineitem")).cache()
 
     @cached_property
     def ragged(self) -> DataFrame:
