@@ -221,9 +221,9 @@ def test_lm_gradients():
     ids, v, m = tiny()
     x, before, target, weight, _, _ = attention_lm.layout(ids, 0, v)
     m.w = {k: a.astype(np.float64) for k, a in m.w.items()}
-    copy = {k: a.copy() for k, a in m.w.items()}
-    m.train(x, before, target, weight, 0.0, v.follow)
-    loss = lambda: attention_lm.Attention({k: a.copy() for k, a in copy.items()}).train(x, before, target, weight, 0.0, v.follow)
+    copy, exact = {k: a.copy() for k, a in m.w.items()}, v.follow.astype(np.float64)
+    m.train(x, before, target, weight, 0.0, exact)
+    loss = lambda: attention_lm.Attention({k: a.copy() for k, a in copy.items()}).train(x, before, target, weight, 0.0, exact)
     for name in copy:
         g = m.m[name] / 0.1
         k = np.unravel_index(np.abs(g).argmax(), g.shape)
