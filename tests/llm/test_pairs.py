@@ -94,8 +94,8 @@ def test_light_boundary_depends_on_sizes():
 def test_word_hashes_split_on_ascii_space_only():
     import pyarrow as pa
 
-    (_, h, ends), = textkit.word_hashes(pa.array(["A\x0bb c a", None, "", "b C"]))
-    assert list(ends) == [0, 4, 4, 4, 6] and h[0] == h[3] and h[2] == h[5] and h[1] != h[2]
+    (_, h, ends), = textkit.word_hashes(pa.array(["A\x0bb\u00a0c a", None, "", "b\u00a0C"]))
+    assert list(ends) == [0, 3, 3, 3, 4] and h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
 
 
 def test_graph(spark):
