@@ -191,6 +191,48 @@ def test_lm_base_and_probabilities(spark, sf):
     assert len(nothing) == 3 and {r["n_known"] for r in nothing} == {0}
 
 
+def test_lm_trains_on_whole_texts(spark):
+    path = packing.vocabulary()
+    pieces = WordPieces(path)
+    whole = [w for w in (chr(a) + chr(b) for a in range(97, 123) for b in range(97, 123)) if len(pieces.learn({w})[w]) == 4]
+    words = [whole[i % len(whole)] for i in range(900)]
+    texts = [(" ".join(words[at : at + 300]),) for at in (0, 150, 300, 450)]
+    df = spark.createDataFrame(texts, "text string").coalesce(1)
+    end = pieces.tokenizer.token_to_id("<|endoftext|>") or 0
+    counts = lm_score.token_counts(lm_score.word_counts(df), path, end)
+    model, v = lm_score.train(df, counts, path, end)
+    seen = v.rank[np.flatnonzero(counts)]
+    changed = (model.w["emb"] != attention_lm.Attention.start().w["emb"]).any(1)
+    assert len(seen) > 200 and changed[seen].all()
+
+
+def test_lm_steps_cover_each_token_once_with_its_context(monkeypatch):
+    ids, v, m = tiny()
+    ids = ids + [np.arange(700, dtype="<u4") % 300]
+    got, want = [], Counter()
+    monkeypatch.setattr(attention_lm.Attention, "train", lambda self, x, before, target, weight, rate, follow: got.append((x, before, target, weight)))
+    assert lm_score._fit_whole(m, ids, v, 0) == sum(map(len, ids))
+    x, before, target, weight, _, _ = attention_lm.layout(ids, 0, v)
+    for k in range(len(x)):
+        want[x[k].tobytes(), target[k].tobytes(), weight[k].tobytes(), x[before[k]].tobytes() if before[k] >= 0 else b""] += 1
+    seen = Counter()
+    for a, b, c, w in got:
+        seen.update((a[k].tobytes(), c[k].tobytes(), w[k].tobytes(), a[b[k]].tobytes() if b[k] >= 0 else b"") for k in range(len(a)) if w[k].any())
+    assert seen == want
+
+
+def test_lm_windows_know_the_token_before_and_the_end():
+    pieces, end = WordPieces(packing.vocabulary()), 2
+    led, ended = 0, 0
+    for n in range(70, 700, 30):
+        text = " ".join("w%d" % (i % 97) for i in range(n))
+        x, (w,) = lm_score._whole([text], pieces, end)[0].tolist(), lm_score._windows([text], pieces, end)
+        w = w.tolist()
+        assert [end, *x][: len(w)] == w or any([x[i : i + len(w)] == w for i in range(len(x))])
+        led, ended = led + (w[0] != end), ended + (w[-1] == end)
+    assert led and ended
+
+
 def tiny():
     r = np.random.default_rng(1)
     ids = [r.integers(0, 300, n).astype("<u4") for n in (1, 5, 16, 17, 40, 200)]
