@@ -1,11 +1,9 @@
-"""Benchmark decontamination by SimHash windows, on DataFrame functions alone.
+"""Benchmark decontamination by windows, on DataFrame functions alone.
 
 Word shingles of the benchmark items are looked up in all documents. Where a shingle of an
-item stands in a document, the item-sized window that aligns the two is taken. Each window
-gets a 64-bit SimHash of its shingles. Fingerprints are cut into radius + 1 blocks; a window and
-an item of the same size meet if any block is equal, which holds for every pair within the
-radius. Pairs within the radius are verified by the exact weighted similarity of their shingles
-(weights: occurrences; sum of minima over sum of maxima).
+item stands in a document, the item-sized window that aligns the two is taken. Every such window
+is verified by the exact weighted similarity of its shingles and the item's (weights:
+occurrences; sum of minima over sum of maxima); no fingerprint stands before that.
 """
 
 from __future__ import annotations
@@ -16,8 +14,6 @@ from pyspark.sql import functions as F
 from foldcast.llm.common import staged, table
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Largest Hamming distance of fingerprints, and bits in each of the radius + 1 blocks.
-RADIUS, BITS = 15, 4
 #: Rows of the benchmark's tables up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -34,16 +30,6 @@ def shingles(w: str) -> Column:
     return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), run)).otherwise(F.array().cast("array<long>"))
 
 
-def blocks(hashes: Column) -> Column:
-    """The SimHash of an array of shingle hashes, as radius + 1 block values of four bits."""
-    def bit(b: Column) -> Column:
-        ones = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.expr("1") * F.getbit(h, b).cast("int"))
-        return (ones * 2 > F.size(hashes)).cast("int")
-
-    bits = F.transform(F.sequence(F.lit(0), F.lit((RADIUS + 1) * BITS - 1)), bit)
-    return F.transform(F.sequence(F.lit(0), F.lit(RADIUS)), lambda k: F.aggregate(F.slice(bits, k * BITS + 1, BITS), F.lit(0), lambda acc, x: acc * 2 + x))
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two arrays as multisets."""
     count = lambda x, v: F.size(F.filter(x, lambda y: y == v))
@@ -59,11 +45,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document; a document shorter than an item is one window. Rows that repeat a doc_id are one
     document only if their texts are equal. Empty tables give an empty result.
     """
-    items = staged(benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).withColumn("h", shingles("w")), "shingles")
-    items = staged(items.where("size(h) > 0").select("item_id", F.size("w").alias("n"), "h", blocks(F.col("h")).alias("blocks")), "items")
-    places = items.select(F.posexplode("h").alias("off", "s"), "n").select("s", "off", "n").distinct()
-    index = items.select("item_id", "n", F.col("h").alias("item_h"), F.col("blocks").alias("item_blocks"), F.posexplode("blocks").alias("k", "v"))
-    rows = items.agg(F.coalesce(F.sum(F.size("h") + RADIUS + 1), F.lit(0))).first()[0]
+    items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).withColumn("item_h", shingles("w"))
+    items = staged(items.where("size(item_h) > 0").select("item_id", F.xxhash64("item_h").alias("kind"), F.size("w").alias("n"), "item_h").dropDuplicates(["item_id", "kind"]), "items")
+    places = items.select("item_id", "kind", "n", F.posexplode("item_h").alias("off", "s"))
+    rows = items.agg(F.coalesce(F.sum(F.size("item_h")), F.lit(0))).first()[0]
     small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
 
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -71,17 +56,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # posexplode_outer: for posexplode Spark adds a filter that would hash each text again
     hits = hashed(plain).select("doc_id", "t", F.size("w").alias("m"), F.posexplode_outer("h").alias("pos", "s")).join(small(places), "s")
     start = F.greatest(F.least(F.col("pos") - F.col("off"), F.col("m") - F.col("n")), F.lit(0))
-    windows = hits.select("doc_id", "t", start.alias("start"), "n").distinct().groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("windows"))
+    windows = hits.select("doc_id", "t", start.alias("start"), "n", "item_id", "kind").distinct().groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("start", "n", "item_id", "kind"))).alias("windows"))
     windows = staged(windows, "windows")
     found = hashed(plain.withColumn("t", F.xxhash64("text")).join(windows.select("doc_id", "t"), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"]))
     cut = found.join(windows, ["doc_id", "t"]).select("doc_id", "h", F.explode("windows").alias("x"))
-    cut = cut.select("doc_id", "x.start", "x.n", F.slice("h", F.col("x.start") + 1, F.col("x.n") - SHINGLE + 1).alias("h")).where("size(h) > 0")
-    prints = cut.withColumn("blocks", blocks(F.col("h")))
-    met = prints.select("*", F.posexplode_outer("blocks").alias("k", "v")).join(small(index), ["n", "k", "v"])
-    first = F.array_position(F.zip_with("blocks", "item_blocks", lambda a, b: a == b), True) == F.col("k") + 1
-    apart = F.aggregate(F.zip_with("blocks", "item_blocks", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
-    near = met.where(first & (apart <= RADIUS)).select("doc_id", "item_id", "start", F.col("n").alias("words"), similarity(F.col("h"), F.col("item_h")).alias("similarity"))
-    return near.where(F.col("similarity") >= SIMILARITY)
+    cut = cut.select("doc_id", "x.*", F.slice("h", F.col("x.start") + 1, F.col("x.n") - SHINGLE + 1).alias("h")).where("size(h) > 0")
+    met = cut.join(small(items.select("item_id", "kind", "item_h")), ["item_id", "kind"])
+    return met.select("doc_id", "item_id", "start", F.col("n").alias("words"), similarity(F.col("h"), F.col("item_h")).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

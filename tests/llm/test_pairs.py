@@ -185,6 +185,17 @@ def test_leaks(spark):
     assert decontaminate.matches(d.limit(0), b).count() == 0 and decontaminate.matches(d, b.limit(0)).count() == 0
 
 
+def test_leaks_just_above_the_bound(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items = [(k, [word() for _ in range(49 + k % 9)]) for k in range(600)]
+    docs = [(k, " ".join([word(), *w[:20], word(), *w[21:], word()])) for k, w in items]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.matches(d, b).collect()}
+    assert got == {(k, k) for k, _ in items}
+
+
 def test_crc(spark):
     from foldcast.llm.common import crc_mod
 
