@@ -1,8 +1,10 @@
 """Benchmark decontamination by windows, on DataFrame functions alone.
 
 Word shingles of the benchmark items are looked up in all documents. Where a shingle of an
-item stands in a document, the item-sized window that aligns the two is taken. Every such window
-is verified by the exact weighted similarity of its shingles and the item's (weights:
+item stands in a document, the item-sized window that aligns the two is a candidate, and so is the
+one that begins there. The latter cover the best window of any order: slid to the right as long as
+its first shingle isn't the item's, a window loses nothing, up to the document's end. Windows that hold
+fewer places of the item's shingles than the bound needs are left out; the others are verified by the exact weighted similarity of its shingles and the item's (weights:
 occurrences; sum of minima over sum of maxima); no fingerprint stands before that.
 """
 
@@ -42,7 +44,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Takes doc_id and text, item_id and text; other columns are ignored. Items of fewer than
     five words, null texts and rows without id match nothing. A window is clipped to its
-    document; a document shorter than an item is one window. Rows that repeat a doc_id are one
+    document; a document shorter than an item is one window. An item found once may have several
+    windows, a few words apart. Rows that repeat a doc_id are one
     document only if their texts are equal. Empty tables give an empty result.
     """
     items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).withColumn("item_h", shingles("w"))
@@ -55,8 +58,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashed = lambda d: d.select("doc_id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w")).withColumn("h", shingles("w"))
     # posexplode_outer: for posexplode Spark adds a filter that would hash each text again
     hits = hashed(plain).select("doc_id", "t", F.size("w").alias("m"), F.posexplode_outer("h").alias("pos", "s")).join(small(places), "s")
-    start = F.greatest(F.least(F.col("pos") - F.col("off"), F.col("m") - F.col("n")), F.lit(0))
-    windows = hits.select("doc_id", "t", start.alias("start"), "n", "item_id", "kind").distinct().groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("start", "n", "item_id", "kind"))).alias("windows"))
+    last = F.greatest(F.col("m") - F.col("n"), F.lit(0))
+    aligned = F.greatest(F.least(F.col("pos") - F.col("off"), last), F.lit(0))
+    met = hits.groupBy("doc_id", "t", "m", "item_id", "kind", "n").agg(F.array_sort(F.collect_set("pos")).alias("ps"), F.collect_set(aligned).alias("aligned"))
+    # of a and g shingles, c in common give similarity c / (a + g - c)
+    met = met.withColumn("last", last).withColumn("a", F.least("n", "m") - SHINGLE + 1)
+    met = met.withColumn("need", F.ceil((F.col("a") + F.col("n") - SHINGLE + 1) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6).cast("int")).where(F.size("ps") >= F.col("need"))
+    begun = F.filter("ps", lambda p, i: (p <= F.col("last")) & (F.get("ps", i + F.col("need") - 1) < p + F.col("a")))
+    ending = F.when(F.size(F.filter("ps", lambda p: p >= F.col("last"))) >= F.col("need"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    starts = F.explode(F.array_union(F.array_union("aligned", begun), ending)).alias("start")
+    windows = met.select("doc_id", "t", starts, "n", "item_id", "kind").groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("start", "n", "item_id", "kind"))).alias("windows"))
     windows = staged(windows, "windows")
     found = hashed(plain.withColumn("t", F.xxhash64("text")).join(windows.select("doc_id", "t"), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"]))
     cut = found.join(windows, ["doc_id", "t"]).select("doc_id", "h", F.explode("windows").alias("x"))

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,35 @@ def test_leaks_just_above_the_bound(spark):
     assert got == {(k, k) for k, _ in items}
 
 
+def test_leaks_in_another_order_equal_all_windows(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items = {k: [word() for _ in range(r.choice((12, 25, 50, 51)))] for k in range(8)}
+    items[8] = [word() for _ in range(50)]
+    docs = {0: [word() for _ in range(7)] + items[8][25:] + items[8][:25] + [word()], 1: items[8][25:] + items[8][:25]}
+    for i in range(2, 60):
+        w = list(items[r.randrange(9)])
+        at = r.randrange(len(w))
+        if r.random() < 0.6:
+            w = w[at:] + w[:at]
+        if r.random() < 0.4:
+            w[r.randrange(len(w))] = word()
+        docs[i] = [word() for _ in range(r.choice((0, 3)))] + w[: r.choice((60, 60, len(w) - 2))] + [word() for _ in range(r.choice((0, 0, 9)))]
+    runs = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = set()
+    for i, w in docs.items():
+        for k, x in items.items():
+            b = runs(x)
+            for s in range(max(len(w) - len(x), 0) + 1):
+                a = runs(w[s : s + len(x)])
+                if 5 * (a & b).total() >= 4 * (a | b).total():
+                    want.add((i, k))
+    assert {(0, 8), (1, 8)} <= want
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.matches(d, b).collect()} == want
+
+
 def test_crc(spark):
     from foldcast.llm.common import crc_mod
 
