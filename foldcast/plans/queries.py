@@ -370,10 +370,13 @@ def _(t):
 
 @query("m4_tree_family")
 def _(t):
-    dev = t.dev.where("fold = 'D1'").cache()
-    audit, _ = train.fit_trees(dev, [("D1", a, c) for a in ASSETS for c in train.TREES])
-    best = {a: min((x for x in audit if x["asset"] == a), key=lambda x: (x["mae"], x["config"])) for a in ASSETS}
-    return metrics.error_metrics(train.refit_trees(dev, list(best.values())), ("model", "config", "fold", "asset"))
+    dev = t.dev.cache()
+    names = [r[0] for r in dev.select("fold").distinct().orderBy("fold").collect()]
+    audit, _ = train.fit_trees(dev, [(f, a, c) for f in names for a in ASSETS for c in train.TREES])
+    done = t.spark.createDataFrame(audit, "fold string, asset string, config string, seed string, best_iteration int, mae double, rmse double")
+    simple = t.spark.createDataFrame([(c, k + 1) for k, c in enumerate(train.TREES)], "config string, simplicity int")
+    won = forecast.winner_iterations(forecast.fold_winner(done, simple), done).orderBy("fold", "asset").collect()
+    return metrics.error_metrics(train.refit_trees(dev, [r.asDict() for r in won]), ("model", "config", "fold", "asset"))
 
 
 @query("m5_sequence_family")
