@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def added(parts: DataFrame, kind: type, keys: Sequence[str] = ("key",), fan: int = 16) -> DataFrame:
+    """Sums (keys, x) of vectors (keys, part long, x binary) that tasks have made, one of a key for each part.
+
+    They are added in levels, ``fan`` at a time and in the order of their parts, so no task gets more than
+    ``fan`` vectors of a key however many tasks there are, and the sums don't depend on timing.
+    """
+    parts = staged(parts, "parts")
+    most = parts.agg(F.max("part")).first()[0] or 0
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        total = None
+        for x in t.column("x"):
+            own = np.frombuffer(x.as_buffer(), kind)
+            total = own.copy() if total is None else total + own
+        return t.slice(0, 1).select([*keys, "up"]).append_column("x", pa.array([total.tobytes()], pa.binary())).rename_columns([*keys, "part", "x"])
+
+    while True:
+        parts = parts.withColumn("up", F.floor(F.col("part") / fan)).groupBy(*keys, "up").applyInArrow(add, parts.schema)
+        most //= fan
+        if not most:
+            return parts.drop("part")
+
+
 def any_of(columns: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
 

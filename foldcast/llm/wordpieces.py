@@ -49,7 +49,7 @@ class WordPieces:
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The memory, in which all of ``words`` are."""
         known = self.known
-        new = words - known.keys()
+        new = {w for w in words if w not in known}
         if len(known) + len(new) > HELD:
             known.clear()
             self.pieces.clear()
