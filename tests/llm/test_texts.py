@@ -211,6 +211,8 @@ def test_lm_tokens_tell_texts_apart():
     texts = ["bar,", "bar ,", "a.b", "a . b", "É", "é", "a\u00a0b", "a b", "ab", "x" * 5_000, "x" * 5_001, "'s", "' s", "\U0001f600 \u2028y"]
     assert len({ids(t) for t in texts}) == len(texts)
     assert ids("A \t b") == ids("a\x0bB\r")
+    for t in texts:
+        assert b"".join(map(s.spell, t.encode().lower().split())) == ids(t)
     import base64
 
     with open(packing.vocabulary("byte_bpe_multi_50k.tiktoken"), "rb") as f:
