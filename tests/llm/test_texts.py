@@ -311,21 +311,25 @@ def test_lm_output_counts_every_token(spark, monkeypatch):
         assert r["score"] == pytest.approx(float(sum(layer[a, v.rank[b]] + v.inner[b] for a, b in zip(told[r["row"]].tolist(), x.tolist()))), rel=1e-2)
 
 
-def test_lm_steps_cover_each_token_once_with_its_context(monkeypatch):
+def test_lm_runs_cover_each_token_once_with_its_context(monkeypatch):
     ranks, body, _, _ = tiny()
     ranks = ranks + [np.arange(3_000, dtype=np.int32) % 300]
-    got, want = [], Counter()
+    got, want, seen = [], Counter(), Counter()
     monkeypatch.setattr(attention_lm.Attention, "train", lambda self, x, before, target, weight, rate: got.append((x, before, target, weight)))
-    assert lm_score.fit_blocks(body, ranks, 0, 0.1, 1) == sum(map(len, ranks))
-    x, before, target, weight = attention_lm.layout(ranks, 0)
-    for k in range(len(x)):
-        want[x[k].tobytes(), target[k].tobytes(), weight[k].tobytes(), x[before[k]].tobytes() if before[k] >= 0 else b""] += 1
-    seen = Counter()
-    for a, b, c, w in got:
-        seen.update((a[k].tobytes(), c[k].tobytes(), w[k].tobytes(), a[b[k]].tobytes() if b[k] >= 0 else b"") for k in range(len(a)) if w[k].any())
+    runs = [r for t in ranks for r in lm_score.runs_of(t, 7)]
+    assert lm_score.fit_runs(body, runs, np.arange(300), 0.1, 1) == sum(map(len, ranks))
+
+    def tell(into, x, before, target, weight):
+        for k in range(len(x)):
+            if weight[k].any():
+                into[x[k].tobytes(), target[k].tobytes(), weight[k].tobytes(), x[before[k]].tobytes() if before[k] >= 0 else b""] += 1
+
+    tell(want, *attention_lm.layout(ranks, 7))
+    for step in got:
+        tell(seen, *step)
     assert seen == want
-    long = [np.random.default_rng(2).integers(0, 300, 400_000).astype(np.int32)]
-    assert 0.04 < lm_score.fit_blocks(body, long, 0, 0.1, 1, lm_score.SHARE) / 400_000 < 0.09
+    long = np.random.default_rng(2).integers(0, 300, 400_000).astype("<u2")
+    assert 0.04 < len(list(lm_score.runs_of(long, 7, lm_score.SHARE))) / len(list(lm_score.runs_of(long, 7))) < 0.09
 
 
 def test_lm_gradients():
