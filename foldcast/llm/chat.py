@@ -1,8 +1,9 @@
 r"""Chat formatting by schema fingerprints, on DataFrame functions alone.
 
 Records of mixed layouts come as VARIANT values. The nested field paths that a record has, of
-those that any declared layout uses, are hashed; the hash selects the layout's declarative
-mapping, which yields canonical turns. Turns become one text per conversation:
+those that any declared layout uses, are hashed; the hash selects the declarative mapping of the
+most specific layout whose paths are all there, which yields canonical turns. Records of no
+layout are kept apart with a reason. Turns become one text per conversation:
 
     user       ``[INST] text [/INST]``
     assistant  `` text </s>``
@@ -69,22 +70,42 @@ def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column
     return F.xxhash64(F.array_join(found, "\n"))
 
 
-def _declared(layout: Layout) -> Column:
-    return F.xxhash64(F.lit("\n".join(sorted(layout.paths))))
+def _with_layouts(records: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame:
+    """conv_id, turn, v (the record), layout (null: none) and turns.
+
+    Of the layouts whose paths a record has, the one with the most paths counts, the first of equals. The table
+    that leads from fingerprints to layouts has a row for each set of known paths.
+    """
+    known = sorted({p for x in layouts for p in x.paths})
+    have = lambda x: sum(1 << known.index(p) for p in x.paths)
+    best = F.coalesce(*(F.when(F.col("id").bitwiseAND(F.lit(have(x))) == have(x), x.name) for x in sorted(layouts, key=lambda x: -len(x.paths))))
+    told = F.filter(F.array(*map(F.lit, known)), lambda p, i: F.expr("id").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0)
+    sets = records.sparkSession.range(1 << len(known)).select(F.xxhash64(F.array_join(told, "\n")).alias("f"), best.alias("layout")).where("layout is not null")
+    marked = records.select("conv_id", "turn", F.col("record").alias("v"), fingerprint(F.col("record"), layouts).alias("f")).join(F.broadcast(sets), "f", "left")
+    turns = F.lit(None).cast(_TURNS)
+    for x in layouts:
+        turns = F.when(F.col("layout") == x.name, F.expr(x.turns)).otherwise(turns)
+    return marked.select("conv_id", "turn", "v", "layout", turns.alias("turns"))
+
+
+def unmatched(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """Records that give no turns: (conv_id, turn, record, reason).
+
+    Reasons: 'null record', 'no known layout', 'no turns' (a layout fits, but its list is empty).
+    """
+    reason = F.when(F.col("v").isNull(), "null record").when(F.col("layout").isNull(), "no known layout").when(F.coalesce(F.size("turns"), F.lit(0)) < 1, "no turns")
+    return _with_layouts(records, layouts).select("conv_id", "turn", F.col("v").alias("record"), reason.alias("reason")).where("reason is not null")
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Turns of each record: (conv_id, turn, part, layout, role, text).
 
     ``records`` has conv_id long, turn long (the record's place within its conversation, null
-    where a record is a whole one) and record VARIANT. A record of no declared layout, or
-    null, gives no turns; null roles and texts become empty.
+    where a record is a whole one) and record VARIANT. Further fields of a record, known ones too, don't
+    matter where a layout's paths are all there. Records that give no turns are those of
+    :func:`unmatched`; null roles and texts become empty.
     """
-    marked = records.select("conv_id", "turn", F.col("record").alias("v"), fingerprint(F.col("record"), layouts).alias("f"))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
-    for x in layouts:
-        name, turns = F.when(F.col("f") == _declared(x), x.name).otherwise(name), F.when(F.col("f") == _declared(x), F.expr(x.turns)).otherwise(turns)
-    rows = marked.select("conv_id", "turn", name.alias("layout"), F.posexplode(turns).alias("part", "t"))
+    rows = _with_layouts(records, layouts).select("conv_id", "turn", "layout", F.posexplode("turns").alias("part", "t"))
     return rows.select("conv_id", "turn", "part", "layout", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
 
 

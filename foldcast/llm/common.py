@@ -32,7 +32,8 @@ def short_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a new temporary folder is set.
+    Where a local session names none (tests on one machine), a new temporary folder is set; on a
+    cluster that is an error, as executors don't share the driver's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foldcast-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

@@ -5,7 +5,12 @@ item stands in a document, the item-sized window that aligns the two is a candid
 one that begins there. The latter cover the best window of any order: slid to the right as long as
 its first shingle isn't the item's, a window loses nothing, up to the document's end. Windows that hold
 fewer places of the item's shingles than the bound needs are left out; the others are verified by the exact weighted similarity of its shingles and the item's (weights:
-occurrences; sum of minima over sum of maxima); no fingerprint stands before that.
+occurrences; sum of minima over sum of maxima).
+
+No SimHash stands before that. At a weighted similarity of 0.8 two windows' 64-bit SimHashes differ in 9.7
+bits on average, with a deviation of 2.9. A radius that loses fewer than one pair in 10,000 is 21 or more, for which
+multi-index blocks have 64 / 22, fewer than three bits, so each block's table lets an eighth of all windows through and the
+index filters nothing. A radius of 15 was built and lost windows at the bound.
 """
 
 from __future__ import annotations

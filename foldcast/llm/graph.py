@@ -11,6 +11,8 @@ from foldcast.llm.common import staged
 
 #: Gives a member's column by name.
 Side = Callable[[str], Column]
+#: Members of a list that meet all others in one task; longer lists are split.
+LIST_PART = 512
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
@@ -90,9 +92,17 @@ def _pivot_pairs(lists: DataFrame, can_link: Callable[[Side, Side], Column], k:
 
 
 def _other_pairs(lists: DataFrame, can_link: Callable[[Side, Side], Column]) -> DataFrame:
-    open_ = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("indexed").alias("x")).where("lo <> hi and x").select("key")
-    left = lists.join(open_, "key", "left_semi")
-    right = left.select(*(F.col(c).alias(f"{c}_") for c in left.columns))
+    """All pairs of a list whose members are in different components.
+
+    A long list is split: its indexed members are dealt to parts of about ``LIST_PART``, and every part
+    meets all members, so that no task does the whole list.
+    """
+    parts = F.ceil(F.sum(F.col("indexed").cast("long")) / LIST_PART).cast("int").alias("parts")
+    open_ = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("indexed").alias("x"), parts).where("lo <> hi and x").select("key", "parts")
+    both = staged(lists.join(open_, "key"), "open")
+    left = both.where("indexed").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    right = both.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = right.select(*(F.col(c).alias(f"{c}_") for c in right.columns))
     once = (F.col("id") < F.col("id_")) | ~F.col("indexed_")
-    met = left.where("indexed").join(right, (F.col("key") == F.col("key_")) & once & (F.col("component") != F.col("component_")) & can_link(F.col, lambda c: F.col(f"{c}_")))
+    met = left.join(right, (F.col("key") == F.col("key_")) & (F.col("part") == F.col("part_")) & once & (F.col("component") != F.col("component_")) & can_link(F.col, lambda c: F.col(f"{c}_")))
     return met.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()

@@ -30,11 +30,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldcast.llm import graph, textkit
-from foldcast.llm.common import bounded, short_batches, staged, table
+from foldcast.llm.common import added, bounded, short_batches, staged, table
 
 #: Columns of the odd hash buckets.
 ODD = ("p1", "p2", "p3", "p4")
@@ -46,10 +47,6 @@ LIGHT_MOST = 29
 LIST_COST = 8.0
 
 
-def _least_overlap(n: int, m: int, percent: int) -> int:
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def _least_size(n: int, percent: int) -> int:
     """The least overlap of a set of size ``n`` with any partner that is not larger."""
     return -(-percent * n // 100)
@@ -76,7 +73,7 @@ def sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Log-scaled counts of all shingles of the corpus by hash, and the sizes of small texts.
 
     The sketch has a fixed number of counters. Tasks count their own texts; the counters are
-    added block by block on the executors; the driver gets 4 MB at any input size.
+    added in levels, block by block, on the executors; the driver gets 16 MB at any input size.
     """
     top = np.uint64(64 - SKETCH_BITS)
 
@@ -91,25 +88,16 @@ def sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                     held = []
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
-        blocks = [*total.reshape(-1, BLOCK), small]
-        for k, x in enumerate(blocks):
+        for k, x in enumerate([*total.reshape(-1, BLOCK), small]):
             if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(x, 65535).astype("<u2").tobytes()], pa.binary())], ["block", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x.as_buffer(), "<u2").astype(np.uint64)
-        for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(np.minimum(np.log2(x + 1.0) * 8, 255).astype(np.uint8) if k < 1 << SKETCH_BITS >> 16 else x.astype("<u8")).tobytes()], pa.binary())], ["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "part", "x"])
 
     blocks = (1 << SKETCH_BITS) // BLOCK
-    parts = docs.select("text").mapInArrow(count, "block int, counts binary")
-    found = {r["block"]: r["counts"] for r in parts.repartition(blocks // 8, "block").mapInArrow(add, "block int, counts binary").collect()}
-    weights = np.concatenate([np.frombuffer(found[k], np.uint8) if k in found else np.zeros(BLOCK, np.uint8) for k in range(blocks)])
-    small = np.frombuffer(found[blocks], "<u8")[: LIGHT_MOST + 1] if blocks in found else np.zeros(LIGHT_MOST + 1)
-    return weights, small.astype(float)
+    parts = docs.select("text").mapInArrow(count, "block int, part long, x binary")
+    found = {r["block"]: np.frombuffer(r["x"], np.float32) for r in added(parts, np.float32, ("block",)).collect()}
+    none = np.zeros(BLOCK, np.float32)
+    weights = np.concatenate([np.minimum(np.log2(found.get(k, none) + 1) * 8, 255).astype(np.uint8) for k in range(blocks)])
+    return weights, found.get(blocks, none)[: LIGHT_MOST + 1].astype(float)
 
 
 def _document_shingles(words: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,15 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldcast.llm.common import crc_mod, short_batches, table
+from foldcast.llm.common import added, crc_mod, short_batches, table
 
 #: Hash buckets of n-grams, and those that go to one task together.
 BUCKET_BITS, BLOCK = 15, 1 << 13
-#: The most that the broadcast matrix may take; with very many languages it gets fewer buckets.
-MATRIX_BYTES = 64 << 20
+#: Languages that are learned, those with the most texts first: at most 64 MB of log probabilities.
+LANGUAGES = 512
 #: Characters that are scored together.
 CHUNK = 1 << 19
 ALPHA = 0.5
@@ -29,26 +30,36 @@ _LETTER = regex.compile(r"\p{L}")
 _BY_PLACE = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > CHUNK:
-            yield at, i
-            at, held = i, 0
-        held += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
+def _parts(texts: list[str]) -> Iterator[tuple[list[str], list[int], list[bool]]]:
+    """Texts between two line breaks, in lower case, about ``CHUNK`` characters together, the text each is of, and whether that goes on.
 
-def ngrams(texts: list[str], bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """By run of texts: first, end, buckets (orders x characters; -1 where none starts), bounds.
-
-    Each text stands between two line breaks, and no n-gram crosses into another text.
+    A longer text comes in parts that overlap by two characters, so that each of its n-grams stands whole in one of them.
+    """
+    held, own, more, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        t = "\n" + t.lower() + "\n"
+        last = max(len(t) - 2, 1)
+        for at in range(0, last, CHUNK):
+            held.append(t[at : at + CHUNK + 2])
+            own.append(i)
+            more.append(at + CHUNK < last)
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield held, own, more
+                held, own, more, size = [], [], [], 0
+    if held:
+        yield held, own, more
+
+
+def ngrams(texts: list[str], bits: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """By run of parts: the text of each, buckets (orders x characters; -1 where none starts), bounds.
+
+    No n-gram crosses into another text. In the parts of a long text, what the next part begins with
+    starts no n-gram here.
     """
-    for at, to in _runs(texts):
-        own = ["\n" + t.lower() + "\n" for t in texts[at:to]]
-        ends = np.cumsum([len(t) for t in own])
-        codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4")
+    for parts, own, more in _parts(texts):
+        ends = np.cumsum([len(t) for t in parts])
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
         out = np.full((3, len(codes)), -1, np.int32)
         h = np.zeros(len(codes), np.uint32)
         for k, p in enumerate(_BY_PLACE):
@@ -56,15 +67,20 @@ def ngrams(texts: list[str], bits: int) -> Iterator[tuple[int, int, np.ndarray,
             out[k, : len(h)] = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
             for j in range(1, k + 1):
                 out[k, ends - j] = -1
-        yield at, to, out, np.concatenate([[0], ends[:-1]])
+        for end in ends[more]:
+            out[:, end - 2 : end] = -1
+        yield own, out, np.concatenate([[0], ends[:-1]])
 
 
 def learn(labelled: DataFrame, bits: int = BUCKET_BITS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities (buckets x languages, the last row 0).
 
-    ``labelled`` has text and lang, neither null. Counts are added on the executors by
-    (language, block of buckets).
+    ``labelled`` has text and lang, neither null. Of more than ``LANGUAGES`` values of lang those with
+    the most texts are learned, ties by name. Counts are added on the executors in levels, by
+    (language, block of buckets). Repeated rows count each time.
     """
+    names = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()]
+    labelled = labelled.where(F.col("lang").isin(names))
     blocks = max(1, (1 << bits) // BLOCK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,30 +90,20 @@ def learn(labelled: DataFrame, bits: int = BUCKET_BITS) -> tuple[list[str], np.n
             for lang, texts in frame.groupby("lang")["text"]:
                 x = total.setdefault(lang, np.zeros((1 << bits) + 1, np.int64))
                 x[-1] += len(texts)
-                for _, _, grams, _ in ngrams(list(texts), bits):
+                for _, grams, _ in ngrams(list(texts), bits):
                     x[:-1] += np.bincount(grams[grams >= 0], minlength=1 << bits)
         for lang, x in total.items():
             for k, part in enumerate([*x[:-1].reshape(blocks, -1), x[-1:]]):
-                yield pa.RecordBatch.from_pydict({"lang": [lang], "block": pa.array([k], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], np.ndarray] = {}
-        for batch in batches:
-            for lang, k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                sums[lang, k] = sums.get((lang, k), 0) + np.frombuffer(x.as_buffer(), np.int64)
-        for (lang, k), x in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang], "block": pa.array([k], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "block": pa.array([k], pa.int32()), "part": pa.array([TaskContext.get().partitionId()], pa.int64()), "x": pa.array([part.tobytes()], pa.binary())})
 
-    schema = "lang string, block int, counts binary"
-    found = labelled.select("text", "lang").mapInArrow(count, schema).repartition("lang", "block").mapInArrow(add, schema).collect()
+    parts = labelled.select("text", "lang").mapInArrow(count, "lang string, block int, part long, x binary")
+    found = added(parts, np.int64, ("lang", "block")).collect()
     langs = sorted({r["lang"] for r in found})
     if not langs:
         return [], np.zeros(((1 << bits) + 1, 0), np.float32)
-    if len(langs) << (bits + 2) > MATRIX_BYTES and bits > 8:
-        return learn(labelled, bits - 1)
     counts = np.zeros((len(langs), blocks + 1), object)
     for r in found:
-        counts[langs.index(r["lang"]), r["block"]] = np.frombuffer(r["counts"], np.int64)
+        counts[langs.index(r["lang"]), r["block"]] = np.frombuffer(r["x"], np.int64)
     grams = np.array([np.concatenate(list(x[:-1])) for x in counts], float) + ALPHA
     docs = np.array([x[-1][0] for x in counts], float)
     log = np.log(grams) - np.log(grams.sum(1, keepdims=True))
@@ -108,11 +114,15 @@ def learn(labelled: DataFrame, bits: int = BUCKET_BITS) -> tuple[list[str], np.n
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
     """(…, lang_pred, score) by row for a table with ``text``; other columns pass through.
 
+    Columns of ``docs`` named lang_pred or score are replaced. Repeated rows are predicted one by one, texts
+    of any length in parts. An empty table gives an empty result.
+
     ``und`` with score 0 where the text is null, has no letter, or nothing was learned. The
     score is the posterior probability of the prediction; ties go to the first language in
     alphabetical order.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
+    docs = docs.drop("lang_pred", "score")
     keep = [c for c in docs.columns if c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +133,11 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             best, prob = np.full(len(texts), "und", object), np.zeros(len(texts))
             ok = [i for i, t in enumerate(texts) if n and _LETTER.search(t)]
-            for at, to, grams, starts in ngrams([texts[i] for i in ok], bits):
-                total = sum(np.add.reduceat(m[g], starts, axis=0, dtype=np.float64) for g in np.where(grams < 0, len(m) - 2, grams)) + m[-1]
-                top = total.argmax(1)
-                p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                best[ok[at:to]], prob[ok[at:to]] = names[top], p
+            total = np.tile(m[-1].astype(np.float64), (len(ok), 1))
+            for own, grams, starts in ngrams([texts[i] for i in ok], bits):
+                np.add.at(total, own, sum(np.add.reduceat(m[g], starts, axis=0, dtype=np.float64) for g in np.where(grams < 0, len(m) - 2, grams)))
+            if ok:
+                best[ok], prob[ok] = names[total.argmax(1)], 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(prob)], [*keep, "lang_pred", "score"])
 
     schema = docs.drop("text").schema.add("lang_pred", "string").add("score", "double")

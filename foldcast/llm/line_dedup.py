@@ -8,7 +8,9 @@ the places a segment may have moved to. Meetings are verified by banded bit-para
 distance. Equal lines are one node throughout. Near lines form classes (connected
 components); the first line of a class by (doc_id, line number) stays, the rest go.
 
-Lines are known by a 64-bit hash of their text.
+Shorter lines that aren't blank repeat only if they are equal. Equal lines are found by two hashes, 128
+bits together; in the near join a line goes by the first of them, and its class is told to lines
+with both alone.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from foldcast.llm.common import bounded, short_batches, staged, table
 THRESHOLD, MIN_CHARS = 2, 20
 #: Columns of the odd buckets of character pairs.
 ODD = ("p1", "p2", "p3", "p4")
+#: Lines that a task remembers, so as to index equal ones once.
+SEEN = 1_000_000
 #: Code points that are hashed together.
 CHUNK = 1 << 19
 #: Rows of the table of repeated lines that may be broadcast.
@@ -88,6 +92,8 @@ def entries(docs: DataFrame, t: int, min_chars: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
                     if len(line) >= min_chars and (h := xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)) not in seen:
+                        if len(seen) == SEEN:
+                            seen.clear()
                         seen.add(h)
                         held.append(line)
                         ids.append(h)
@@ -144,19 +150,20 @@ def within(a: str, b: str, t: int) -> bool:
     return score <= t
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return line.where(F.char_length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
+    return line.withColumn("id", F.xxhash64("line")).withColumn("id2", F.xxhash64(F.lit(1), "line"))
 
 
 def near_classes(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, component) for the lines that are near another line; id is the line's hash."""
+    """(id, id2, component) for the lines that are near another line; id and id2 are the line's hashes."""
     made = staged(entries(docs, t, min_chars), "lines")
     flat = made.select("id", "n", *ODD, F.posexplode_outer("keys").alias("place", "key")).where("key <> 0").select("key", "id", "n", *ODD, (F.col("place") <= t).alias("indexed"))
     shared = flat.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("x")).where("lo <> hi and x").select("key")
     lists = staged(flat.join(bounded(staged(shared, "keys")), "key", "left_semi").distinct(), "lists")
     ids = staged(lists.select("id").distinct(), "ids")
-    texts = staged(_lines(docs, min_chars).join(bounded(ids), "id", "left_semi").select("id", "line").dropDuplicates(["id"]), "texts")
+    long = _lines(docs).where(F.char_length("line") >= min_chars)
+    texts = staged(long.join(bounded(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct("id2", "line")).alias("x")).select("id", "x.id2", "x.line"), "texts")
 
     def judge(pairs: DataFrame) -> DataFrame:
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +171,7 @@ def near_classes(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS
                 ok = [within(x, y, t) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
-        both = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "y"}), "b")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, linked boolean")
 
     def can_link(x: graph.Side, y: graph.Side) -> Column:
@@ -172,29 +179,31 @@ def near_classes(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS
         return (F.abs(x("n") - y("n")) <= t) & (apart <= 4 * t)
 
     labels = graph.link_lists(lists, can_link, judge)
-    return labels.withColumnRenamed("node", "id")
+    return labels.withColumnRenamed("node", "id").join(texts.select("id", "id2"), "id")
 
 
 def repeats(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, lines array<int>): the line numbers of each document that repeat an earlier line."""
-    lines = _lines(docs, min_chars).select("doc_id", "line_no", "id").where("doc_id is not null")
-    firsts = staged(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("k")), "firsts")
+    lines = _lines(docs.where("doc_id is not null")).where(r"line rlike '\\S'").select("doc_id", "line_no", "id", "id2")
+    firsts = staged(lines.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("k")), "firsts")
     near = staged(near_classes(docs, t, min_chars), "near")
-    heads = near.join(firsts, "id").groupBy("component").agg(F.min("first").alias("head"))
-    classed = firsts.where("k > 1").select("id", "first").join(near.select("id"), "id", "left_anti").unionByName(near.join(heads, "component").select("id", F.col("head").alias("first")))
-    again = lines.join(bounded(staged(classed, "repeated"), BROADCAST_LINES), "id").where(F.struct("doc_id", "line_no") != F.col("first"))
+    heads = near.join(firsts, ["id", "id2"]).groupBy("component").agg(F.min("first").alias("head"))
+    classed = firsts.where("k > 1").select("id", "id2", "first").join(near.select("id", "id2"), ["id", "id2"], "left_anti").unionByName(near.join(heads, "component").select("id", "id2", F.col("head").alias("first")))
+    again = lines.join(bounded(staged(classed, "repeated"), BROADCAST_LINES), ["id", "id2"]).where(F.struct("doc_id", "line_no") != F.col("first"))
     return again.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
 
 
 def clean(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with lines that repeat an earlier line removed; adds n_lines and n_removed.
 
-    Takes doc_id and text; other columns pass through. Lines shorter than ``min_chars`` are
-    left alone, as are rows without doc_id or text. Rows that repeat a doc_id count as one
+    Takes doc_id and text; other columns pass through, but for columns named n_lines or n_removed, which are
+    replaced. Blank lines are left alone, as are rows without doc_id or text; lines shorter than
+    ``min_chars`` go only if they are equal to an earlier line. Rows that repeat a doc_id count as one
     document, so they don't repeat each other at equal line numbers. An empty table gives an
     empty result.
     """
     short_batches(docs.sparkSession)
+    docs = docs.drop("n_lines", "n_removed")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = repeats(plain, t, min_chars)
     joined = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").join(gone, "doc_id", "left")

@@ -125,9 +125,12 @@ def best_fit(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """(…, sequence_id, offset) for pieces with ``length``; other columns pass through.
 
+    Columns named bin, sequence_id or offset are replaced.
+
     Sequence ids are unique, not gapless: the bin's number times 2**32 plus the window's. An
     empty table gives an empty result.
     """
+    pieces = pieces.drop("bin", "sequence_id", "offset")
     n = pieces.where(F.col("length") < length).count()
     bins = max(1, -(-n // BIN_PIECES))
     keys = ["doc_id", "start"]

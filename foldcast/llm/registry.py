@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from foldcast.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, lm_score, packing, quality, topk, warc
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_top_k": topk.query,
         "op9_decontamination": decontaminate.query,
         "op10_warc_revisits": warc.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -93,14 +93,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Both have vec_id long and v array<long>, without nulls. Vectors of another length than a
     query's don't meet it. Fewer than k others: all of them. Rows that repeat a query's
-    vec_id are its own and are left out; a vec_id that several candidate rows share is ranked
-    once for each. Returns (query_id, rank int, vec_id, score long).
+    vec_id are its own and are left out as candidates; of several query rows with one vec_id the one with the
+    smallest vector counts, by length, then by components in turn. A vec_id that several candidate rows share
+    is ranked once for each. Returns (query_id, rank int, vec_id, score long).
     """
     n_x, n_q = vectors.count(), queries.count()
     xb, qb = max(1, -(-n_x // CANDIDATES)), max(1, -(-n_q // QUERIES))
     size = F.size("v")
     x = vectors.select("vec_id", "v", size.alias("d"), F.pmod(F.xxhash64("vec_id"), F.lit(xb)).alias("xb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"), F.lit(False).alias("ask"))
-    q = queries.dropDuplicates(["vec_id"]).select("vec_id", "v", size.alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(xb - 1).cast("long"))).alias("xb"), F.pmod(F.xxhash64("vec_id"), F.lit(qb)).cast("int").alias("qb"), F.lit(True).alias("ask"))
+    q = queries.groupBy("vec_id").agg(F.min(F.struct(F.size("v"), "v"))["v"].alias("v")).select("vec_id", "v", size.alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(xb - 1).cast("long"))).alias("xb"), F.pmod(F.xxhash64("vec_id"), F.lit(qb)).cast("int").alias("qb"), F.lit(True).alias("ask"))
 
     def search(t: pa.Table) -> pa.Table:
         ask, ids = t.column("ask").to_numpy(), t.column("vec_id").to_numpy()

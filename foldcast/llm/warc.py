@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foldcast.llm.common import table
+from foldcast.llm.common import staged, table
 
 #: Query parameters that don't change what a URL names.
 TRACKING = r"^(utm_[a-z]*|ref|fbclid|gclid)(=|$)"
@@ -54,33 +54,31 @@ def resolve(records: DataFrame) -> DataFrame:
     Input columns: record_id long, kind ('response' or 'revisit'), url, at timestamp, status
     int, headers map<string,string> with lower-case names (null: none). Others are ignored.
     Only responses with status 200 can be revisited; of several at one time the one with the
-    largest record_id counts; a response at the revisit's own time is not earlier. Rows with
+    largest record_id counts, of equal ones any one row; a response at the revisit's own time is not earlier. Rows with
     a null url or time are never matched; a revisit among them is 'unmatched'.
 
-    Returns one row per revisit row: record_id, source_id, outcome and headers. Outcomes:
+    Returns one row per revisit row, whatever ids repeat: record_id, source_id, outcome and headers. Outcomes:
     'resolved' (a validator agrees and none disagrees; entity tags are compared weakly, dates
     only where a tag is missing), 'changed' (a validator disagrees), 'unverified' (no validator
     on both sides), 'unmatched' (no earlier response). Headers are merged where resolved, else the
     revisit's own.
     """
-    r = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), "at", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
+    r = records.select(F.monotonically_increasing_id().alias("row"), "record_id", "kind", canonical_url(F.col("url")).alias("url"), "at", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
+    r = staged(r, "records")  # row numbers are made once
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    slim = r.where((F.col("kind") == "revisit") | full).select("record_id", "kind", "url", "at", F.floor(F.unix_timestamp("at") / SLICE).alias("slice"))
+    slim = r.where((F.col("kind") == "revisit") | full).select("row", "record_id", "kind", "url", "at", F.floor(F.unix_timestamp("at") / SLICE).alias("slice"))
     known = slim.where("url is not null and at is not null")
-    answer = F.when(F.col("kind") == "response", F.struct("at", F.col("record_id").alias("source_id")))
-    inside = Window.partitionBy("url", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    answer = F.when(F.col("kind") == "response", F.struct("at", F.col("record_id").alias("source_id"), F.col("row").alias("source")))
     marked = known.withColumn("micros", F.unix_micros("at"))
     inside = Window.partitionBy("url", "slice").orderBy("micros").rangeBetween(Window.unboundedPreceding, -1)
     near = marked.withColumn("near", F.max(answer).over(inside)).where("kind = 'revisit'")
     ends = known.groupBy("url", "slice").agg(F.max(answer).alias("end"))
     across = Window.partitionBy("url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     far = ends.withColumn("far", F.max("end").over(across)).select("url", "slice", "far")
-    found = near.join(far, ["url", "slice"]).select("record_id", "at", F.coalesce("near", "far")["source_id"].alias("source_id"))
-    lost = slim.where("kind = 'revisit' and (url is null or at is null)").select("record_id", "at", F.lit(None).cast("long").alias("source_id"))
-    asked = found.unionByName(lost).distinct()
-    mine = r.where("kind = 'revisit'").select("record_id", "at", F.col("headers").alias("new"))
-    theirs = r.where(full).dropDuplicates(["record_id"]).select(F.col("record_id").alias("source_id"), F.col("headers").alias("old"))
-    both = mine.join(asked.withColumnRenamed("record_id", "asked_id").withColumnRenamed("at", "asked_at"), F.col("record_id").eqNullSafe(F.col("asked_id")) & F.col("at").eqNullSafe(F.col("asked_at")), "left").join(theirs, "source_id", "left")
+    found = near.join(far, ["url", "slice"]).select("row", F.coalesce("near", "far")["source"].alias("source"))
+    mine = r.where("kind = 'revisit'").select("row", "record_id", F.col("headers").alias("new"))
+    theirs = r.where(full).select(F.col("row").alias("source"), F.col("record_id").alias("source_id"), F.col("headers").alias("old"))
+    both = mine.join(found, "row", "left").join(theirs, "source", "left")
     tag = _strong(F.element_at("old", "etag")) == _strong(F.element_at("new", "etag"))
     same = F.coalesce(tag, F.element_at("old", "last-modified") == F.element_at("new", "last-modified"))
     outcome = F.when(F.col("old").isNull(), "unmatched").when(same, "resolved").when(~same, "changed").otherwise("unverified")

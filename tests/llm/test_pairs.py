@@ -71,6 +71,27 @@ def test_a_large_group_of_near_copies(spark):
     assert got == want
 
 
+def test_long_lists_of_other_components_are_split(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LIST_PART", 7)
+    r = random.Random(3)
+    lists = [(k, i, r.random() < 0.6) for k in range(3) for i in r.sample(range(90), 60)]
+    near = lambda a, b: (a * 7 + b * 7) % 11 == 3 and abs(a - b) < 30
+    seen = []
+
+    def judge(pairs):
+        rows = [tuple(x) for x in pairs.collect()]
+        seen.extend(rows)
+        return spark.createDataFrame([(a, b, near(a, b)) for a, b in rows], "a long, b long, linked boolean")
+
+    got = {x["node"]: x["component"] for x in graph.link_lists(spark.createDataFrame(lists, "key long, id long, indexed boolean"), lambda x, y: F.lit(True), judge).collect()}
+    by = {}
+    for k, i, x in lists:
+        by.setdefault(k, []).append((i, x))
+    links = {(a, b) for m in by.values() for a, x in m for b, y in m if a < b and (x or y) and near(a, b)}
+    want = components(range(90), links)
+    assert got == {i: want[i] for i in {i for e in links for i in e}} and len(seen) == len(set(seen))
+
+
 def test_null_ids_repeats_and_empty_tables(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "a b c d"), (None, None)]
     out = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
@@ -140,12 +161,13 @@ def test_line_classes_equal_brute_force(spark):
                 k = r.randrange(len(s) + 1)
                 s[k : k + r.randrange(2)] = r.choice(["", "x", "é"])
             lines.append("".join(s))
-        docs.append((i, "\n".join([*lines, "short"])))
-    where = {}
+        docs.append((i, "\n".join([*lines, "", r.choice(["short", "Short", "%d" % i])])))
+    where, first = {}, {}
     for i, t in docs:
         for k, x in enumerate(t.split("\n")):
             if len(x) >= 20:
                 where.setdefault(x, (i, k))
+            first.setdefault(x, (i, k))
     names = sorted(where)
     comp = components(range(len(names)), [(a, b) for a in range(len(names)) for b in range(a) if distance(names[a], names[b]) <= 2])
     head = {}
@@ -153,10 +175,10 @@ def test_line_classes_equal_brute_force(spark):
         head[comp[k]] = min(head.get(comp[k], (99, 99)), where[x])
     want = {}
     for i, t in docs:
-        keep = [x for k, x in enumerate(t.split("\n")) if len(x) < 20 or head[comp[names.index(x)]] == (i, k)]
+        keep = [x for k, x in enumerate(t.split("\n")) if not x or (first[x] if len(x) < 20 else head[comp[names.index(x)]]) == (i, k)]
         want[i] = "\n".join(keep)
     df = spark.createDataFrame([(*d, "c") for d in docs] + [(None, "short\n" * 3, "c"), (77, None, "c"), (78, "", "c")], "doc_id long, text string, lines string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.clean(df.withColumnRenamed("lines", "n")).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.clean(df.withColumnRenamed("lines", "n").withColumn("n_lines", F.lit("clash"))).collect()}
     assert got == {**want, None: "short\n" * 3, 77: None, 78: ""}
     assert line_dedup.clean(df.limit(0).drop("lines")).count() == 0
 

@@ -49,13 +49,21 @@ def test_chat_layouts(spark):
         (7, '{"nothing": 1}'),
         (8, None),
         (9, '{"role": "user", "text": null}'),
+        (10, '{"prompt": "q", "response": "a", "output": "z"}'),
+        (11, '{"prompt": "q", "response": "a", "role": "z"}'),
+        (12, '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "prompt": "z"}'),
+        (13, '{"messages": []}'),
+        (14, "[1]"),
+        (15, "null"),
     ]
     df = spark.createDataFrame(records, "conv_id long, j string").select("conv_id", F.lit(None).cast("long").alias("turn"), F.parse_json("j").alias("record"))
     got = {}
     for r in chat.canonical_turns(df).orderBy("conv_id", "part").collect():
         got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     plain = [("user", "q"), ("assistant", "a")]
-    assert got == {1: plain, 2: plain, 3: plain, 4: plain, 5: plain, 6: [("user", "q\ni"), ("assistant", "a")], 9: [("user", "")]}
+    assert got == {1: plain, 2: plain, 3: plain, 4: plain, 5: plain, 6: [("user", "q\ni"), ("assistant", "a")], 9: [("user", "")], 10: plain, 11: plain, 12: plain}
+    lost = {r["conv_id"]: r["reason"] for r in chat.unmatched(df).collect()}
+    assert lost == {7: "no known layout", 8: "null record", 13: "no known layout", 14: "no known layout", 15: "no known layout"}
 
 
 def test_chat_main_path_is_native(spark, sf):
@@ -75,11 +83,39 @@ def test_language(spark, sf):
 
 
 def test_language_scores_don_t_depend_on_neighbours():
-    a = [g.copy() for _, _, g, _ in language_id.ngrams(["ab cd"], 15)][0]
-    b = [g.copy() for _, _, g, s in language_id.ngrams(["zz", "ab cd"], 15)][0]
+    a = [g.copy() for _, g, _ in language_id.ngrams(["ab cd"], 15)][0]
+    b = [g.copy() for _, g, _ in language_id.ngrams(["zz", "ab cd"], 15)][0]
     assert (a == b[:, 4:]).all()
 
 
+def test_language_equals_brute_force_in_parts(spark, monkeypatch):
+    r = random.Random(7)
+    say = lambda chars: "".join(r.choice(chars) for _ in range(r.choice((3, 40, 200))))
+    rows = [(say("abc de"), "x") for _ in range(20)] + [(say("cdeé f"), "y") for _ in range(15)] + [("abc", "x")] * 3
+    monkeypatch.setattr(language_id, "CHUNK", 50)
+    langs, m = language_id.learn(spark.createDataFrame(rows, "text string, lang string"), 15)
+
+    def bucket(g):
+        h = 0
+        for c, p in zip(g, language_id._BY_PLACE):
+            h = (h + (ord(c) + 1) * p) % 2**32
+        return ((h ^ (h >> 15)) * 0x2C1B3C6D % 2**32) >> 17
+
+    grams = lambda t: [bucket(x[i : i + k]) for x in ["\n" + t.lower() + "\n"] for k in (1, 2, 3) for i in range(len(x) - k + 1)]
+    count = {k: Counter() for k in "xy"}
+    for t, k in rows:
+        count[k].update(grams(t))
+    n = Counter(k for _, k in rows)
+    assert langs == ["x", "y"]
+    asked = [say("abcdeé f") for _ in range(20)] + [say("ab") * 9]
+    got = language_id.predict(spark.createDataFrame([(t, "s") for t in asked], "text string, score string"), langs, m).collect()
+    for t, g in zip(asked, got):
+        logs = {k: math.log(n[k] / len(rows)) + sum(math.log((count[k][b] + 0.5) / (sum(count[k].values()) + 0.5 * 2**15)) for b in grams(t)) for k in "xy"}
+        best = max(logs, key=logs.get)
+        assert g["lang_pred"] == best and g["score"] == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel=1e-3)
+    assert language_id.predict(spark.createDataFrame([], "text string"), langs, m).count() == 0
+
+
 def test_quality(spark, sf):
     out = quality.query(spark, sf)
     labels = table(spark, sf, "labels")
@@ -88,6 +124,11 @@ def test_quality(spark, sf):
     assert out.where("score is null or score < 0 or score > 1 or predicted <> cast(score >= 0.7 as int)").count() == 0
     x = quality.features(pa.array([None, "", "  ", "a", "w " * 100_000]))
     assert np.isfinite(x).all()
+    clash = spark.createDataFrame([(1, "a b", 9), (1, "a b", 9), (None, None, 9)], "doc_id long, text string, score int")
+    made = quality.featurize(clash)
+    told = spark.createDataFrame([(1, 1), (1, None), (5, 0)], "doc_id long, quality int")
+    assert {r["score"] for r in quality.score(made, quality.learn(made, told)).collect()} == {quality.CUT_SCORE}
+    assert quality.score(made.limit(0), quality.learn(made.limit(0), told.limit(0))).count() == 0
     blank = quality.fit(np.zeros((0, len(quality.FEATURES))), x)
     assert np.allclose(blank.scores(x), quality.CUT_SCORE)
 
@@ -95,6 +136,7 @@ def test_quality(spark, sf):
 def test_packing(spark, sf):
     rows = [(1, "hello world"), (2, None), (3, ""), (None, "x"), (1, "hello world"), (4, "word " * 9_000), (5, "<|endoftext|> Don't!")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(9))
+    assert packing.pack(packing.cut(docs).withColumn("offset", F.lit("clash"))).columns.count("offset") == 1
     check(packing.pack(packing.cut(docs)).collect(), rows)
     small = table(spark, sf, "documents").select("doc_id", "text")
     out = packing.pack(packing.cut(small)).collect()
@@ -163,6 +205,8 @@ def test_top_k(spark):
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     assert {tuple(t) for t in topk.top_k(x, x.where("vec_id % 20 = 0"), 20).collect()} == want
     assert topk.top_k(x.limit(0), x.limit(0), 20).count() == 0
+    twice = spark.createDataFrame([(20, [1, 0]), (20, [0, 1]), (1, [5, 7]), (2, [9, 1])], "vec_id long, v array<long>")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(twice, twice.where("vec_id = 20"), 2).orderBy("rank").collect()] == [(1, 1, 7), (2, 2, 1)]
 
 
 def test_top_k_beyond_exact_floats():
@@ -372,10 +416,13 @@ def test_revisits(spark):
         (14, "revisit", None, 30, 304, {}),
         (15, "revisit", "a.com/x", 30, 304, {"last-modified": "z"}),
         (10, "revisit", "a.com/x", 5, 304, {}),
+        (16, "revisit", "a.com/x", 22, 304, {"etag": '"b"'}),
+        (16, "revisit", "a.com/y", 22, 304, {"etag": '"b"'}),
+        (16, "revisit", "a.com/x", 22, 304, {"etag": '"b"'}),
     ]
     df = spark.createDataFrame([(a, b, c, d, e, f, "clash") for a, b, c, d, e, f in rows], f"record_id long, kind string, url string, s long, status int, headers {h}, slice string").withColumn("at", F.timestamp_seconds("s"))
     got = sorted(((r["record_id"], r["source_id"], r["outcome"]) for r in warc.resolve(df).collect()), key=str)
-    assert got == sorted([(10, 1, "resolved"), (11, 1, "resolved"), (12, 2, "changed"), (13, None, "unmatched"), (14, None, "unmatched"), (15, 2, "unverified"), (10, None, "unmatched")], key=str)
+    assert got == sorted([(10, 1, "resolved"), (11, 1, "resolved"), (12, 2, "changed"), (13, None, "unmatched"), (14, None, "unmatched"), (15, 2, "unverified"), (10, None, "unmatched"), (16, 2, "resolved"), (16, None, "unmatched"), (16, 2, "resolved")], key=str)
     merged = next(r["headers"] for r in warc.resolve(df).collect() if r["record_id"] == 10 and r["source_id"] == 1)
     assert merged == {"etag": 'W/"a"', "content-length": "9", "age": "1", "date": "d"}
     assert warc.resolve(df.limit(0)).count() == 0
