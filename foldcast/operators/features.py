@@ -22,12 +22,16 @@ def next_session_target(panel: DataFrame) -> DataFrame:
 
     The direction is decided on prices, so that rounding of the logarithm can't flip it.
     """
-    w = _by("asset")
-    d, p = F.lead("date").over(w), F.lead("close").over(w)
-    out = panel.select("asset", F.col("date").alias("origin_date"), d.alias("target_date"), F.ln(p / F.col("close")).alias("target_return"), direction(p - F.col("close")).alias("target_direction"))
+    out = panel.select("asset", F.col("date").alias("origin_date"), *_target())
     return out.where("target_date is not null")
 
 
+def _target() -> list[Column]:
+    w = _by("asset")
+    p = F.lead("close").over(w)
+    return [F.lead("date").over(w).alias("target_date"), F.ln(p / F.col("close")).alias("target_return"), direction(p - F.col("close")).alias("target_direction")]
+
+
 def log_return(price: str = "close", k: int = 1, keys: Sequence[str] = ("asset",)) -> Column:
     """log return over k rows."""
     return F.ln(F.col(price) / F.lag(price, k).over(_by(*keys)))
@@ -38,13 +42,13 @@ def _windows(windows: Sequence[int]) -> None:
         raise ContractError("windows must be unique and 2 or more")
 
 
-def asset_features(panel: DataFrame, windows: Sequence[int] = C.WINDOWS) -> DataFrame:
-    """returns and rolling means and deviations by asset, on one sort."""
+def asset_features(panel: DataFrame, windows: Sequence[int] = C.WINDOWS, keep: Sequence[str] = ()) -> DataFrame:
+    """returns and rolling means and deviations by asset, on one sort; columns in ``keep`` pass through."""
     _windows(windows)
     base = panel.withColumn("ret", log_return())
     base = base.withColumn("ret_lag", F.lag("ret").over(_by("asset")))
     made = {f"{x}_{how}_{w}": rolling(v, w, ["asset"], "date", how) for w in windows for x, v in (("ret", "ret"), ("vol", "volume")) for how in ("mean", "std")}
-    return base.withColumns(made).select("asset", F.col("date").alias("origin_date"), "ret", "ret_lag", *made)
+    return base.withColumns(made).select("asset", F.col("date").alias("origin_date"), "ret", "ret_lag", *made, *keep)
 
 
 def reference_features(panel: DataFrame, reference: str = C.REFERENCE, windows: Sequence[int] = C.WINDOWS, trend: int = C.TREND) -> DataFrame:
@@ -73,10 +77,19 @@ def join_targets(targets: DataFrame, features: DataFrame, check: bool = True) ->
 
 
 def build_supervised(panel: DataFrame, reference: str = C.REFERENCE, missing: str = "keep", check: bool = False) -> DataFrame:
-    """F1 to F9 in one plan: sample key, target, features, flags."""
-    own = panel.where(F.col("asset") != reference)
-    features = join_reference(asset_features(own), reference_features(panel, reference), missing)
-    out = join_targets(next_session_target(own), features, check).withColumn("eligible", eligibility())
+    """F1 to F9 in one plan: sample key, target, features, flags.
+
+    Targets and features come from one sort by asset, without a join of the two; ``check`` makes both
+    apart and joins them one to one, with an error for targets without features.
+    """
+    own, ref = panel.where(F.col("asset") != reference), reference_features(panel, reference)
+    if check:
+        out = join_targets(next_session_target(own), join_reference(asset_features(own), ref, missing))
+    else:
+        target = ("target_date", "target_return", "target_direction")
+        made = asset_features(own.select("*", *_target()), keep=target)
+        out = join_reference(made.where("target_date is not null"), ref, missing)
+    out = out.withColumn("eligible", eligibility())
     return out.select(*C.SAMPLE_KEY, "target_return", "target_direction", *C.FEATURES, "ref_observed", "eligible")
 
 

@@ -100,14 +100,20 @@ def key_agreement(validation: DataFrame) -> DataFrame:
 
 
 def fold_winner(audit: DataFrame, simplicity: DataFrame, tie: float = TIE) -> DataFrame:
-    """M9: per fold the config of least equal-weight error; ties go to the simpler, then rmse, then id."""
+    """M9: per fold the config of least equal-weight error; ties go to the simpler, then rmse, then id.
+
+    Only configs with every asset that any of the fold's configs has can win. A config without a simplicity
+    is the least simple.
+    """
     by_seed = audit.groupBy("fold", "config", "asset").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"))
     macro = by_seed.groupBy("fold", "config").agg(F.count("*").alias("n_assets"), F.avg("mae").alias("macro_mae"), F.avg("rmse").alias("macro_rmse"))
-    best = F.min("macro_mae").over(Window.partitionBy("fold"))
-    out = macro.join(F.broadcast(simplicity), "config").withColumn("delta", F.col("macro_mae") - best).withColumn("tied", (F.col("delta") <= tie).cast("int"))
-    order = Window.partitionBy("fold").orderBy(F.col("tied").desc(), F.when(F.col("tied") == 1, F.col("simplicity")).otherwise(F.lit(0)), F.when(F.col("tied") == 1, F.col("macro_rmse")).otherwise(F.col("macro_mae")), "config")
+    full = F.col("n_assets") == F.max("n_assets").over(Window.partitionBy("fold"))
+    macro = macro.withColumn("full", full)
+    best = F.min(F.when(F.col("full"), F.col("macro_mae"))).over(Window.partitionBy("fold"))
+    out = macro.join(simplicity, "config", "left").withColumn("delta", F.col("macro_mae") - best).withColumn("tied", (F.col("full") & (F.col("delta") <= tie)).cast("int"))
+    order = Window.partitionBy("fold").orderBy(F.col("tied").desc(), F.when(F.col("tied") == 1, F.coalesce("simplicity", F.lit(1 << 30))).otherwise(F.lit(0)), F.when(F.col("tied") == 1, F.col("macro_rmse")).otherwise(F.col("macro_mae")), "config")
     alone = F.sum("tied").over(Window.partitionBy("fold")) == 1
-    out = out.withColumn("selected", (F.row_number().over(order) == 1).cast("int"))
+    out = out.drop("full").withColumn("selected", (F.row_number().over(order) == 1).cast("int"))
     return out.withColumn("reason", F.when(F.col("selected") == 0, "not_selected").when(alone, "lowest_error").otherwise("tie_break"))
 
 

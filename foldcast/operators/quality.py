@@ -49,8 +49,8 @@ def missing_assets(panel: DataFrame, universe: DataFrame) -> DataFrame:
 
 def calendar_gaps(panel: DataFrame, sessions: DataFrame, assets: DataFrame) -> DataFrame:
     """Q5: (asset, date, kind) of sessions an asset lacks and dates that are no session."""
-    have = panel.select("asset", "date").join(F.broadcast(assets), "asset", "left_semi").distinct()
-    want = sessions.select("date").distinct().join(F.broadcast(assets.select("asset").distinct()))
+    have = panel.select("asset", "date").join(assets, "asset", "left_semi").distinct()
+    want = sessions.select("date").distinct().crossJoin(assets.select("asset").distinct())
     lacking = want.join(have, ["asset", "date"], "left_anti").select("asset", "date", F.lit("missing").alias("kind"))
     return lacking.unionByName(have.join(sessions, "date", "left_anti").select("asset", "date", F.lit("unexpected").alias("kind")))
 
@@ -58,7 +58,7 @@ def calendar_gaps(panel: DataFrame, sessions: DataFrame, assets: DataFrame) -> D
 def calendar_audit(panel: DataFrame, sessions: DataFrame, assets: DataFrame) -> DataFrame:
     """Q5 and Q7: counts by asset, and whether the asset's calendar is clean."""
     expected = sessions.select("date").distinct().agg(F.count("*").alias("expected"))
-    seen = panel.join(F.broadcast(assets), "asset", "left_semi").groupBy("asset").agg(F.countDistinct("date").alias("observed"))
+    seen = panel.join(assets, "asset", "left_semi").groupBy("asset").agg(F.countDistinct("date").alias("observed"))
     gaps = calendar_gaps(panel, sessions, assets).groupBy("asset").agg(F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "unexpected").alias("unexpected"))
     out = assets.select("asset").distinct().join(seen, "asset", "left").join(gaps, "asset", "left").crossJoin(F.broadcast(expected))
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -45,7 +45,7 @@ def learned_cells(matched: DataFrame, least: int = LEAST) -> DataFrame:
     keys = [*ids, "dimension", "label"]
     m = matched.withColumn("seed", F.coalesce("seed", F.lit("")))
     made = _long(m).groupBy(*keys).agg(F.count("*").alias("n"), *_errors(), *_errors("baseline_return", "baseline_direction", "baseline_"))
-    out = _grid(m, ids).join(made, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = _grid(m.groupBy(*ids).agg(F.count("*")), ids).join(made, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumns({"skill": skill(), "da_diff": F.col("da") - F.col("baseline_da"), "status": status(F.col("n"), least)})
 
 
@@ -115,11 +115,20 @@ def contrast_summary(table: DataFrame, keys: Sequence[str] = ("model", "seed", "
 
 
 def failure_patterns(by_asset: DataFrame, macro: DataFrame, value: str = "skill_change") -> DataFrame:
-    """Reportable, suppressed and sign counts by level, model and dimension; signs add up to reportable."""
-    both = by_asset.select(F.lit("asset").alias("level"), "model", "dimension", "status", value).unionByName(macro.select(F.lit("macro").alias("level"), "model", "dimension", "status", value))
+    """Reportable, suppressed and sign counts by level, model and dimension, and how many contrasts have seeds of different signs.
+
+    Signs must add up to the reportable; it is an error if they don't.
+    """
+    keys = ["model", "dimension", "fold", "status", value]
+    both = by_asset.select(F.lit("asset").alias("level"), "asset", *keys).unionByName(macro.select(F.lit("macro").alias("level"), F.lit("ALL").alias("asset"), *keys))
     s = sign(F.col(value))
     good = F.col("status") == "reportable"
-    return both.groupBy("level", "model", "dimension").agg(F.count("*").alias("n"), F.count_if(good).alias("n_reportable"), F.count_if(~good).alias("n_suppressed"), *(F.count_if(good & (s == x)).alias(f"n_{x}") for x in ("negative", "zero", "positive")))
+    signs = ("negative", "zero", "positive")
+    counts = {"n": F.count("*"), "n_reportable": F.count_if(good), "n_suppressed": F.count_if(~good), **{f"n_{x}": F.count_if(good & (s == x)) for x in signs}}
+    by_seed = both.groupBy("level", "model", "dimension", "fold", "asset").agg(*(c.alias(n) for n, c in counts.items()), (F.countDistinct(F.when(good, s)) > 1).cast("long").alias("n_seed_disagree"))
+    out = by_seed.groupBy("level", "model", "dimension").agg(*(F.sum(n).alias(n) for n in (*counts, "n_seed_disagree")))
+    whole = F.col("n_negative") + F.col("n_zero") + F.col("n_positive") == F.col("n_reportable")
+    return out.withColumn("n_reportable", F.when(whole, F.col("n_reportable")).otherwise(F.raise_error("signs don't add up to the reportable contrasts").cast("long")))
 
 
 def disagreement(table: DataFrame) -> DataFrame:

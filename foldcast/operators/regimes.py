@@ -18,21 +18,23 @@ YEAR, LAG, JUMP = 252, 21, 1.5
 def volatility_inputs(ref: DataFrame) -> DataFrame:
     """Annualised volatility, its lag, their ratio where both are finite and the lag positive, absolute return.
 
-    ``ref`` has one row an origin; the reference series is one series of daily rows.
+    ``ref`` has one row an origin; the reference series is one series of daily rows. An origin's
+    target_date is the series' next date; the last origin has none.
     """
     w = Window.partitionBy(F.lit(0)).orderBy("origin_date")
     out = ref.select("origin_date", F.col(f"ref_trend_{C.TREND}").alias("trend"), (F.col("ref_std_21") * F.sqrt(F.lit(float(YEAR)))).alias("vol"), F.abs("ref_ret").alias("abs_ret"))
-    out = out.withColumn("vol_lag", F.lag("vol", LAG).over(w))
+    out = out.withColumns({"target_date": F.lead("origin_date").over(w), "vol_lag": F.lag("vol", LAG).over(w)})
     return out.withColumn("jump", F.when(finite(F.col("vol")) & finite(F.col("vol_lag")) & (F.col("vol_lag") > 0), F.try_divide("vol", "vol_lag")))
 
 
 def thresholds(inputs: DataFrame, folds: DataFrame) -> DataFrame:
-    """R2: per fold the median volatility and 95 % absolute return over origins before its test range.
+    """R2: per fold the median volatility and 95 % absolute return over origins whose target is before its test range.
 
-    An origin is permitted if it is in the fold's train or validation range; each counts once.
+    An origin is permitted if its target_date is between the fold's first train and last validation day; so the
+    last origin of validation, whose target is a test day, is not. Each counts once.
     """
-    ranges = F.broadcast(folds.where("partition IN ('train', 'validation')").select("fold", "start", "end"))
-    rows = inputs.join(ranges, F.col("origin_date").between(F.col("start"), F.col("end")))
+    ranges = folds.where("partition IN ('train', 'validation')").groupBy("fold").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    rows = inputs.join(F.broadcast(ranges), F.col("target_date").between(F.col("start"), F.col("end")))  # a row a fold
     v, a = F.when(finite(F.col("vol")), F.col("vol")), F.when(finite(F.col("abs_ret")), F.col("abs_ret"))
     return rows.groupBy("fold").agg(F.percentile(v, F.lit(0.5)).alias("vol_median"), F.percentile(a, F.lit(0.95)).alias("ret_q95"), F.count(v).alias("n_vol"), F.count(a).alias("n_ret"), F.min("origin_date").alias("first_origin"), F.max("origin_date").alias("last_origin"))
 
@@ -64,6 +66,16 @@ def transition_class(jumped: Column, shock: Column) -> Column:
     return F.when(jumped.isNull() & shock.isNull(), "unavailable").when(F.coalesce(jumped, no) | F.coalesce(shock, no), "stressed").otherwise("stable")
 
 
+def label_gaps(keys: DataFrame, inputs: DataFrame, limits: DataFrame) -> DataFrame:
+    """(problem, fold, origin_date) for keys without reference values, keys without thresholds and folds with thresholds alone."""
+    k = keys.select("fold", "origin_date").distinct()
+    none = F.lit(None).cast("date").alias("origin_date")
+    bare = k.join(inputs, "origin_date", "left_anti").select(F.lit("no_reference").alias("problem"), "fold", "origin_date")
+    loose = k.join(limits, "fold", "left_anti").select(F.lit("no_thresholds").alias("problem"), "fold", "origin_date")
+    unused = limits.join(k, "fold", "left_anti").select(F.lit("unused_thresholds").alias("problem"), "fold", none)
+    return bare.unionByName(loose).unionByName(unused)
+
+
 def labels(keys: DataFrame, inputs: DataFrame, limits: DataFrame) -> DataFrame:
     """One row a (fold, origin) with source values, flags and the three labels."""
     x = keys.join(inputs, "origin_date", "left").join(F.broadcast(limits.select("fold", "vol_median", "ret_q95")), "fold", "left")

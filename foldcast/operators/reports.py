@@ -65,6 +65,17 @@ def extremes(table: DataFrame, value: str = "std", keys: Sequence[str] = ("fold"
     return table.groupBy("model").agg(F.max_by(k, F.struct(value, k)).alias("largest"), F.max(value).alias("largest_value"), F.min_by(k, F.struct(value, k)).alias("smallest"), F.min(value).alias("smallest_value"))
 
 
+def chart_series(table: DataFrame, keys: Sequence[str], values: Sequence[str] = ("skill", "da_diff")) -> DataFrame:
+    """C11: mean over seeds by the chart's keys: macro series by fold, or cells by fold and asset."""
+    return table.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values))
+
+
+def chart_reportability(levels: Mapping[str, DataFrame]) -> DataFrame:
+    """C11: reportable contrasts and all of them by level and model."""
+    both = reduce(DataFrame.unionByName, (d.select(F.lit(k).alias("level"), "model", "status") for k, d in levels.items()))
+    return both.groupBy("level", "model").agg(F.count_if(F.col("status") == "reportable").alias("n_reportable"), F.count("*").alias("n"))
+
+
 def chart_contrasts(table: DataFrame, value: str = "skill_change") -> DataFrame:
     """C11: median contrast, negative counts and reportability by model and dimension."""
     good = F.when(F.col("status") == "reportable", F.col(value))

@@ -109,9 +109,9 @@ PARTS = {
     "macro": f"SELECT model, seed, fold, count(*) AS n_assets, CAST(sum(n) AS BIGINT) AS n, {', '.join(f'CASE WHEN count(*) = 3 AND count({v}) = 3 THEN avg({v}) END AS {v}' for v in METRICS)} FROM cells GROUP BY model, seed, fold",
     "seed_cells": f"SELECT model, fold, asset, count(*) AS n_seeds, CASE WHEN count(DISTINCT seed) = 2 AND count(*) = 2 AND min(n) = max(n) THEN 1 ELSE 0 END AS seeds_ok, max(n) AS n, {four(METRICS)} FROM cells WHERE seed IS NOT NULL GROUP BY model, fold, asset",
     "inputs": """SELECT *, CASE WHEN vol IS NOT NULL AND vol_lag > 0 THEN vol / vol_lag END AS jump FROM (SELECT *, lag(vol, 21) OVER (ORDER BY origin_date) AS vol_lag FROM (
-      SELECT origin_date, ref_trend_63 AS trend, ref_std_21 * sqrt(252.0::DOUBLE) AS vol, abs(ref_ret) AS abs_ret FROM ref))""",
+      SELECT origin_date, ref_trend_63 AS trend, ref_std_21 * sqrt(252.0::DOUBLE) AS vol, abs(ref_ret) AS abs_ret, lead(origin_date) OVER (ORDER BY origin_date) AS target_date FROM ref))""",
     "limits": """SELECT fold, quantile_cont(vol, 0.5) AS vol_median, quantile_cont(abs_ret, 0.95) AS ret_q95, count(vol) AS n_vol, count(abs_ret) AS n_ret, min(origin_date) AS first_origin, max(origin_date) AS last_origin
-      FROM inputs JOIN folds ON origin_date BETWEEN start AND stop WHERE partition <> 'test' GROUP BY fold""",
+      FROM inputs JOIN (SELECT fold, min(start) AS start, max(stop) AS stop FROM folds WHERE partition <> 'test' GROUP BY fold) ON target_date BETWEEN start AND stop GROUP BY fold""",
     "labels": """SELECT fold, origin_date, trend, vol, vol_lag, jump, abs_ret, vol_median, ret_q95, CAST(jump >= 1.5 AS INT) AS jumped, CAST(abs_ret > ret_q95 AS INT) AS shock,
       CASE WHEN trend IS NULL THEN 'unavailable' WHEN trend > 0 THEN 'positive' ELSE 'negative' END AS trend_regime,
       CASE WHEN vol IS NULL OR vol_median IS NULL THEN 'unavailable' WHEN vol > vol_median THEN 'high' ELSE 'low' END AS volatility_regime,

@@ -102,7 +102,8 @@ class Tables:
 
     @cached_property
     def matched_labelled(self) -> DataFrame:
-        return regimes.attach(self.matched, self.regime[2])
+        """Every metric by regime reads it more than once."""
+        return regimes.attach(self.matched, self.regime[2]).cache()
 
     @cached_property
     def rcells(self) -> DataFrame:
@@ -161,6 +162,35 @@ def _(t):
     return sources.read_until(features.next_session_target(t.panel.where("asset <> 'MKT'")), "1996-01-01", "1997-12-31", ["asset", "target_date", "target_return"])
 
 
+@query("s1_read_panel", "SELECT * FROM panel", _PANEL)
+def _(t):
+    return sources.read_panel(t.spark, artifacts.write_once(t.panel, artifacts.shared_root(t.spark), "panel"))
+
+
+@query("s5_read_forecasts", "SELECT fold, asset, origin_date, target_date, actual_return, predicted_return, actual_direction, predicted_direction FROM base", "actual_return predicted_return")
+def _(t):
+    stored = sources.read_forecasts(t.spark, artifacts.write_once(t.base, artifacts.shared_root(t.spark), "forecasts"))
+    return stored.select(*C.FORECAST_KEY, "actual_return", "predicted_return", "actual_direction", "predicted_direction")
+
+
+@query("s6_write_once", "SELECT 1 AS same_place, count(*) AS n, count(*) FILTER (asset <> 'MKT') AS n_other FROM panel")
+def _(t):
+    root = artifacts.shared_root(t.spark)
+    a, b, c = (artifacts.write_once(d, root, "once") for d in (t.panel, t.panel.repartition(3), t.panel.where("asset <> 'MKT'")))
+    n = lambda p, name: t.spark.read.parquet(p).agg(F.count("*").alias(name))
+    return n(a, "n").crossJoin(n(c, "n_other")).select(F.lit(int(a == b and a != c)).alias("same_place"), "n", "n_other")
+
+
+@query("s10_drift", "SELECT unnest(['changed', 'extra', 'missing']) AS kind, unnest([1, 1, 1])::BIGINT AS n FROM (SELECT count(*) FROM panel)")
+def _(t):
+    root, by = artifacts.shared_root(t.spark), t.panel.where("asset <> 'MKT'")
+    place = artifacts.write_once(by.repartitionByRange(3, "asset", "date"), root, "parts")
+    found = artifacts.inventory(t.spark, place, "part-*")
+    turn = F.row_number().over(features.Window.orderBy("name"))  # a row a file
+    old = found.withColumn("k", turn).where("k <> 1").withColumn("digest", F.when(F.col("k") == 2, F.lit("other")).otherwise(F.col("digest"))).select("name", "digest")
+    return artifacts.drift(found, old.unionByName(t.spark.range(1).select(F.lit("gone").alias("name"), F.lit("x").alias("digest")))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("s7_fingerprint", "SELECT count(*) AS n, CAST(sum(h) AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor FROM (SELECT ('0x' || substr(md5(concat_ws('|', o_custkey, o_orderkey)), 1, 12))::BIGINT AS h FROM orders)")
 def _(t):
     return artifacts.fingerprint(t.read("orders"), ["o_orderkey", "o_custkey"])
@@ -280,19 +310,26 @@ _STAT = "count(*) AS n_rows, CAST(sum(eligible) AS BIGINT) AS n_eligible, CAST(s
 _NUM = "(SELECT *, CASE WHEN coalesce(rn < min(CASE WHEN eligible = 1 THEN rn END) OVER (PARTITION BY asset), true) THEN 1 ELSE 0 END AS prefix FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY origin_date) AS rn FROM sup))"
 
 
+@query("f9_supervised_checked", "SELECT * FROM sup", "target_return " + " ".join(C.FEATURES), 6)
+def _(t):
+    return features.build_supervised(t.panel, check=True)
+
+
 @query("f10_eligibility_stats", f"SELECT CAST(NULL AS VARCHAR) AS fold, CAST(NULL AS VARCHAR) AS partition, asset, {_STAT} FROM {_NUM} GROUP BY GROUPING SETS ((asset), ()) UNION ALL SELECT fold, partition, asset, {_STAT} FROM (SELECT fold, partition, n.* FROM assigned a JOIN {_NUM} n USING (asset, origin_date, target_date)) GROUP BY GROUPING SETS ((fold, partition), (fold, partition, asset))")
 def _(t):
     return features.eligibility_stats(t.sup, t.assigned)
 
 
-@query("f11_reference_view", "SELECT origin_date, count(*) AS n_assets, count(DISTINCT asset) AS n_distinct, count(DISTINCT target_date) AS n_targets, max(ref_ret) AS ref_ret, max(ref_std_21) AS ref_std_21, max(ref_trend_63) AS ref_trend_63, 1 AS ref_ret_same, 1 AS ref_std_21_same, 1 AS ref_trend_63_same FROM sup GROUP BY origin_date", "ref_ret ref_std_21 ref_trend_63")
+@query("f11_reference_view", "SELECT origin_date, count(*) AS n_assets, count(DISTINCT asset) AS n_distinct, count(DISTINCT target_date) AS n_targets, max(ref_ret + CASE WHEN asset = 'A' AND day(origin_date) = 4 THEN 1 ELSE 0 END) AS ref_ret, max(CASE WHEN asset <> 'N' OR day(origin_date) <> 5 THEN ref_std_21 END) AS ref_std_21, max(ref_trend_63) AS ref_trend_63, CASE WHEN day(origin_date) = 4 AND bool_or(asset = 'A') AND count(*) > 1 AND max(ref_ret) IS NOT NULL THEN 0 ELSE 1 END AS ref_ret_same, CASE WHEN day(origin_date) = 5 AND bool_or(asset = 'N') AND count(*) > 1 AND max(ref_std_21) IS NOT NULL THEN 0 ELSE 1 END AS ref_std_21_same, 1 AS ref_trend_63_same FROM sup GROUP BY origin_date", "ref_ret ref_std_21 ref_trend_63")
 def _(t):
-    return features.reference_view(t.sup)
+    moved = t.sup.withColumns({"ref_ret": F.when(F.expr("asset = 'A' AND day(origin_date) = 4"), F.col("ref_ret") + 1).otherwise(F.col("ref_ret")), "ref_std_21": F.when(F.expr("asset <> 'N' OR day(origin_date) <> 5"), F.col("ref_std_21"))})
+    return features.reference_view(moved)
 
 
-@query("f12_reconstruct", "SELECT count(ref_std_21) AS n_std, 0::BIGINT AS bad_std, 0::BIGINT AS null_std, count(ref_trend_63) AS n_trend, 0::BIGINT AS bad_trend, 0::BIGINT AS null_trend FROM ref")
+@query("f12_reconstruct", "SELECT count(ref_std_21) FILTER (day(origin_date) <> 4) AS n_std, 0::BIGINT AS bad_std, count(ref_std_21) FILTER (day(origin_date) = 4) AS null_std, count(ref_trend_63) AS n_trend, count(ref_trend_63) FILTER (day(origin_date) = 5) AS bad_trend, 0::BIGINT AS null_trend FROM ref")
 def _(t):
-    return features.reconstruct(t.ref)
+    moved = t.ref.withColumns({"ref_std_21": F.when(F.dayofmonth("origin_date") != 4, F.col("ref_std_21")), "ref_trend_63": F.col("ref_trend_63") + (F.dayofmonth("origin_date") == 5).cast("int")})
+    return features.reconstruct(moved)
 
 
 # folds
@@ -451,7 +488,7 @@ def _(t):
 
 
 # regimes
-@query("r1_volatility_inputs", "SELECT origin_date, trend, vol, abs_ret, vol_lag, jump FROM inputs", "trend vol abs_ret vol_lag jump")
+@query("r1_volatility_inputs", "SELECT origin_date, target_date, trend, vol, abs_ret, vol_lag, jump FROM inputs", "trend vol abs_ret vol_lag jump")
 def _(t):
     return t.regime[0]
 
@@ -471,6 +508,11 @@ def _(t):
     return t.regime[2]
 
 
+@query("r7_label_gaps", "SELECT DISTINCT 'no_reference' AS problem, fold, origin_date FROM base WHERE day(origin_date) = 4 UNION ALL SELECT DISTINCT 'no_thresholds', fold, origin_date FROM base WHERE fold = 'D2' UNION ALL SELECT DISTINCT 'unused_thresholds', fold, CAST(NULL AS DATE) FROM limits WHERE fold NOT IN (SELECT fold FROM base)")
+def _(t):
+    return regimes.label_gaps(t.base, t.regime[0].where("day(origin_date) <> 4"), t.regime[1].where("fold <> 'D2'"))
+
+
 @query("r8_label_counts", """SELECT fold, dimension, label, coalesce(n, 0) AS n FROM (SELECT DISTINCT fold FROM labels) CROSS JOIN (VALUES ('trend_regime', 'positive'), ('trend_regime', 'negative'), ('trend_regime', 'unavailable'), ('volatility_regime', 'low'), ('volatility_regime', 'high'), ('volatility_regime', 'unavailable'), ('transition_regime', 'stable'), ('transition_regime', 'stressed'), ('transition_regime', 'unavailable')) d(dimension, label)
   LEFT JOIN (SELECT fold, 'trend_regime' AS dimension, trend_regime AS label, count(*) AS n FROM labels GROUP BY ALL UNION ALL SELECT fold, 'volatility_regime', volatility_regime, count(*) FROM labels GROUP BY ALL UNION ALL SELECT fold, 'transition_regime', transition_regime, count(*) FROM labels GROUP BY ALL) USING (fold, dimension, label)""")
 def _(t):
@@ -482,9 +524,10 @@ def _(t):
     return t.base_labelled.select(*C.FORECAST_KEY, *C.DIMENSIONS)
 
 
-@query("r9_attach_check", "SELECT count(*) AS n_before, count(*) AS n_after, 0::BIGINT AS n_unlabelled, 0::BIGINT AS n_unused FROM base")
+@query("r9_attach_check", "SELECT count(*) FILTER (day(origin_date) <> 5) AS n_before, count(*) FILTER (day(origin_date) <> 5) AS n_after, count(DISTINCT CASE WHEN day(origin_date) = 4 THEN fold || origin_date END) AS n_unlabelled, count(DISTINCT CASE WHEN day(origin_date) = 5 THEN fold || origin_date END) AS n_unused FROM base")
 def _(t):
-    return regimes.attach_check(t.base, t.base_labelled, t.regime[2])
+    before, table = t.base.where("day(origin_date) <> 5"), t.regime[2].where("day(origin_date) <> 4")
+    return regimes.attach_check(before, regimes.attach(before, table), table)
 
 
 @query("r10_inconsistent", "SELECT fold, origin_date, 1 + CAST(count(DISTINCT trend_regime = 'positive') > 0 AS BIGINT) AS trend_regime, 1::BIGINT AS volatility_regime, 1::BIGINT AS transition_regime FROM base_labelled WHERE day(origin_date) = 4 GROUP BY fold, origin_date HAVING count(*) > 1")
@@ -557,10 +600,11 @@ def _(t):
     return regime_metrics.contrast_summary(t.contrasts)
 
 
+_DIS = f"(SELECT level, model, dimension, count(*) AS n_seed_disagree FROM (SELECT 'asset' AS level, model, dimension, fold, asset, count(DISTINCT CASE WHEN status = 'reportable' THEN {sign('skill_change')} END) AS k FROM contrasts GROUP BY ALL UNION ALL SELECT 'macro', model, dimension, fold, 'ALL', count(DISTINCT CASE WHEN status = 'reportable' THEN {sign('skill_change')} END) FROM mcontrasts GROUP BY ALL) WHERE k > 1 GROUP BY level, model, dimension)"
 _PAT = ", ".join(f"count(*) FILTER (status = 'reportable' AND {sign('skill_change')} = '{x}') AS n_{x}" for x in ("negative", "zero", "positive"))
 
 
-@query("x10_failure_patterns", f"SELECT level, model, dimension, count(*) AS n, count(*) FILTER (status = 'reportable') AS n_reportable, count(*) FILTER (status <> 'reportable') AS n_suppressed, {_PAT} FROM (SELECT 'asset' AS level, model, dimension, status, skill_change FROM contrasts UNION ALL SELECT 'macro', model, dimension, status, skill_change FROM mcontrasts) GROUP BY level, model, dimension")
+@query("x10_failure_patterns", f"SELECT p.*, coalesce(n_seed_disagree, 0) AS n_seed_disagree FROM (SELECT level, model, dimension, count(*) AS n, count(*) FILTER (status = 'reportable') AS n_reportable, count(*) FILTER (status <> 'reportable') AS n_suppressed, {_PAT} FROM (SELECT 'asset' AS level, model, dimension, status, skill_change FROM contrasts UNION ALL SELECT 'macro', model, dimension, status, skill_change FROM mcontrasts) GROUP BY level, model, dimension) p LEFT JOIN {_DIS} USING (level, model, dimension)")
 def _(t):
     return regime_metrics.failure_patterns(t.contrasts, t.mcontrasts)
 
@@ -636,10 +680,16 @@ def _(t):
     return table_diff(moved.select(*cols), t.base.select(*cols), list(C.FORECAST_KEY)).select("column", "n_mismatch")
 
 
-@query("c9_verify_tables", "SELECT 'base' AS \"table\", unnest(['key', 'actual_return']) AS \"column\", 0::BIGINT AS n_mismatch UNION ALL SELECT 'macro', unnest(['key', 'mae', 'skill']), 0")
+@query("c9_verify_tables", "SELECT 'base' AS \"table\", unnest(['key', 'actual_return']) AS \"column\", unnest([k, v]) AS n_mismatch FROM (SELECT count(*) FILTER (day(target_date) = 6) AS k, count(*) FILTER (day(target_date) = 5 AND actual_return <> 0) AS v FROM base) UNION ALL SELECT 'macro', unnest(['key', 'mae', 'skill']), unnest([0, 0, count(*) FILTER (fold = 'D1' AND skill IS NOT NULL)]) FROM macro WHERE model = 'plain'")
 def _(t):
     made = {"base": t.base.select(*C.FORECAST_KEY, "actual_return"), "macro": t.macro.where("model = 'plain'").select("fold", "mae", "skill")}
-    return reports.verify_tables(made, {k: v.repartition(2) for k, v in made.items()}, {"base": C.FORECAST_KEY, "macro": ["fold"]}).select("table", "column", "n_mismatch")
+    root = artifacts.shared_root(t.spark)
+    stored = {k: t.spark.read.parquet(artifacts.write_once(v, root, k)) for k, v in made.items()}
+    moved = {
+        "base": stored["base"].where("day(target_date) <> 6").withColumn("actual_return", F.when(F.dayofmonth("target_date") == 5, F.col("actual_return") * 1.5).otherwise(F.col("actual_return"))),
+        "macro": stored["macro"].withColumn("skill", F.when(F.col("fold") == "D1", F.col("skill") + 1).otherwise(F.col("skill"))),
+    }
+    return reports.verify_tables(moved, made, {"base": C.FORECAST_KEY, "macro": ["fold"]}).select("table", "column", "n_mismatch")
 
 
 @query("c10_extremes", "SELECT model, arg_max(fold || '|' || asset, (skill_std, fold || '|' || asset)) AS largest, max(skill_std) AS largest_value, arg_min(fold || '|' || asset, (skill_std, fold || '|' || asset)) AS smallest, min(skill_std) AS smallest_value FROM seed_cells GROUP BY model", "largest_value smallest_value")
@@ -652,6 +702,21 @@ def _(t):
     return reports.chart_contrasts(t.contrasts)
 
 
+@query("c11_macro_series", "SELECT model, fold, avg(skill) AS skill, avg(da_diff) AS da_diff FROM macro GROUP BY model, fold", "skill da_diff")
+def _(t):
+    return reports.chart_series(t.macro, ("model", "fold"))
+
+
+@query("c11_asset_cells", "SELECT model, fold, asset, avg(skill) AS skill, avg(da_diff) AS da_diff FROM cells GROUP BY model, fold, asset", "skill da_diff")
+def _(t):
+    return reports.chart_series(t.cells, ("model", "fold", "asset"))
+
+
+@query("c11_reportability", "SELECT level, model, count(*) FILTER (status = 'reportable') AS n_reportable, count(*) AS n FROM (SELECT 'asset' AS level, model, status FROM contrasts UNION ALL SELECT 'macro', model, status FROM mcontrasts) GROUP BY level, model")
+def _(t):
+    return reports.chart_reportability({"asset": t.contrasts, "macro": t.mcontrasts})
+
+
 # sequences
 @query("f13_windows", "SELECT asset, origin_date, CASE WHEN count(*) OVER w = 5 AND sum(fine) OVER w = 5 THEN 1 ELSE 0 END AS usable, CASE WHEN count(*) OVER w = 5 AND sum(fine) OVER w = 5 THEN round(sum(CAST(CAST(ret AS FLOAT) AS DOUBLE)) OVER w, 6) + 0.0 END AS total FROM (SELECT *, CASE WHEN " + " AND ".join(f"{f} IS NOT NULL" for f in C.FEATURES) + " THEN 1 ELSE 0 END AS fine FROM sup) WINDOW w AS (PARTITION BY asset ORDER BY origin_date ROWS 4 PRECEDING)")
 def _(t):
@@ -659,12 +724,12 @@ def _(t):
     return sequences.windows(t.sup, 5).select("asset", "origin_date", "usable", F.round(total, 6).alias("total"))
 
 
-@query("f14_patches", "SELECT asset, origin_date, 2 AS n_patches, round(CAST(CAST(lag(ret, 5) OVER w AS FLOAT) AS DOUBLE), 6) + 0.0 AS first_value, round(CAST(CAST(ref_trend_63 AS FLOAT) AS DOUBLE), 6) + 0.0 AS last_value FROM (SELECT *, count(*) OVER v AS k, sum(CASE WHEN " + " AND ".join(f"{f} IS NOT NULL" for f in C.FEATURES) + " THEN 1 ELSE 0 END) OVER v AS fine FROM sup WINDOW v AS (PARTITION BY asset ORDER BY origin_date ROWS 7 PRECEDING)) WINDOW w AS (PARTITION BY asset ORDER BY origin_date) QUALIFY k = 8 AND fine = 8")
+@query("f14_patches", "SELECT asset, origin_date, 3 AS n_patches, round(CAST(CAST(lag(ret, 5) OVER w AS FLOAT) AS DOUBLE), 6) + 0.0 AS first_value, round(CAST(CAST(ref_trend_63 AS FLOAT) AS DOUBLE), 6) + 0.0 AS last_value FROM (SELECT *, count(*) OVER v AS k, sum(CASE WHEN " + " AND ".join(f"{f} IS NOT NULL" for f in C.FEATURES) + " THEN 1 ELSE 0 END) OVER v AS fine FROM sup WINDOW v AS (PARTITION BY asset ORDER BY origin_date ROWS 7 PRECEDING)) WINDOW w AS (PARTITION BY asset ORDER BY origin_date) QUALIFY k = 8 AND fine = 8")
 def _(t):
     p = sequences.patches(F.col("seq"), 8, 4, 2, len(C.FEATURES))
     made = sequences.windows(t.sup, 8).where("usable = 1").select("asset", "origin_date", p.alias("p"))
     made = made.select("asset", "origin_date", F.size(F.col("p")[0]).alias("n_patches"), F.col("p")[0][1][0].cast("double").alias("first_value"), F.element_at(F.element_at(F.element_at("p", -1), -1), -1).cast("double").alias("last_value"))
-    return made.withColumn("n_patches", F.col("n_patches") - 1).withColumns({c: F.round(c, 6) for c in ("first_value", "last_value")})
+    return made.withColumns({c: F.round(c, 6) for c in ("first_value", "last_value")})
 
 
 @query("f15_scaler", "SELECT fold, asset, 'selection' AS usage, feature, avg(x) AS mean, var_pop(x) AS var, CASE WHEN var_pop(x) = 0 THEN 1 ELSE sqrt(var_pop(x)) END AS scale, count(x) AS n FROM (" + " UNION ALL ".join(f"SELECT fold, asset, '{f}' AS feature, {f} AS x FROM slices WHERE partition = 'train'" for f in C.FEATURES) + ") GROUP BY fold, asset, feature", "mean var scale", 6)

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcast.functions import ContractError
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder for stored tables: ``spark.checkpoint.dir``, which all machines share; a temporary one only in a local session."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ContractError("spark.checkpoint.dir must name a shared folder")
+        named = tempfile.mkdtemp(prefix="foldcast-")
+    return f"{named}/stored"
+
+
 def _text(df: DataFrame, c: str) -> F.Column:
     kind = dict(df.dtypes)[c]
     col = F.format_string("%.17g", F.col(c) + F.lit(0.0)) if kind == "double" else F.col(c).cast("string")

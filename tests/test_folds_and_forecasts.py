@@ -91,3 +91,25 @@ def test_contrast_signs(spark):
     r = regime_metrics.contrasts(cells).first()
     assert r["mae_change"] == 1.0 and r["stability_loss"] == -r["da_change"]
     assert C.DIMENSIONS["trend_regime"][1] == "negative"
+
+
+def test_thresholds_take_origins_by_their_target(spark):
+    import datetime as dt
+
+    from foldcast.operators import regimes
+
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
+    ref = spark.createDataFrame([(day(k), 1.0, float(k), float(k)) for k in range(12)], "origin_date date, ref_trend_63 double, ref_std_21 double, ref_ret double")
+    rows = [("D", "train", day(2), day(5), "development"), ("D", "validation", day(6), day(8), "development"), ("D", "test", day(9), day(11), "development")]
+    got = regimes.thresholds(regimes.volatility_inputs(ref), spark.createDataFrame(rows, "fold string, partition string, start date, end date, role string")).first()
+    # targets 2 to 8 are permitted: origins 1 to 7; the origin of day 8 has its target in the test range
+    assert (got["first_origin"], got["last_origin"], got["n_ret"]) == (day(1), day(7), 7)
+
+
+def test_a_winner_has_all_assets_and_needs_no_simplicity(spark):
+    from foldcast.operators import forecast
+
+    rows = [("D", "a", x, "", 0.3, 0.3) for x in "AB"] + [("D", "b", "A", "", 0.1, 0.1)] + [("D", "c", x, "", 0.2, 0.2) for x in "AB"]
+    audit = spark.createDataFrame(rows, "fold string, config string, asset string, seed string, mae double, rmse double")
+    won = forecast.fold_winner(audit, spark.createDataFrame([("a", 1), ("b", 2)], "config string, simplicity int"))
+    assert {r["config"]: r["selected"] for r in won.collect()} == {"a": 0, "b": 0, "c": 1}
