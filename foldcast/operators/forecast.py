@@ -134,12 +134,13 @@ def refit_forecasts(slices: DataFrame, winners: DataFrame, configs: Sequence[str
     return ols_predict(slices.where("partition = 'test'"), fits, configs, model)
 
 
-def refit_audit(slices: DataFrame, fits: DataFrame, forecasts: DataFrame, winners: DataFrame) -> DataFrame:
-    """Per cell, whether counts add up and the forecast is the fold winner's."""
+def refit_audit(slices: DataFrame, fits: DataFrame, forecasts: DataFrame, winners: DataFrame, cell: Sequence[str] = ("fold", "asset", "config")) -> DataFrame:
+    """Per cell, whether counts add up and the forecast is the fold winner's. A null seed is a cell's like any other."""
     n = slices.groupBy("fold", "asset").agg(*(F.count_if(F.col("partition") == p).alias(f"n_{p}") for p in ("train", "validation", "test")))
     won = winners.where("selected = 1").select("fold", F.col("config").alias("winner"))
-    told = forecasts.groupBy("fold", "asset", "config").agg(F.count("*").alias("n_forecast"))
-    out = fits.select("fold", "asset", "config", F.col("n_train").alias("n_refit")).join(told, ["fold", "asset", "config"]).join(n, ["fold", "asset"]).join(won, "fold")
+    seed = {"seed": F.coalesce("seed", F.lit(""))} if "seed" in cell else {}
+    told = forecasts.withColumns(seed).groupBy(*cell).agg(F.count("*").alias("n_forecast"))
+    out = fits.withColumns(seed).select(*cell, F.col("n_train").alias("n_refit")).join(told, list(cell)).join(n, ["fold", "asset"]).join(won, "fold")
     return out.withColumn("ok", ((F.col("n_train") + F.col("n_validation") == F.col("n_refit")) & (F.col("n_forecast") == F.col("n_test")) & (F.col("config") == F.col("winner"))).cast("int"))
 
 

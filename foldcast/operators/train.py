@@ -1,9 +1,10 @@
-"""Learned candidates as Spark jobs: boosted trees (M4) and a seeded sequence model (M5)."""
+"""Learned families as Spark jobs: boosted trees (M4), a seeded sequence model (M5) and their whole walk."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldcast import schema as C
+from foldcast.functions import ContractError, direction, require_none
+from foldcast.operators import forecast, metrics, sequences
 from foldcast.operators.forecast import forecast_rows
 
 #: Tree candidates: leaves map to depth.
@@ -38,68 +41,124 @@ def stop_at(errors: Sequence[float], rounds: int = ROUNDS) -> tuple[int, bool]:
     return best + 1, False
 
 
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit_trees(slices: DataFrame, cells: Sequence[tuple[str, str, str]], parallel: int = 4) -> tuple[list[dict], DataFrame]:
     """M4: fit (fold, asset, config) cells on train rows; an early stop on the absolute error of validation
-    rows picks the best iteration. A fit is repeated with twice the trees until the stop is reached. Returns the audit and the validation forecasts.
+    rows picks the best iteration. A fit is repeated with twice the trees until the stop is reached. Returns the fits
+    and the forecasts of the validation rows, which come from a model of the best iteration's trees.
 
-    Cells are launched from a bounded pool; each fit is a distributed job.
+    Cells are launched from a bounded pool; each fit is a distributed job on a cell's rows, which are freed after it.
     """
 
     def one(cell: tuple[str, str, str]) -> tuple[dict, DataFrame]:
         fold, asset, config = cell
         own = slices.where((F.col("fold") == fold) & (F.col("asset") == asset))
         trees, stopped = FIRST_TREES // 2, False
+        _, data = _gbt({}, own)
+        train, validation = data.where("partition = 'train'").cache(), data.where("partition = 'validation'").cache()
         while not stopped and trees < MOST_TREES:
             trees = min(trees * 2, MOST_TREES)
-            model, data = _gbt(TREES[config] | {"maxIter": trees}, own)
-            if trees == FIRST_TREES:
-                train, validation = data.where("partition = 'train'").cache(), data.where("partition = 'validation'").cache()
-            fitted = model.fit(train)
+            fitted = _gbt(TREES[config] | {"maxIter": trees}, own)[0].fit(train)
             errors = fitted.evaluateEachIteration(validation, "absolute")
             best, stopped = stop_at(errors)
         rmse = float(np.sqrt(fitted.evaluateEachIteration(validation, "squared")[best - 1]))
-        audit = {"fold": fold, "asset": asset, "config": config, "seed": None, "best_iteration": best, "n_trees": trees, "stopped": stopped, "mae": float(errors[best - 1]), "rmse": rmse, "n_train": train.count(), "n_validation": validation.count()}
-        return audit, validation.select("fold", "asset", *C.SAMPLE_KEY[1:]).withColumn("config", F.lit(config))
+        kept = fitted if best == trees else _gbt(TREES[config] | {"maxIter": best}, own)[0].fit(train)
+        fit = {"fold": fold, "asset": asset, "config": config, "seed": None, "best_iteration": best, "n_trees": trees, "stopped": stopped, "fit_mae": float(errors[best - 1]), "fit_rmse": rmse, "n_train": train.count()}
+        train.unpersist()
+        validation.unpersist()
+        return fit, forecast_rows(kept.transform(data.where("partition = 'validation'")), F.lit("tree"), F.lit(config), F.lit(None), F.col("prediction"))
 
     with ThreadPoolExecutor(parallel) as pool:
         done = list(pool.map(one, cells))
-    keys = done[0][1]
-    for _, k in done[1:]:
-        keys = keys.unionByName(k)
-    return [a for a, _ in done], keys
+    return [f for f, _ in done], _union([v for _, v in done])
 
 
-def refit_trees(slices: DataFrame, winners: Sequence[dict], parallel: int = 4) -> DataFrame:
-    """Refit each winner on train and validation for its frozen iterations; forecast test rows."""
+def refit_trees(slices: DataFrame, winners: Sequence[dict], parallel: int = 4) -> tuple[list[dict], DataFrame]:
+    """Refit each winner on train and validation for its frozen iterations. Returns the refits and the forecasts of test rows."""
 
-    def one(w: dict) -> DataFrame:
+    def one(w: dict) -> tuple[dict, DataFrame]:
         own = slices.where((F.col("fold") == w["fold"]) & (F.col("asset") == w["asset"]))
         model, data = _gbt(TREES[w["config"]] | {"maxIter": w["best_iteration"]}, own)
-        fitted = model.fit(data.where("partition <> 'test'"))
-        scored = fitted.transform(data.where("partition = 'test'"))
-        return forecast_rows(scored, F.lit("tree"), F.lit(w["config"]), F.lit(None), F.col("prediction"))
+        rows = data.where("partition <> 'test'").cache()
+        scored = model.fit(rows).transform(data.where("partition = 'test'"))
+        refit = {"fold": w["fold"], "asset": w["asset"], "config": w["config"], "seed": None, "n_train": rows.count()}
+        rows.unpersist()
+        return refit, forecast_rows(scored, F.lit("tree"), F.lit(w["config"]), F.lit(None), F.col("prediction"))
 
     with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(one, winners))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        done = list(pool.map(one, winners))
+    return [r for r, _ in done], _union([f for _, f in done])
+
+
+def _expected(slices: DataFrame, configs: Sequence[str], seeds: Sequence[str | None]) -> DataFrame:
+    """The cells that a family must have: each config and seed for each fold and asset."""
+    grid = F.array(*(F.struct(F.lit(c).alias("config"), F.lit(s).cast("string").alias("seed")) for c in configs for s in seeds))
+    return slices.select("fold", "asset").distinct().withColumn("g", F.explode(grid)).select("fold", "g.config", "asset", "g.seed")
+
+
+def select(fits: DataFrame, validation: DataFrame, expected: DataFrame, simplicity: DataFrame, tolerance: float = 1e-9) -> dict[str, DataFrame]:
+    """Audit, winners and the winners' iterations of fitted candidates.
+
+    Raises unless the grid is complete, all candidates of a fold and asset are judged on the same rows, and the
+    errors that the fits told (``fit_mae``) are those of their forecasts.
+    """
+    audit = forecast.candidate_audit(validation, fits)
+    forecast.require_complete(forecast.grid_gaps(audit, expected))
+    require_none(forecast.key_agreement(validation).where("n_key_sets > 1"), "candidates are judged on different rows")
+    told = fits.select("fold", "asset", "config", F.coalesce("seed", F.lit("")).alias("s"), "fit_mae")
+    both = audit.withColumn("s", F.coalesce("seed", F.lit(""))).join(told, ["fold", "asset", "config", "s"])
+    require_none(both.where(F.abs(F.col("mae") - F.col("fit_mae")) > tolerance).select("fold", "asset", "config", "s", "mae", "fit_mae"), "errors of fits and of their forecasts differ")
+    winners = forecast.fold_winner(audit, simplicity)
+    return {"audit": audit, "winners": winners, "iterations": forecast.winner_iterations(winners, fits)}
+
 
+def _scored(slices: DataFrame, chosen: dict[str, DataFrame], refits: DataFrame, forecasts: DataFrame, validation: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a family's walk; raises if a refit isn't the winner's on all its rows."""
+    check = forecast.refit_audit(slices, refits, forecasts, chosen["winners"], ("fold", "asset", "config", "seed"))
+    require_none(check.where("ok = 0"), "refits that don't add up")
+    return chosen | {"validation": validation, "forecasts": forecasts, "refit_audit": check, "scores": metrics.error_metrics(forecasts, ("model", "config", "seed", "fold", "asset"))}
 
-Fitter = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[Callable[[np.ndarray], np.ndarray], int]]
 
+def _simplicity(slices: DataFrame, configs: Sequence[str]) -> DataFrame:
+    return slices.sparkSession.createDataFrame([(c, k + 1) for k, c in enumerate(configs)], "config string, simplicity int")
 
-def linear_fitter(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray, seed: int, epochs: int = 40, patience: int = 5, min_delta: float = 1e-6, rate: float = 0.01) -> tuple[Callable[[np.ndarray], np.ndarray], int]:
-    """The default of M5: gradient descent on flattened windows, stopped when validation error stalls."""
+
+def tree_family(slices: DataFrame, parallel: int = 4) -> dict[str, DataFrame]:
+    """M14 with M4: candidates of every fold and asset, complete grid, one winner a fold, refits, scores.
+
+    ``slices`` has the eligible rows of the development folds (D4). The cells, a row each, are what the driver holds.
+    """
+    spark, rows = slices.sparkSession, slices.cache()
+    expected = _expected(rows, list(TREES), [None])
+    cells = [(r["fold"], r["asset"], r["config"]) for r in expected.orderBy("fold", "asset", "config").collect()]
+    fits, validation = fit_trees(rows, cells, parallel)
+    table = spark.createDataFrame(fits, "fold string, asset string, config string, seed string, best_iteration int, n_trees int, stopped boolean, fit_mae double, fit_rmse double, n_train long")
+    chosen = select(table, validation.cache(), expected, _simplicity(rows, list(TREES)))
+    won = [r.asDict() for r in chosen["iterations"].orderBy("fold", "asset").collect()]
+    refits, forecasts = refit_trees(rows, won, parallel)
+    return _scored(rows, chosen, spark.createDataFrame(refits, "fold string, asset string, config string, seed string, n_train long"), forecasts, validation)
+
+
+#: (x, y, validation x, validation y, seed, frozen epochs or None) to (predictor, epochs). With frozen epochs there is no stop.
+Fitter = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, "int | None"], tuple[Callable[[np.ndarray], np.ndarray], int]]
+
+
+def linear_fitter(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray, seed: int, frozen: int | None = None, epochs: int = 40, patience: int = 5, min_delta: float = 1e-6, rate: float = 0.01) -> tuple[Callable[[np.ndarray], np.ndarray], int]:
+    """The default of M5: gradient descent on flattened windows, stopped when validation error stalls or after ``frozen`` epochs."""
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, 0.01, x.shape[1]), 0.0
     best, best_w, best_b, best_epoch, waited = np.inf, w, b, 0, 0
-    for epoch in range(1, epochs + 1):
+    for epoch in range(1, (epochs if frozen is None else frozen) + 1):
         for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // 64)):
             e = np.clip(x[at] @ w + b - y[at], -0.05, 0.05)
             w = w - rate * (x[at].T @ e / max(1, len(at)) + 1e-3 * w)
             b = b - rate * e.mean() if len(at) else b
+        if frozen is not None:
+            best_w, best_b, best_epoch = w, b, epoch
+            continue
         error = float(np.abs(vx @ w + b - vy).mean()) if len(vx) else float(np.abs(x @ w + b - y).mean())
         if error < best - min_delta:
             best, best_w, best_b, best_epoch, waited = error, w, b, epoch, 0
@@ -108,25 +167,71 @@ def linear_fitter(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray,
     return (lambda z: z @ best_w + best_b), best_epoch
 
 
-def fit_sequences(seqs: DataFrame, configs: Sequence[str], seeds: Sequence[int], fitter: Fitter = linear_fitter) -> DataFrame:
-    """M5: one grouped-map task per (fold, asset, config, seed) on scaled windows (fold, partition, asset, dates, target_return, seq).
+_CELL = "fold string, partition string, asset string, origin_date date, target_date date, target_return double, config string, seed string, predicted double, iteration int, n_train long"
+_KEPT = ["fold", "partition", "asset", "origin_date", "target_date", "target_return"]
+
+
+def scaled_windows(sup: DataFrame, slices: DataFrame, lengths: Mapping[str, int], usage: str = "selection") -> DataFrame:
+    """The scaled windows of the longest context (F13, F15, F16) as ``x``, flat; a shorter context is the end of it.
+
+    So all contexts have the same endpoints. Scalers are fitted on train rows ('selection') or train and validation rows ('refit').
+    """
+    ends = sequences.endpoint_windows(sup, slices, max(lengths.values())).where("usable = 1")
+    z = sequences.apply_scaler(ends, sequences.fit_scaler(slices, usage=usage))
+    return z.select(*_KEPT, F.flatten("seq").alias("x"))
+
+
+def _cell(pdf: pd.DataFrame, fit_on: Sequence[str], told: str, config: str, length: int, seed: str, fitter: Fitter, frozen: int | None) -> pd.DataFrame:
+    """Fit one cell on the windows of ``fit_on`` and forecast those of the partition ``told``."""
+    pdf = pdf.sort_values(["origin_date", "target_date"])
+    values = lambda d: (np.stack([np.asarray(v, dtype=float)[-length * len(C.FEATURES) :] for v in d["x"]]), d["target_return"].to_numpy(dtype=float))
+    own, out = pdf[pdf["partition"].isin(fit_on)], pdf[pdf["partition"] == told]
+    if own.empty or out.empty:
+        return pd.DataFrame(columns=[f.split()[0] for f in _CELL.split(", ")])
+    (x, y), (vx, vy) = values(own), values(out)
+    predict, n = fitter(x, y, vx if frozen is None else vx[:0], vy if frozen is None else vy[:0], int(seed), frozen)
+    return out[_KEPT].assign(config=config, seed=seed, predicted=predict(vx), iteration=n, n_train=len(x))
+
+
+def fit_sequences(windows: DataFrame, lengths: Mapping[str, int], seeds: Sequence[str], fitter: Fitter = linear_fitter) -> DataFrame:
+    """M5: fits of each context and seed on train windows, stopped by validation windows, whose forecasts it returns.
+
+    One grouped-map task per fold and asset: its daily windows are shuffled once, whatever the grid.
+    """
+
+    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([_cell(pdf, ["train"], "validation", c, n, s, fitter, None) for c, n in lengths.items() for s in seeds])
+
+    return windows.where("partition <> 'test'").groupBy("fold", "asset").applyInPandas(cells, _CELL)
+
+
+def refit_sequences(windows: DataFrame, iterations: DataFrame, lengths: Mapping[str, int], fitter: Fitter = linear_fitter) -> DataFrame:
+    """Refit the winners' cells (fold, asset, config, seed, best_iteration) on train and validation windows for their
+    frozen epochs; forecast test windows once."""
+
+    def cells(pdf: pd.DataFrame, won: pd.DataFrame) -> pd.DataFrame:
+        done = [_cell(pdf, ["train", "validation"], "test", w.config, lengths[w.config], w.seed, fitter, int(w.best_iteration)) for w in won.itertuples()]
+        return pd.concat(done) if done else pd.DataFrame(columns=[f.split()[0] for f in _CELL.split(", ")])
+
+    # keys of their own name: the winners may come from the same tables as the windows
+    won = iterations.select(F.col("fold").alias("won_fold"), F.col("asset").alias("won_asset"), "config", "seed", "best_iteration")
+    return windows.groupBy("fold", "asset").cogroup(won.groupBy("won_fold", "won_asset")).applyInPandas(cells, _CELL)
+
+
+def sequence_family(sup: DataFrame, slices: DataFrame, lengths: Mapping[str, int], seeds: Sequence[str], fitter: Fitter = linear_fitter) -> dict[str, DataFrame]:
+    """M14 with M5: contexts and seeds of every fold and asset, complete grid, one context a fold, refits, scores.
 
-    A cell has the daily windows of one asset. Returns forecasts of its validation and test rows.
+    Simpler is the earlier in ``lengths``. A seed is part of the grid and is never chosen.
     """
-    grid = F.array(*(F.struct(F.lit(c).alias("config"), F.lit(s).alias("seed")) for c in configs for s in seeds))
-    rows = seqs.where("usable = 1").select("fold", "partition", "asset", "origin_date", "target_date", "target_return", F.flatten("seq").alias("x"), F.explode(grid).alias("g")).select("*", "g.config", "g.seed").drop("g")
-
-    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("origin_date")
-        part = {p: d for p, d in pdf.groupby("partition")}
-        mat = lambda p: (np.stack(part[p]["x"].to_numpy()).astype(float), part[p]["target_return"].to_numpy()) if p in part else (np.zeros((0, len(pdf["x"].iloc[0]))), np.zeros(0))
-        (x, y), (vx, vy) = mat("train"), mat("validation")
-        out = pdf[pdf["partition"] != "train"][["fold", "partition", "asset", "origin_date", "target_date", "target_return"]].copy()
-        if not len(x) or not len(out):
-            return out.iloc[:0].assign(config=key[2], seed=str(key[3]), predicted=0.0, best_epoch=0)
-        model, epoch = fitter(x, y, vx, vy, int(key[3]))
-        scored = pdf[pdf["partition"] != "train"]
-        return out.assign(config=key[2], seed=str(key[3]), predicted=model(np.stack(scored["x"].to_numpy()).astype(float)), best_epoch=epoch)
-
-    schema = "fold string, partition string, asset string, origin_date date, target_date date, target_return double, config string, seed string, predicted double, best_epoch int"
-    return rows.groupBy("fold", "asset", "config", "seed").applyInPandas(cell, schema)
+    if not lengths or not seeds:
+        raise ContractError("a sequence family needs contexts and seeds")
+    rows = lambda d: forecast_rows(d.withColumn("target_direction", direction(F.col("target_return"))), F.lit("sequence"), F.col("config"), F.col("seed"), F.col("predicted"))
+    cell = ("fold", "asset", "config", "seed")
+    fitted = fit_sequences(scaled_windows(sup, slices, lengths), lengths, seeds, fitter).cache()
+    error = F.avg(F.abs(F.col("predicted") - F.col("target_return")))
+    fits = fitted.groupBy(*cell).agg(F.max("iteration").alias("best_iteration"), F.max("n_train").alias("n_train"), error.alias("fit_mae"))
+    chosen = select(fits, rows(fitted), _expected(slices, list(lengths), seeds), _simplicity(slices, list(lengths)))
+    windows = scaled_windows(sup, slices, lengths, "refit")
+    refitted = refit_sequences(windows, chosen["iterations"], lengths, fitter).cache()
+    refits = refitted.groupBy(*cell).agg(F.max("n_train").alias("n_train"))
+    return _scored(windows, chosen, refits, rows(refitted), rows(fitted))

@@ -15,6 +15,8 @@ from foldcast.plans.oracle import CONFIGS, LEAST, METRICS, SEEDS, four, sign, sq
 from foldcast.sources import artifacts, panel as sources
 
 ASSETS = ("A", "N", "R")
+#: Contexts of the sequence family in sessions, the simpler first.
+CONTEXTS = {"L5": 5, "L21": 21}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -407,21 +409,12 @@ def _(t):
 
 @query("m4_tree_family")
 def _(t):
-    dev = t.dev.cache()
-    names = [r[0] for r in dev.select("fold").distinct().orderBy("fold").collect()]
-    audit, _ = train.fit_trees(dev, [(f, a, c) for f in names for a in ASSETS for c in train.TREES])
-    done = t.spark.createDataFrame(audit, "fold string, asset string, config string, seed string, best_iteration int, mae double, rmse double")
-    simple = t.spark.createDataFrame([(c, k + 1) for k, c in enumerate(train.TREES)], "config string, simplicity int")
-    won = forecast.winner_iterations(forecast.fold_winner(done, simple), done).orderBy("fold", "asset").collect()
-    return metrics.error_metrics(train.refit_trees(dev, [r.asDict() for r in won]), ("model", "config", "fold", "asset"))
+    return train.tree_family(t.dev)["scores"]
 
 
 @query("m5_sequence_family")
 def _(t):
-    ends = t.dev.select("fold", "partition", *C.SAMPLE_KEY)
-    scaled = sequences.apply_scaler(sequences.endpoint_windows(t.sup, ends, 5).where("usable = 1"), sequences.fit_scaler(t.dev))
-    done = train.fit_sequences(scaled, ["L5"], [1, 2])
-    return done.groupBy("fold", "partition", "asset", "config", "seed").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("predicted") - F.col("target_return"))).alias("mae"), F.max("best_epoch").alias("best_epoch"))
+    return train.sequence_family(t.sup, t.dev, CONTEXTS, SEEDS)["scores"]
 
 
 # comparison and metrics
