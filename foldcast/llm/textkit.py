@@ -96,11 +96,11 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield at, span_hash(sums, start, end), np.searchsorted(start, own)
 
 
-def word_bounds(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word of the texts with bounds ``own`` in the bytes ``part``."""
+def word_bounds(part: np.ndarray, own: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of the texts with bounds ``own`` in the bytes ``part``; ``gap`` marks the bytes between."""
     if not len(part):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~IS_SPACE[part]
+    solid = ~gap[part]
     first = np.empty(len(part), dtype=bool)
     first[0], first[1:] = True, ~solid[:-1]
     inner = own[own < len(part)]
