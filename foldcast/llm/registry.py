@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldcast.llm import chat, collocations, decontaminate, jaccard_join, language_id, line_dedup, lm_score, packing, quality, robust_quality, topk, warc
+from foldcast.llm import chat, collocations, decontaminate, hard_negatives, jaccard_join, language_id, line_dedup, lm_score, packing, quality, robust_quality, topk, warc
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_top_k": topk.query,
         "op9_decontamination": decontaminate.query,
         "op10_warc_revisits": warc.query,
+        "op11_hard_negatives": hard_negatives.query,
         "op12_collocations": collocations.query,
         "op13_robust_quality": robust_quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.SQL, "op8_top_k": topk.SQL, "op10_warc_revisits": warc.SQL, "op12_collocations": collocations.SQL}
+    return {"op2_chat_format": chat.SQL, "op8_top_k": topk.SQL, "op10_warc_revisits": warc.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_collocations": collocations.SQL}
