@@ -16,13 +16,12 @@ TIE = 1e-5
 
 
 def forecast_rows(df: DataFrame, model: Column, config: Column, seed: Column, predicted: Column, predicted_direction: Column | None = None, run_id: str = "run") -> DataFrame:
-    """M6: rows of the 18-column forecast table; the direction is the sign of the forecast unless given."""
+    """M6: rows of the forecast table; the direction is the sign of the forecast unless given. Provenance is stamped on results."""
     none = F.lit(None).cast("string")
     return df.select(
-        F.lit(run_id).alias("run_id"), F.lit("1").alias("spec_version"), F.lit("1").alias("data_version"), model.alias("model"), config.alias("config"), seed.cast("string").alias("seed"),
-        "fold", "partition", "asset", "origin_date", "target_date", F.col("target_return").alias("actual_return"), predicted.cast("double").alias("predicted_return"),
-        F.col("target_direction").alias("actual_direction"), (direction(predicted) if predicted_direction is None else predicted_direction).cast("int").alias("predicted_direction"),
-        none.alias("trend_regime"), none.alias("volatility_regime"), none.alias("transition_regime"),
+        model.alias("model"), config.alias("config"), seed.cast("string").alias("seed"), "fold", "partition", "asset", "origin_date", "target_date",
+        predicted.cast("double").alias("predicted_return"), F.col("target_return").alias("actual_return"), (direction(predicted) if predicted_direction is None else predicted_direction).cast("int").alias("predicted_direction"), F.col("target_direction").alias("actual_direction"),
+        none.alias("trend_regime"), none.alias("volatility_regime"), none.alias("transition_regime"), F.lit(run_id).alias("run_id"),
     )
 
 
@@ -32,13 +31,19 @@ def zero_return() -> Column:
 
 
 def persistence(ret: str = "ret") -> Column:
-    """M2: the direction of the origin session; null where that isn't finite."""
-    return F.when(finite(F.col(ret)), direction(F.col(ret)))
+    """M2: the direction of the origin session; a return that isn't finite is an error when its row is read."""
+    return F.when(finite(F.col(ret)), direction(F.col(ret))).otherwise(F.raise_error(F.lit(f"{ret} of the origin session isn't finite")).cast("int"))
 
 
-def baseline_forecasts(slices: DataFrame) -> DataFrame:
-    """M3: zero return and persistent direction on eligible test rows of the development folds."""
+def baseline_forecasts(slices: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """M3: zero return and persistent direction on eligible test rows of the development folds.
+
+    With ``assets``, every development fold must have test rows of them all.
+    """
     test = slices.where("partition = 'test' AND role = 'development'")
+    if assets is not None:
+        grid = test.select("fold").distinct().join(F.broadcast(assets.select("asset").distinct().agg(F.collect_set("asset").alias("assets")))).select("fold", F.explode("assets").alias("asset"))
+        require_none(grid.join(test, ["fold", "asset"], "left_anti"), "test slices without an asset")
     return forecast_rows(test, F.lit("baseline"), F.lit("zero_persistence"), F.lit(None), zero_return(), persistence())
 
 
@@ -70,12 +75,12 @@ def ols_predict(rows: DataFrame, fits: DataFrame, configs: Sequence[str], model:
 
 
 def candidate_audit(validation: DataFrame, fits: DataFrame) -> DataFrame:
-    """M7: per cell rows, errors and class counts on validation rows."""
+    """M7: per cell rows, errors and class counts on validation rows; of the fits also iterations and seconds, where they have them."""
     e = F.col("predicted_return") - F.col("actual_return")
     agg = validation.groupBy("fold", "config", "asset", "seed").agg(
-        F.count("*").alias("n_validation"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((F.col("actual_direction") == F.col("predicted_direction")).cast("double")).alias("da"), F.count_if(F.col("actual_direction") == 1).alias("n_positive")
+        F.count("*").alias("n_validation"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((F.col("actual_direction") == F.col("predicted_direction")).cast("double")).alias("da"), F.count_if(F.col("actual_direction") == 1).alias("n_positive"), F.count_if(F.col("actual_direction") != 1).alias("n_other")
     )
-    f = fits.select("fold", "asset", "config", F.coalesce("seed", F.lit("")).alias("s"), "n_train")
+    f = fits.select("fold", "asset", "config", F.coalesce("seed", F.lit("")).alias("s"), "n_train", *(c for c in ("best_iteration", "runtime") if c in fits.columns))
     out = agg.withColumn("s", F.coalesce("seed", F.lit(""))).join(f, ["fold", "asset", "config", "s"], "left").drop("s")
     return out.withColumn("status", F.when(finite(F.col("mae")), "completed").otherwise("failed"))
 
@@ -134,14 +139,23 @@ def refit_forecasts(slices: DataFrame, winners: DataFrame, configs: Sequence[str
     return ols_predict(slices.where("partition = 'test'"), fits, configs, model)
 
 
-def refit_audit(slices: DataFrame, fits: DataFrame, forecasts: DataFrame, winners: DataFrame, cell: Sequence[str] = ("fold", "asset", "config")) -> DataFrame:
-    """Per cell, whether counts add up and the forecast is the fold winner's. A null seed is a cell's like any other."""
+def refit_audit(slices: DataFrame, fits: DataFrame, forecasts: DataFrame, winners: DataFrame, cell: Sequence[str] = ("fold", "asset", "config"), iterations: DataFrame | None = None) -> DataFrame:
+    """Per cell, whether counts add up and the forecast is the fold winner's. A null seed is a cell's like any other.
+
+    ``slices`` has a row (fold, asset, partition) for each row that may be fitted on or forecast. With ``iterations`` (M10), the refit's
+    iterations (``best_iteration`` of ``fits``) must equal them, and a cell that they lack isn't ok.
+    """
     n = slices.groupBy("fold", "asset").agg(*(F.count_if(F.col("partition") == p).alias(f"n_{p}") for p in ("train", "validation", "test")))
     won = winners.where("selected = 1").select("fold", F.col("config").alias("winner"))
     seed = {"seed": F.coalesce("seed", F.lit(""))} if "seed" in cell else {}
     told = forecasts.withColumns(seed).groupBy(*cell).agg(F.count("*").alias("n_forecast"))
-    out = fits.withColumns(seed).select(*cell, F.col("n_train").alias("n_refit")).join(told, list(cell)).join(n, ["fold", "asset"]).join(won, "fold")
-    return out.withColumn("ok", ((F.col("n_train") + F.col("n_validation") == F.col("n_refit")) & (F.col("n_forecast") == F.col("n_test")) & (F.col("config") == F.col("winner"))).cast("int"))
+    refits = fits.withColumns(seed).select(*cell, F.col("n_train").alias("n_refit"), *([F.col("best_iteration").alias("iterations")] if iterations is not None else []))
+    out = refits.join(told, list(cell)).join(n, ["fold", "asset"]).join(won, "fold")
+    ok = (F.col("n_train") + F.col("n_validation") == F.col("n_refit")) & (F.col("n_forecast") == F.col("n_test")) & (F.col("config") == F.col("winner"))
+    if iterations is not None:
+        out = out.join(iterations.withColumns(seed).select(*cell, F.col("best_iteration").alias("frozen")), list(cell), "left")
+        ok = ok & F.coalesce(F.col("iterations") == F.col("frozen"), F.lit(False))
+    return out.withColumn("ok", ok.cast("int"))
 
 
 def replay(first: DataFrame, second: DataFrame, keys: Sequence[str] = (*C.FORECAST_KEY, "config")) -> DataFrame:

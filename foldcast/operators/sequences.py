@@ -33,6 +33,14 @@ def endpoint_windows(sup: DataFrame, endpoints: DataFrame, length: int, features
     return out
 
 
+def usable_endpoints(sup: DataFrame, endpoints: DataFrame, length: int, features: Sequence[str] = C.FEATURES) -> DataFrame:
+    """the endpoints (fold, partition, sample key) with a whole window of ``length`` rows; windows aren't made."""
+    w = Window.partitionBy("asset").orderBy("origin_date").rowsBetween(1 - length, 0)
+    fine = F.forall(F.array(*(F.col(c).cast("float") for c in features)), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).cast("int")
+    whole = sup.select(*C.SAMPLE_KEY, F.sum(fine).over(w).alias("n_fine")).where(F.col("n_fine") == length).select(*C.SAMPLE_KEY)
+    return endpoints.select("fold", "partition", *C.SAMPLE_KEY).join(whole, list(C.SAMPLE_KEY))
+
+
 def patches(seq: Column, length: int, size: int, stride: int, channels: int) -> Column:
     """[channel][patch][value]; patches are right-aligned, without padding."""
     first = (length - size) % stride

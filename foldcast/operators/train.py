@@ -1,149 +1,104 @@
-"""Learned families as Spark jobs: boosted trees (M4), a seeded sequence model (M5) and their whole walk."""
+"""Learned families as Spark jobs: boosted trees (M4), a seeded sequence model (M5), their whole walk (M11, M14) and its replay.
+
+A *block* is one asset's sessions of a fold, in order, as bytes in one row, stored once. A *cell* is a small descriptor (fold, asset,
+config, seed, iterations) that reads a block by its id; each is one grouped-map task, so tasks grow with folds, assets and the grid,
+never with the windows of a cell: a cell cuts them out of its block.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldcast import schema as C
 from foldcast.functions import ContractError, direction, require_none
-from foldcast.operators import forecast, metrics, sequences
+from foldcast.operators import boosting, forecast, metrics, sequences
 from foldcast.operators.forecast import forecast_rows
+from foldcast.sources.artifacts import stored
 
-#: Tree candidates: leaves map to depth.
-TREES = {"shallow": {"maxDepth": 3, "stepSize": 0.1}, "deep": {"maxDepth": 4, "stepSize": 0.1}}
-#: Rounds without gain that end a candidate fit, the first number of trees (doubled while the stop isn't reached), and the most.
-ROUNDS, FIRST_TREES, MOST_TREES = 50, 64, 1000
-
-
-def _gbt(params: dict, rows: DataFrame, seed: int = 42):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    data = VectorAssembler(inputCols=list(C.FEATURES), outputCol="x").transform(rows)
-    return GBTRegressor(featuresCol="x", labelCol="target_return", lossType="absolute", seed=seed, **params), data
+#: Tree candidates, the simpler first: fewer leaves, then larger ones.
+TREES = {"leaves15_least50": boosting.Params(15, 50), "leaves15_least20": boosting.Params(15, 20), "leaves31_least50": boosting.Params(31, 50), "leaves31_least20": boosting.Params(31, 20)}
+PARTS = ("train", "validation", "test")
+CELL = ["fold", "asset", "config", "seed"]
 
+#: (x, y, validation x, validation y, seed, frozen epochs or None) to (predictor, epochs). With frozen epochs there is no stop.
+Fitter = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, "int | None"], tuple[Callable[[np.ndarray], np.ndarray], int]]
+#: (block, rows to fit on, rows to forecast, config, seed, frozen iterations or None) to (forecasts, iterations, whether a stop was reached, rows
+#: fitted on, rows that the forecasts are of), or None where nothing can be fitted or forecast.
+CellFit = Callable[["Block", np.ndarray, np.ndarray, str, "str | None", "int | None"], "tuple[np.ndarray, int, bool, int, np.ndarray] | None"]
 
-def stop_at(errors: Sequence[float], rounds: int = ROUNDS) -> tuple[int, bool]:
-    """The iteration (from 1) that an early stop keeps, and whether so many rounds without gain followed it."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= rounds:
-            return best + 1, True
-    return best + 1, False
 
+class Block:
+    """A block's columns: ``part`` 0 to 2 as in ``PARTS`` (-1: history only), days, targets, and features (sessions x features)."""
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    def __init__(self, part: bytes, origin: bytes, target: bytes, y: bytes, x: bytes) -> None:
+        self.part = np.frombuffer(part, np.int8)
+        self.origin, self.target = np.frombuffer(origin, np.int32), np.frombuffer(target, np.int32)
+        self.y, self.x = np.frombuffer(y, np.float64), np.frombuffer(x, np.float64).reshape(len(self.part), -1)
 
 
-def fit_trees(slices: DataFrame, cells: Sequence[tuple[str, str, str]], parallel: int = 4) -> tuple[list[dict], DataFrame]:
-    """M4: fit (fold, asset, config) cells on train rows; an early stop on the absolute error of validation
-    rows picks the best iteration. A fit is repeated with twice the trees until the stop is reached. Returns the fits
-    and the forecasts of the validation rows, which come from a model of the best iteration's trees.
+def blocks(slices: DataFrame, history: DataFrame | None = None, features: Sequence[str] = C.FEATURES) -> DataFrame:
+    """(fold, asset, part, origin, target, y, x) with the rows of ``slices`` in order of their days.
 
-    Cells are launched from a bounded pool; each fit is a distributed job on a cell's rows, which are freed after it.
+    ``history`` (F9) adds the sessions of the same assets that aren't in a fold's slices; they are never fitted on or forecast.
     """
+    narrow = lambda d, *more: d.select(*more, *C.SAMPLE_KEY, "target_return", *(F.col(c).cast("double").alias(c) for c in features))
+    part = F.array_position(F.array(*(F.lit(p) for p in PARTS)), F.col("partition")).cast("int") - 1
+    if history is None:
+        rows = narrow(slices, "fold", part.alias("part"))
+    else:
+        of = slices.select("fold", *C.SAMPLE_KEY, part.alias("part"))
+        whole = narrow(history).join(slices.select("fold", "asset").distinct(), "asset")
+        rows = whole.join(of, ["fold", *C.SAMPLE_KEY], "left").withColumn("part", F.coalesce("part", F.lit(-1)))
 
-    def one(cell: tuple[str, str, str]) -> tuple[dict, DataFrame]:
-        fold, asset, config = cell
-        own = slices.where((F.col("fold") == fold) & (F.col("asset") == asset))
-        trees, stopped = FIRST_TREES // 2, False
-        _, data = _gbt({}, own)
-        train, validation = data.where("partition = 'train'").cache(), data.where("partition = 'validation'").cache()
-        while not stopped and trees < MOST_TREES:
-            trees = min(trees * 2, MOST_TREES)
-            fitted = _gbt(TREES[config] | {"maxIter": trees}, own)[0].fit(train)
-            errors = fitted.evaluateEachIteration(validation, "absolute")
-            best, stopped = stop_at(errors)
-        rmse = float(np.sqrt(fitted.evaluateEachIteration(validation, "squared")[best - 1]))
-        kept = fitted if best == trees else _gbt(TREES[config] | {"maxIter": best}, own)[0].fit(train)
-        fit = {"fold": fold, "asset": asset, "config": config, "seed": None, "best_iteration": best, "n_trees": trees, "stopped": stopped, "fit_mae": float(errors[best - 1]), "fit_rmse": rmse, "n_train": train.count()}
-        train.unpersist()
-        validation.unpersist()
-        return fit, forecast_rows(kept.transform(data.where("partition = 'validation'")), F.lit("tree"), F.lit(config), F.lit(None), F.col("prediction"))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(one, cells))
-    return [f for f, _ in done], _union([v for _, v in done])
-
-
-def refit_trees(slices: DataFrame, winners: Sequence[dict], parallel: int = 4) -> tuple[list[dict], DataFrame]:
-    """Refit each winner on train and validation for its frozen iterations. Returns the refits and the forecasts of test rows."""
-
-    def one(w: dict) -> tuple[dict, DataFrame]:
-        own = slices.where((F.col("fold") == w["fold"]) & (F.col("asset") == w["asset"]))
-        model, data = _gbt(TREES[w["config"]] | {"maxIter": w["best_iteration"]}, own)
-        rows = data.where("partition <> 'test'").cache()
-        scored = model.fit(rows).transform(data.where("partition = 'test'"))
-        refit = {"fold": w["fold"], "asset": w["asset"], "config": w["config"], "seed": None, "n_train": rows.count()}
-        rows.unpersist()
-        return refit, forecast_rows(scored, F.lit("tree"), F.lit(w["config"]), F.lit(None), F.col("prediction"))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(one, winners))
-    return [r for r, _ in done], _union([f for _, f in done])
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("origin_date", "ascending"), ("target_date", "ascending")])
+        days = [t.column(c).cast(pa.int32()).to_numpy() for c in ("origin_date", "target_date")]
+        x = np.stack([t.column(c).to_numpy().astype(np.float64) for c in features], 1)
+        told = [t.column("part").to_numpy().astype(np.int8), *days, t.column("target_return").to_numpy().astype(np.float64), x]
+        return pa.table({"fold": t.column("fold").slice(0, 1), "asset": t.column("asset").slice(0, 1)} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(("part", "origin", "target", "y", "x"), told)})
 
+    return rows.groupBy("fold", "asset").applyInArrow(pack, "fold string, asset string, part binary, origin binary, target binary, y binary, x binary")
 
-def _expected(slices: DataFrame, configs: Sequence[str], seeds: Sequence[str | None]) -> DataFrame:
-    """The cells that a family must have: each config and seed for each fold and asset."""
-    grid = F.array(*(F.struct(F.lit(c).alias("config"), F.lit(s).cast("string").alias("seed")) for c in configs for s in seeds))
-    return slices.select("fold", "asset").distinct().withColumn("g", F.explode(grid)).select("fold", "g.config", "asset", "g.seed")
 
+_TOLD = "fold string, partition string, asset string, origin_date date, target_date date, target_return double, config string, seed string, predicted double, iteration int, stopped boolean, n_train long, fit_mae double, fit_rmse double, runtime double"
 
-def select(fits: DataFrame, validation: DataFrame, expected: DataFrame, simplicity: DataFrame, tolerance: float = 1e-9) -> dict[str, DataFrame]:
-    """Audit, winners and the winners' iterations of fitted candidates.
-
-    Raises unless the grid is complete, all candidates of a fold and asset are judged on the same rows, and the
-    errors that the fits told (``fit_mae``) are those of their forecasts.
-    """
-    audit = forecast.candidate_audit(validation, fits)
-    forecast.require_complete(forecast.grid_gaps(audit, expected))
-    require_none(forecast.key_agreement(validation).where("n_key_sets > 1"), "candidates are judged on different rows")
-    told = fits.select("fold", "asset", "config", F.coalesce("seed", F.lit("")).alias("s"), "fit_mae")
-    both = audit.withColumn("s", F.coalesce("seed", F.lit(""))).join(told, ["fold", "asset", "config", "s"])
-    require_none(both.where(F.abs(F.col("mae") - F.col("fit_mae")) > tolerance).select("fold", "asset", "config", "s", "mae", "fit_mae"), "errors of fits and of their forecasts differ")
-    winners = forecast.fold_winner(audit, simplicity)
-    return {"audit": audit, "winners": winners, "iterations": forecast.winner_iterations(winners, fits)}
-
-
-def _scored(slices: DataFrame, chosen: dict[str, DataFrame], refits: DataFrame, forecasts: DataFrame, validation: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a family's walk; raises if a refit isn't the winner's on all its rows."""
-    check = forecast.refit_audit(slices, refits, forecasts, chosen["winners"], ("fold", "asset", "config", "seed"))
-    require_none(check.where("ok = 0"), "refits that don't add up")
-    return chosen | {"validation": validation, "forecasts": forecasts, "refit_audit": check, "scores": metrics.error_metrics(forecasts, ("model", "config", "seed", "fold", "asset"))}
 
+def run_cells(made: DataFrame, cells: DataFrame, fit: CellFit, fit_on: Sequence[str], told: str) -> DataFrame:
+    """Fit each cell (fold, asset, config, seed, frozen) on the partitions ``fit_on`` of its block and forecast those of ``told``.
 
-def _simplicity(slices: DataFrame, configs: Sequence[str]) -> DataFrame:
-    return slices.sparkSession.createDataFrame([(c, k + 1) for k, c in enumerate(configs)], "config string, simplicity int")
+    A row a forecast, with the cell's iterations, rows, errors and seconds beside it. Cells without rows of either kind, or without a
+    block, give none.
+    """
 
+    def one(t: pa.Table) -> pa.Table:
+        began, row = time.perf_counter(), {c: t.column(c)[0].as_py() for c in t.column_names}
+        b = Block(*(row[c] for c in ("part", "origin", "target", "y", "x")))
+        own, out = np.flatnonzero(np.isin(b.part, [PARTS.index(p) for p in fit_on])), np.flatnonzero(b.part == PARTS.index(told))
+        done = fit(b, own, out, row["config"], row["seed"], row["frozen"]) if len(own) and len(out) else None
+        names = [f.split()[0] for f in _TOLD.split(", ")]
+        if done is None:
+            return pa.table({c: [] for c in names})
+        predicted, iteration, stopped, fitted, at = done
+        error = predicted - b.y[at]
+        n, same = len(at), lambda v, kind=None: pa.array([v] * len(at), kind)
+        values = [same(row["fold"]), same(told), same(row["asset"]), pa.array(b.origin[at], pa.date32()), pa.array(b.target[at], pa.date32()), pa.array(b.y[at]), same(row["config"]), same(row["seed"], pa.string()), pa.array(predicted), same(iteration, pa.int32()), same(stopped, pa.bool_())]
+        values += [same(fitted, pa.int64()), same(float(np.abs(error).mean()) if n else None, pa.float64()), same(float(np.sqrt((error**2).mean())) if n else None, pa.float64()), same(time.perf_counter() - began)]
+        return pa.table(values, names)
 
-def tree_family(slices: DataFrame, parallel: int = 4) -> dict[str, DataFrame]:
-    """M14 with M4: candidates of every fold and asset, complete grid, one winner a fold, refits, scores.
+    return cells.join(made, ["fold", "asset"]).groupBy(*CELL).applyInArrow(one, _TOLD)
 
-    ``slices`` has the eligible rows of the development folds (D4). The cells, a row each, are what the driver holds.
-    """
-    spark, rows = slices.sparkSession, slices.cache()
-    expected = _expected(rows, list(TREES), [None])
-    cells = [(r["fold"], r["asset"], r["config"]) for r in expected.orderBy("fold", "asset", "config").collect()]
-    fits, validation = fit_trees(rows, cells, parallel)
-    table = spark.createDataFrame(fits, "fold string, asset string, config string, seed string, best_iteration int, n_trees int, stopped boolean, fit_mae double, fit_rmse double, n_train long")
-    chosen = select(table, validation.cache(), expected, _simplicity(rows, list(TREES)))
-    won = [r.asDict() for r in chosen["iterations"].orderBy("fold", "asset").collect()]
-    refits, forecasts = refit_trees(rows, won, parallel)
-    return _scored(rows, chosen, spark.createDataFrame(refits, "fold string, asset string, config string, seed string, n_train long"), forecasts, validation)
 
-
-#: (x, y, validation x, validation y, seed, frozen epochs or None) to (predictor, epochs). With frozen epochs there is no stop.
-Fitter = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, "int | None"], tuple[Callable[[np.ndarray], np.ndarray], int]]
+def tree_cell(b: Block, own: np.ndarray, out: np.ndarray, config: str, seed: str | None, frozen: int | None):
+    """M4 in a cell: candidates stop on the rows that they forecast; refits have their trees frozen."""
+    stop = out if frozen is None else out[:0]
+    model = boosting.fit(b.x[own], b.y[own], b.x[stop], b.y[stop], TREES[config], frozen)
+    return model.predict(b.x[out]), model.best_iteration, model.stopped, len(own), out
 
 
 def linear_fitter(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray, seed: int, frozen: int | None = None, epochs: int = 40, patience: int = 5, min_delta: float = 1e-6, rate: float = 0.01) -> tuple[Callable[[np.ndarray], np.ndarray], int]:
@@ -167,71 +122,113 @@ def linear_fitter(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray,
     return (lambda z: z @ best_w + best_b), best_epoch
 
 
-_CELL = "fold string, partition string, asset string, origin_date date, target_date date, target_return double, config string, seed string, predicted double, iteration int, n_train long"
-_KEPT = ["fold", "partition", "asset", "origin_date", "target_date", "target_return"]
+def sequence_cell(lengths: Mapping[str, int], fitter: Fitter = linear_fitter) -> CellFit:
+    """M5 in a cell: windows (F13) of a context's length, scaled (F15, F16) by the rows that are fitted on.
 
+    Endpoints are those with a whole window of the longest context, so that all contexts are judged on the same ones. A window may
+    reach before its partition, never after its origin.
+    """
+    longest = max(lengths.values())
 
-def scaled_windows(sup: DataFrame, slices: DataFrame, lengths: Mapping[str, int], usage: str = "selection") -> DataFrame:
-    """The scaled windows of the longest context (F13, F15, F16) as ``x``, flat; a shorter context is the end of it.
+    def fit(b: Block, own: np.ndarray, out: np.ndarray, config: str, seed: str | None, frozen: int | None):
+        mean, scale = b.x[own].mean(0), b.x[own].std(0)
+        z = ((b.x.astype(np.float32) - mean) / np.where(scale < 1e-300, 1, scale)).astype(np.float32)
+        fine = np.concatenate([[0], np.cumsum(np.isfinite(b.x.astype(np.float32)).all(1))])
+        at = np.arange(len(z))
+        whole = (at + 1 >= longest) & (fine[at + 1] - fine[np.maximum(at + 1 - longest, 0)] == longest)
+        own, out, n = own[whole[own]], out[whole[out]], lengths[config]
+        if not len(own) or not len(out):
+            return None
+        cut = lambda ends: z[ends[:, None] + np.arange(1 - n, 1)].reshape(len(ends), n * z.shape[1]).astype(float)
+        stop = out if frozen is None else out[:0]
+        predict, epochs = fitter(cut(own), b.y[own], cut(stop), b.y[stop], int(seed), frozen)
+        return predict(cut(out)), epochs, frozen is None, len(own), out
 
-    So all contexts have the same endpoints. Scalers are fitted on train rows ('selection') or train and validation rows ('refit').
-    """
-    ends = sequences.endpoint_windows(sup, slices, max(lengths.values())).where("usable = 1")
-    z = sequences.apply_scaler(ends, sequences.fit_scaler(slices, usage=usage))
-    return z.select(*_KEPT, F.flatten("seq").alias("x"))
+    return fit
 
 
-def _cell(pdf: pd.DataFrame, fit_on: Sequence[str], told: str, config: str, length: int, seed: str, fitter: Fitter, frozen: int | None) -> pd.DataFrame:
-    """Fit one cell on the windows of ``fit_on`` and forecast those of the partition ``told``."""
-    pdf = pdf.sort_values(["origin_date", "target_date"])
-    values = lambda d: (np.stack([np.asarray(v, dtype=float)[-length * len(C.FEATURES) :] for v in d["x"]]), d["target_return"].to_numpy(dtype=float))
-    own, out = pdf[pdf["partition"].isin(fit_on)], pdf[pdf["partition"] == told]
-    if own.empty or out.empty:
-        return pd.DataFrame(columns=[f.split()[0] for f in _CELL.split(", ")])
-    (x, y), (vx, vy) = values(own), values(out)
-    predict, n = fitter(x, y, vx if frozen is None else vx[:0], vy if frozen is None else vy[:0], int(seed), frozen)
-    return out[_KEPT].assign(config=config, seed=seed, predicted=predict(vx), iteration=n, n_train=len(x))
+def _expected(slices: DataFrame, configs: Sequence[str], seeds: Sequence[str | None]) -> DataFrame:
+    """The cells that a family must have: each config and seed for each fold and asset."""
+    grid = F.array(*(F.struct(F.lit(c).alias("config"), F.lit(s).cast("string").alias("seed")) for c in configs for s in seeds))
+    return slices.select("fold", "asset").distinct().withColumn("g", F.explode(grid)).select("fold", "g.config", "asset", "g.seed")
+
+
+def audit_of(told: DataFrame) -> DataFrame:
+    """M7 of cells' rows (:func:`run_cells`): counts, errors recomputed from the forecasts, what the fit told, and a digest of the keys."""
+    e, up = F.col("predicted") - F.col("target_return"), F.col("target_return") > 0
+    keys = F.sum(F.xxhash64("origin_date", "target_date").cast("decimal(38,0)"))
+    return told.groupBy(*CELL).agg(
+        F.count("*").alias("n_validation"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((up == (F.col("predicted") > 0)).cast("double")).alias("da"), F.count_if(up).alias("n_positive"), F.count_if(~up).alias("n_other"),
+        F.max("n_train").alias("n_train"), F.max("iteration").alias("best_iteration"), F.max("runtime").alias("runtime"), F.max("fit_mae").alias("fit_mae"), F.max("fit_rmse").alias("fit_rmse"), keys.alias("key_sum"),
+    ).withColumn("status", F.when(forecast.finite(F.col("mae")), "completed").otherwise("failed"))
 
 
-def fit_sequences(windows: DataFrame, lengths: Mapping[str, int], seeds: Sequence[str], fitter: Fitter = linear_fitter) -> DataFrame:
-    """M5: fits of each context and seed on train windows, stopped by validation windows, whose forecasts it returns.
+def select(audit: DataFrame, expected: DataFrame, simplicity: DataFrame, tolerance: float = 1e-9) -> dict[str, DataFrame]:
+    """Winners and the winners' iterations of audited candidates.
 
-    One grouped-map task per fold and asset: its daily windows are shuffled once, whatever the grid.
+    Raises unless the grid is complete, all candidates of a fold and asset are judged on the same rows, and the
+    errors that the fits told are those of their forecasts. One job checks all of it.
     """
+    told = lambda d, problem: d.select("fold", "config", "asset", F.coalesce("seed", F.lit("")).alias("seed"), F.lit(problem).alias("problem"))
+    gaps = forecast.grid_gaps(audit, expected)
+    wrong = told(audit.where((F.abs(F.col("mae") - F.col("fit_mae")) > tolerance) | (F.abs(F.col("rmse") - F.col("fit_rmse")) > tolerance)), "errors of fit and forecasts differ")
+    uneven = audit.groupBy("fold", "asset").agg(F.countDistinct("n_validation", "key_sum").alias("k")).where("k > 1").select("fold", F.lit("").alias("config"), "asset", F.lit("").alias("seed"), F.lit("judged on different rows").alias("problem"))
+    require_none(gaps.unionByName(wrong).unionByName(uneven), "the candidate grid is not complete")
+    winners = forecast.fold_winner(audit, simplicity)
+    return {"audit": audit, "winners": winners, "iterations": forecast.winner_iterations(winners, audit)}
 
-    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([_cell(pdf, ["train"], "validation", c, n, s, fitter, None) for c, n in lengths.items() for s in seeds])
 
-    return windows.where("partition <> 'test'").groupBy("fold", "asset").applyInPandas(cells, _CELL)
+def _simplicity(slices: DataFrame, configs: Sequence[str]) -> DataFrame:
+    return slices.sparkSession.createDataFrame([(c, k + 1) for k, c in enumerate(configs)], "config string, simplicity int")
 
 
-def refit_sequences(windows: DataFrame, iterations: DataFrame, lengths: Mapping[str, int], fitter: Fitter = linear_fitter) -> DataFrame:
-    """Refit the winners' cells (fold, asset, config, seed, best_iteration) on train and validation windows for their
-    frozen epochs; forecast test windows once."""
+def family(made: DataFrame, endpoints: DataFrame, configs: Sequence[str], seeds: Sequence[str | None], fit: CellFit, model: str) -> dict[str, DataFrame]:
+    """Candidates, complete grid, one config a fold, refits with frozen iterations, refit audit and scores of stored blocks.
 
-    def cells(pdf: pd.DataFrame, won: pd.DataFrame) -> pd.DataFrame:
-        done = [_cell(pdf, ["train", "validation"], "test", w.config, lengths[w.config], w.seed, fitter, int(w.best_iteration)) for w in won.itertuples()]
-        return pd.concat(done) if done else pd.DataFrame(columns=[f.split()[0] for f in _CELL.split(", ")])
+    ``endpoints`` has a row (fold, asset, partition) for each row that may be fitted on or forecast; the refit audit counts them. Simpler is the
+    earlier in ``configs``. A seed is part of the grid and is never chosen. Stored on the way: the candidates'
+    forecasts, their audit, and the test forecasts; nothing is fitted twice.
+    """
+    rows = lambda d: forecast_rows(d.withColumn("target_direction", direction(F.col("target_return"))), F.lit(model), F.col("config"), F.col("seed"), F.col("predicted"))
+    expected = _expected(made, configs, seeds)
+    told = stored(run_cells(made, expected.withColumn("frozen", F.lit(None).cast("int")), fit, ["train"], "validation"), "told")
+    chosen = select(stored(audit_of(told), "audit"), expected, _simplicity(made, configs))
+    chosen["winners"], chosen["iterations"] = (stored(chosen[k], k) for k in ("winners", "iterations"))
+    refit = stored(run_cells(made, chosen["iterations"].select(*CELL, F.col("best_iteration").alias("frozen")), fit, ["train", "validation"], "test"), "refit")
+    refits = refit.groupBy(*CELL).agg(F.max("n_train").alias("n_train"), F.max("iteration").alias("best_iteration"), F.max("runtime").alias("runtime"))
+    forecasts = rows(refit)
+    check = stored(forecast.refit_audit(endpoints, refits, forecasts, chosen["winners"], CELL, chosen["iterations"]), "refits")
+    require_none(check.where("ok = 0"), "refits that don't add up")
+    return chosen | {"validation": rows(told), "forecasts": forecasts, "refit_audit": check, "refits": refits, "told": told, "tested": refit, "scores": metrics.error_metrics(forecasts, ("model", "config", "seed", "fold", "asset"))}
 
-    # keys of their own name: the winners may come from the same tables as the windows
-    won = iterations.select(F.col("fold").alias("won_fold"), F.col("asset").alias("won_asset"), "config", "seed", "best_iteration")
-    return windows.groupBy("fold", "asset").cogroup(won.groupBy("won_fold", "won_asset")).applyInPandas(cells, _CELL)
 
+def tree_family(slices: DataFrame) -> dict[str, DataFrame]:
+    """M14 with M4. ``slices`` has the eligible rows of the development folds."""
+    return family(stored(blocks(slices), "blocks"), slices, list(TREES), [None], tree_cell, "tree")
 
-def sequence_family(sup: DataFrame, slices: DataFrame, lengths: Mapping[str, int], seeds: Sequence[str], fitter: Fitter = linear_fitter) -> dict[str, DataFrame]:
-    """M14 with M5: contexts and seeds of every fold and asset, complete grid, one context a fold, refits, scores.
 
-    Simpler is the earlier in ``lengths``. A seed is part of the grid and is never chosen.
-    """
+def sequence_family(sup: DataFrame, slices: DataFrame, lengths: Mapping[str, int], seeds: Sequence[str], fitter: Fitter = linear_fitter) -> dict[str, DataFrame]:
+    """M14 with M5: contexts (the simpler first) and seeds."""
     if not lengths or not seeds:
         raise ContractError("a sequence family needs contexts and seeds")
-    rows = lambda d: forecast_rows(d.withColumn("target_direction", direction(F.col("target_return"))), F.lit("sequence"), F.col("config"), F.col("seed"), F.col("predicted"))
-    cell = ("fold", "asset", "config", "seed")
-    fitted = fit_sequences(scaled_windows(sup, slices, lengths), lengths, seeds, fitter).cache()
-    error = F.avg(F.abs(F.col("predicted") - F.col("target_return")))
-    fits = fitted.groupBy(*cell).agg(F.max("iteration").alias("best_iteration"), F.max("n_train").alias("n_train"), error.alias("fit_mae"))
-    chosen = select(fits, rows(fitted), _expected(slices, list(lengths), seeds), _simplicity(slices, list(lengths)))
-    windows = scaled_windows(sup, slices, lengths, "refit")
-    refitted = refit_sequences(windows, chosen["iterations"], lengths, fitter).cache()
-    refits = refitted.groupBy(*cell).agg(F.max("n_train").alias("n_train"))
-    return _scored(windows, chosen, refits, rows(refitted), rows(fitted))
+    return family(stored(blocks(slices, sup), "blocks"), sequences.usable_endpoints(sup, slices, max(lengths.values())), list(lengths), list(seeds), sequence_cell(lengths, fitter), "sequence")
+
+
+def cell_digests(run: Mapping[str, DataFrame]) -> DataFrame:
+    """Per refitted cell a digest of its keys, its iterations, a digest of its forecasts and its errors.
+
+    Digests are sums of hashes of rows, so they don't depend on the order of rows; forecasts go by their bits.
+    """
+    e = F.col("predicted") - F.col("target_return")
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    # errors are sums in no fixed order: twelve digits of them
+    return run["tested"].groupBy(*CELL).agg(total("origin_date", "target_date").alias("keys"), F.max("iteration").alias("iterations"), total("origin_date", "target_date", "predicted").alias("forecasts"), F.round(F.avg(F.abs(e)), 12).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 12).alias("rmse"), F.max("n_train").alias("n_train"))
+
+
+def replay(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two runs' digests cell by cell: 1 where both have the same keys, iterations, forecasts and metrics. A cell that one run lacks has zeros."""
+    named = lambda d, x: d.select(*(F.col(c).alias(f"{x}_{c}") for c in CELL), F.struct(*(c for c in d.columns if c not in CELL)).alias(x))
+    same_cell = [F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) for c in CELL]
+    both = named(first, "a").join(named(second, "b"), same_cell[0] & same_cell[1] & same_cell[2] & same_cell[3], "full")
+    same = lambda *c: F.coalesce(*([F.least(*((F.col(f"a.{x}") == F.col(f"b.{x}")).cast("int") for x in c))] if len(c) > 1 else [(F.col(f"a.{c[0]}") == F.col(f"b.{c[0]}")).cast("int")]), F.lit(0))
+    return both.select(*(F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in CELL), same("keys").alias("same_keys"), same("iterations").alias("same_iterations"), same("forecasts").alias("same_forecasts"), same("mae", "rmse", "n_train").alias("same_metrics"))

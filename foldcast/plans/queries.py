@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -183,19 +184,47 @@ def _(t):
     return n(a, "n").crossJoin(n(c, "n_other")).select(F.lit(int(a == b and a != c)).alias("same_place"), "n", "n_other")
 
 
-@query("s10_drift", "SELECT unnest(['changed', 'extra', 'missing']) AS kind, unnest([1, 1, 1])::BIGINT AS n FROM (SELECT count(*) FROM panel)")
+@query("s10_drift", "SELECT asset || '/' || 'part' AS path, CASE asset WHEN 'A' THEN 'changed' WHEN 'N' THEN 'missing' ELSE 'extra' END AS kind FROM (SELECT DISTINCT asset FROM panel WHERE asset <> 'MKT')")
 def _(t):
-    root, by = artifacts.shared_root(t.spark), t.panel.where("asset <> 'MKT'")
-    place = artifacts.write_once(by.repartitionByRange(3, "asset", "date"), root, "parts")
-    found = artifacts.inventory(t.spark, place, "part-*")
-    turn = F.row_number().over(features.Window.orderBy("name"))  # a row a file
-    old = found.withColumn("k", turn).where("k <> 1").withColumn("digest", F.when(F.col("k") == 2, F.lit("other")).otherwise(F.col("digest"))).select("name", "digest")
-    return artifacts.drift(found, old.unionByName(t.spark.range(1).select(F.lit("gone").alias("name"), F.lit("x").alias("digest")))).groupBy("kind").agg(F.count("*").alias("n"))
+    """A folder by asset, with files of one name in each: A's content changes, N's file goes, R's comes."""
+    root, panel = artifacts.shared_root(t.spark), t.panel.where("asset <> 'MKT'")
 
+    def files(rows: DataFrame, name: str) -> DataFrame:
+        place = f"{root}/{name}-{uuid.uuid4().hex}"
+        rows.repartition("asset").sortWithinPartitions("asset", "date").withColumn("folder", F.col("asset")).write.partitionBy("folder").parquet(place)
+        found = artifacts.inventory(t.spark, place, "part-*")
+        return found.withColumn("path", F.regexp_replace("path", "^folder=(.*)/part-.*$", "$1/part"))
 
-@query("s7_fingerprint", "SELECT count(*) AS n, CAST(sum(h) AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor FROM (SELECT ('0x' || substr(md5(concat_ws('|', o_custkey, o_orderkey)), 1, 12))::BIGINT AS h FROM orders)")
+    before = files(panel.where("asset <> 'R'"), "before")
+    after = files(panel.where("asset <> 'N'").withColumn("close", F.when(F.col("asset") == "A", F.col("close") + 1).otherwise(F.col("close"))), "after")
+    return artifacts.drift(after, before)
+
+
+@query("s10_tree", "SELECT 'folder=' || asset AS folder, 1::BIGINT AS n_files, CASE WHEN asset = 'A' THEN 0 ELSE 1 END AS same FROM (SELECT DISTINCT asset FROM panel WHERE asset <> 'MKT') UNION ALL SELECT '', count(DISTINCT asset), 0 FROM panel WHERE asset <> 'MKT'")
 def _(t):
-    return artifacts.fingerprint(t.read("orders"), ["o_orderkey", "o_custkey"])
+    """The digest tree of a folder by asset against that of the same with one asset changed: its node and the root differ."""
+    root, panel = artifacts.shared_root(t.spark), t.panel.where("asset <> 'MKT'")
+
+    def node(rows: DataFrame) -> DataFrame:
+        place = f"{root}/tree-{uuid.uuid4().hex}"
+        rows.repartition("asset").sortWithinPartitions("asset", "date").withColumn("folder", F.col("asset")).write.partitionBy("folder").parquet(place)
+        # Spark names files at random: only their folders are told here
+        found = artifacts.inventory(t.spark, place, "part-*").withColumn("path", F.regexp_replace("path", "/part-.*$", "/part"))
+        return artifacts.tree(found)
+
+    a, b = node(panel), node(panel.withColumn("close", F.when(F.col("asset") == "A", F.col("close") + 1).otherwise(F.col("close"))))
+    other = b.select("folder", F.struct("n_files", "sum_a", "sum_b").alias("y"))
+    return a.join(other, "folder").select("folder", "n_files", (F.struct("n_files", "sum_a", "sum_b") == F.col("y")).cast("int").alias("same"))
+
+
+_HEADER = "9:o_custkey6:bigint10:o_orderkey6:bigint"
+_ENCODE = " || ".join(f"CASE WHEN {c} IS NULL THEN 'N' ELSE 'V' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in ("o_custkey", "o_orderkey"))
+
+
+@query("s7_fingerprint", f"SELECT (SELECT count(*) FROM orders) AS n, CAST(sum(('0x' || substr(h, 1, 15))::BIGINT) AS VARCHAR) AS sum_a, CAST(sum(('0x' || substr(h, 16, 15))::BIGINT) AS VARCHAR) AS sum_b FROM (SELECT md5('{_HEADER}|' || {_ENCODE}) AS h FROM (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS o_custkey, o_orderkey FROM orders) UNION ALL SELECT md5('{_HEADER}'))")
+def _(t):
+    holes = t.read("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"))
+    return artifacts.fingerprint(holes, ["o_orderkey", "o_custkey"])
 
 
 @query("s8_manifest", "SELECT asset, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, (SELECT count(*) FROM panel) AS total_rows, 'date,asset,open,high,low,close,volume' AS columns FROM panel GROUP BY asset")
@@ -361,7 +390,7 @@ def _(t):
     return t.both("validation").select("model", "config", "seed", "fold", "partition", *C.SAMPLE_KEY, "actual_return", "predicted_return", "actual_direction", "predicted_direction")
 
 
-@query("m7_candidate_audit", "SELECT model, fold, config, asset, seed, n_validation, mae, rmse, da, n_positive, n_train, status FROM audit", _ERR)
+@query("m7_candidate_audit", "SELECT model, fold, config, asset, seed, n_validation, mae, rmse, da, n_positive, n_validation - n_positive AS n_other, n_train, status FROM audit", _ERR)
 def _(t):
     return t.both("audit")
 
@@ -401,10 +430,34 @@ def _(t):
     return forecast.refit_audit(t.dev, fits, f["forecasts"], f["winners"])
 
 
-@query("m13_replay", "SELECT unnest(['key', 'spec_version', 'data_version', 'model', 'seed', 'partition', 'actual_return', 'predicted_return', 'actual_direction', 'predicted_direction', 'trend_regime', 'volatility_regime', 'transition_regime']) AS \"column\", 0::BIGINT AS n_mismatch")
+@query("m13_replay", "SELECT unnest(['key', 'model', 'seed', 'partition', 'actual_return', 'predicted_return', 'actual_direction', 'predicted_direction', 'trend_regime', 'volatility_regime', 'transition_regime']) AS \"column\", unnest([k, 0, 0, 0, 0, p, 0, 0, 0, 0, 0]) AS n_mismatch FROM (SELECT count(*) FILTER (day(target_date) = 6) AS k, count(*) FILTER (day(target_date) = 5 AND asset = 'A') AS p FROM learned WHERE model = 'plain')")
 def _(t):
-    again = forecast.run_family(t.dev.repartition(3, "origin_date"), CONFIGS, None, t.simplicity, "plain")
-    return forecast.replay(t.families["plain"]["forecasts"], again["forecasts"]).select("column", "n_mismatch")
+    """A second run over other partitions, with planted differences: rows that are gone, and forecasts that moved."""
+    again = forecast.run_family(t.dev.repartition(3, "origin_date"), CONFIGS, None, t.simplicity, "plain")["forecasts"].where("day(target_date) <> 6")
+    moved = again.withColumn("predicted_return", F.when(F.expr("day(target_date) = 5 AND asset = 'A'"), F.col("predicted_return") + 0.001).otherwise(F.col("predicted_return")))
+    return forecast.replay(t.families["plain"]["forecasts"], moved).select("column", "n_mismatch")
+
+
+def _replayed(t: Tables, walk: Callable[[DataFrame], dict[str, DataFrame]]) -> DataFrame:
+    """Two runs of a family over differently partitioned slices, with one asset's forecasts and another's iterations moved in the second."""
+    first, second = (train.cell_digests(walk(d)) for d in (t.dev, t.dev.repartition(5, "target_date")))
+    moved = second.withColumns({"forecasts": F.when(F.expr("fold = 'D1' AND asset = 'A'"), F.col("forecasts") + 1).otherwise(F.col("forecasts")), "iterations": F.when(F.expr("fold = 'D2' AND asset = 'N'"), F.col("iterations") + 1).otherwise(F.col("iterations"))})
+    flags = [f"same_{x}" for x in ("keys", "iterations", "forecasts", "metrics")]
+    return train.replay(first, moved).groupBy("fold", "asset").agg(F.count("*").alias("n_cells"), *(F.min(x).alias(x) for x in flags))
+
+
+def _replay_sql(n: int) -> str:
+    return f"SELECT fold, asset, {n}::BIGINT AS n_cells, 1 AS same_keys, CASE WHEN fold = 'D2' AND asset = 'N' THEN 0 ELSE 1 END AS same_iterations, CASE WHEN fold = 'D1' AND asset = 'A' THEN 0 ELSE 1 END AS same_forecasts, 1 AS same_metrics FROM dev GROUP BY fold, asset"
+
+
+@query("m13_replay_trees", _replay_sql(1))
+def _(t):
+    return _replayed(t, train.tree_family)
+
+
+@query("m13_replay_sequences", _replay_sql(len(SEEDS)))
+def _(t):
+    return _replayed(t, lambda d: train.sequence_family(t.sup, d, CONTEXTS, SEEDS))
 
 
 @query("m4_tree_family")
@@ -417,6 +470,18 @@ def _(t):
     return train.sequence_family(t.sup, t.dev, CONTEXTS, SEEDS)["scores"]
 
 
+@query("m7_tree_audit", "SELECT fold, config, asset, n_validation, n_positive, n_validation - n_positive AS n_other, n_train, 'completed' AS status, 1 AS stops_in_range FROM (SELECT fold, asset, count(*) FILTER (partition = 'validation') AS n_validation, count(*) FILTER (partition = 'validation' AND target_return > 0) AS n_positive, count(*) FILTER (partition = 'train') AS n_train FROM dev GROUP BY fold, asset), (SELECT unnest(['leaves15_least20', 'leaves15_least50', 'leaves31_least20', 'leaves31_least50']) AS config)")
+def _(t):
+    audit = train.tree_family(t.dev)["audit"]
+    within = F.col("best_iteration").between(1, train.TREES["leaves15_least20"].most) & (F.col("runtime") >= 0)
+    return audit.select("fold", "config", "asset", "n_validation", "n_positive", "n_other", "n_train", "status", within.cast("int").alias("stops_in_range"))
+
+
+@query("m12_tree_refits", "SELECT fold, asset, count(*) FILTER (partition <> 'test') AS n_refit, count(*) FILTER (partition = 'test') AS n_forecast, 1 AS ok FROM dev GROUP BY fold, asset")
+def _(t):
+    return train.tree_family(t.dev)["refit_audit"].select("fold", "asset", "n_refit", "n_forecast", "ok")
+
+
 # comparison and metrics
 @query("g1_key_difference", "SELECT count(*) FILTER (day(target_date) = 5) AS n_missing, 0::BIGINT AS n_extra, count(*) FILTER (day(target_date) <> 5) AS n_common FROM base")
 def _(t):

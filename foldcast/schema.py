@@ -17,11 +17,11 @@ REF_FEATURES = ("ref_ret", "ref_ret_lag", *(f"ref_{s}_{w}" for w in WINDOWS for
 FEATURES = (*OWN_FEATURES, *REF_FEATURES)
 SAMPLE_KEY = ("asset", "origin_date", "target_date")
 FORECAST_KEY = ("fold", "asset", "origin_date", "target_date")
-FORECAST = T.StructType(
-    [T.StructField(c, _S) for c in ("run_id", "spec_version", "data_version", "model", "config", "seed", "fold", "partition", "asset")]
-    + [T.StructField("origin_date", _D), T.StructField("target_date", _D)]
-    + [T.StructField("actual_return", _F), T.StructField("predicted_return", _F), T.StructField("actual_direction", _I), T.StructField("predicted_direction", _I)]
-    + [T.StructField(c, _S) for c in ("trend_regime", "volatility_regime", "transition_regime")]
-)
+#: What a forecast is of, what it says, the regimes it fell in, and the run that made it.
+FORECAST = _schema(
+    model=_S, config=_S, seed=_S, fold=_S, partition=_S, asset=_S, origin_date=_D, target_date=_D,
+    predicted_return=_F, actual_return=_F, predicted_direction=_I, actual_direction=_I,
+    trend_regime=_S, volatility_regime=_S, transition_regime=_S, run_id=_S,
+)
 REFERENCE = "MKT"
 DIMENSIONS = {"trend_regime": ("positive", "negative"), "volatility_regime": ("low", "high"), "transition_regime": ("stable", "stressed")}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldcast import schema as C
 from foldcast.functions import ContractError
-from foldcast.operators import forecast, sequences, train
+from foldcast.operators import boosting, forecast, train
 from foldcast.plans.queries import CONTEXTS, Tables
 
 SEEDS = ("1", "2")
@@ -62,18 +62,97 @@ def test_sequence_walk_equals_brute_force(spark, tables):
 
 
 def test_refits_never_see_test_rows(spark, tables):
-    """Other returns and features on test rows change neither a scaler nor another row's forecast."""
-    one, dev = {"L5": 5}, tables.dev.where("fold = 'D2'")
+    """Other returns and features on test rows change neither a fit nor another row's forecast."""
+    dev = tables.dev.where("fold = 'D2'")
     is_test = F.col("partition") == "test"
-    its = dev.select("fold", "asset").distinct().withColumns({"config": F.lit("L5"), "seed": F.lit("1"), "best_iteration": F.lit(3)})
-    windows = train.scaled_windows(tables.sup, dev, one, "refit")
-    moved = windows.withColumn("target_return", F.when(is_test, 9.0).otherwise(F.col("target_return")))
-    told = lambda w: {(r["asset"], r["origin_date"]): r["predicted"] for r in train.refit_sequences(w, its, one).collect()}
-    first = told(windows)
-    assert first and first == told(moved)
-    louder = dev.withColumns({f: F.when(is_test, F.col(f) * 5).otherwise(F.col(f)) for f in C.FEATURES})
-    scalers = [{(r["asset"], r["feature"]): (r["mean"], r["n"]) for r in sequences.fit_scaler(d, usage="refit").collect()} for d in (dev, louder)]
-    assert all(scalers[1][k] == (pytest.approx(m, rel=1e-9, abs=1e-12), n) for k, (m, n) in scalers[0].items())
+    cells = dev.select("fold", "asset").distinct().withColumns({"config": F.lit("L5"), "seed": F.lit("1"), "frozen": F.lit(3)})
+    trees = cells.withColumn("config", F.lit("leaves15_least20"))
+    sequence = train.sequence_cell({"L5": 5})
+    told = lambda d, c, fit, sup=None: {(r["asset"], r["origin_date"]): r["predicted"] for r in train.run_cells(train.blocks(d, sup), c, fit, ["train", "validation"], "test").collect()}
+    moved = dev.withColumn("target_return", F.when(is_test, 9.0).otherwise(F.col("target_return")))
+    first = told(dev, trees, train.tree_cell)
+    assert first and first == told(moved, trees, train.tree_cell)
+    # windows come from the history, so its targets are moved there
+    late = tables.sup.withColumn("target_return", F.when(F.col("target_date") >= "2000-01-01", 9.0).otherwise(F.col("target_return")))
+    first = told(dev, cells, sequence, tables.sup)
+    assert first and first == told(dev, cells, sequence, late)
+    # features of later sessions don't reach earlier forecasts
+    louder = tables.sup.withColumns({f: F.when(F.col("origin_date") >= "2000-07-01", F.col(f) * 5).otherwise(F.col(f)) for f in C.FEATURES})
+    second = told(dev, cells, sequence, louder)
+    early = {k for k in first if str(k[1]) < "2000-07-01"}
+    assert early and all(first[k] == second[k] for k in early) and first != second
+
+
+def _slow_tree(codes, residual, p):
+    """Best-first growth with exhaustive splits: the values of the rows."""
+    sign, leaves = np.sign(residual), [np.arange(len(codes))]
+
+    def best(own):
+        out, g = (1e-12, None), sign[own].sum()
+        for f in range(codes.shape[1]):
+            for b in sorted(set(codes[own, f])):
+                left = codes[own, f] <= b
+                n, m, gl = left.sum(), (~left).sum(), sign[own][left].sum()
+                if n >= p.least and m >= p.least:
+                    gain = gl**2 / (n + p.l2) + (g - gl) ** 2 / (m + p.l2) - g**2 / (len(own) + p.l2)
+                    if gain > out[0] + 1e-12:
+                        out = (gain, left)
+        return out
+
+    while len(leaves) < p.leaves:
+        gains = [best(own) for own in leaves]
+        k = max(range(len(leaves)), key=lambda i: gains[i][0])
+        if gains[k][1] is None:
+            break
+        own = leaves.pop(k)
+        leaves += [own[gains[k][1]], own[~gains[k][1]]]
+    told = np.zeros(len(codes))
+    for own in leaves:
+        told[own] = p.rate * np.median(residual[own])
+    return told
+
+
+def test_trees_equal_exhaustive_splits_and_stop_early():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(160, 4)), 1)
+    y = np.where(x[:, 0] > 0.2, 1.0, -1.0) * (x[:, 2] < 0.5) + 0.3 * rng.normal(size=160)
+    p = boosting.Params(leaves=5, least=7, rate=0.2, rounds=8, most=60, bins=256)
+    model = boosting.fit(x[:110], y[:110], x[110:], y[110:], p)
+    codes, told, errors = boosting.binned(x[:110], model.cuts), np.full(110, np.median(y[:110])), []
+    assert all(len(np.unique(c)) <= p.bins for c in codes.T)
+    for k in range(len(model.errors)):
+        # the same tree by exhaustive search, as values on the training rows
+        slow = _slow_tree(codes, y[:110] - told, p)
+        fast = boosting.grow(codes, y[:110] - told, p)[1]
+        assert np.allclose(slow, fast, atol=1e-12)
+        told = told + fast
+    best = int(np.argmin(model.errors))
+    assert model.best_iteration == best + 1 and model.stopped and len(model.errors) == best + 1 + p.rounds
+    assert np.abs(model.predict(x[110:]) - y[110:]).mean() == pytest.approx(model.errors[best], abs=1e-12)
+    frozen = boosting.fit(x[:110], y[:110], x[:0], y[:0], p, model.best_iteration)
+    assert np.array_equal(frozen.predict(x), model.predict(x)) and not frozen.stopped
+    # a constant feature, one row, no rows to stop on
+    assert boosting.fit(np.ones((1, 2)), np.array([3.0]), x[:0, :2], y[:0], p, 2).predict(np.ones((2, 2))).tolist() == [3.0, 3.0]
+    many = boosting.edges(rng.normal(size=(5000, 1)), 64)
+    assert len(many[0]) <= 63
+
+
+def test_tree_walk(spark, tables):
+    done = train.tree_family(tables.dev)
+    audit = done["audit"].collect()
+    assert {(r["fold"], r["asset"], r["config"]) for r in audit} == {(f, a, c) for f in ("D1", "D2") for a in "ANR" for c in train.TREES}
+    assert all(1 <= r["best_iteration"] <= 1000 and r["runtime"] > 0 and r["n_positive"] + r["n_other"] == r["n_validation"] for r in audit)
+    scores = done["scores"].collect()
+    assert {(r["fold"], r["asset"]) for r in scores} == {(f, a) for f in ("D1", "D2") for a in "ANR"}
+    assert all(len({r["config"] for r in scores if r["fold"] == f}) == 1 for f in ("D1", "D2"))
+    # a frozen iteration that isn't the winner's is found, and so is a moved forecast
+    planted = done["iterations"].withColumn("best_iteration", F.col("best_iteration") + (F.expr("fold = 'D1' AND asset = 'R'")).cast("int"))
+    bad = forecast.refit_audit(tables.dev, done["refits"], done["forecasts"], done["winners"], train.CELL, planted).where("ok = 0")
+    assert [(r["fold"], r["asset"]) for r in bad.collect()] == [("D1", "R")]
+    first = train.cell_digests(done)
+    moved = train.cell_digests({"tested": done["tested"].withColumn("predicted", F.when(F.expr("fold = 'D2' AND asset = 'A'"), F.col("predicted") + 1e-9).otherwise(F.col("predicted")))}).where("NOT (fold = 'D1' AND asset = 'N')")
+    odd = {(r["fold"], r["asset"]): (r["same_keys"], r["same_forecasts"]) for r in train.replay(first, moved).where("same_forecasts = 0").collect()}
+    assert odd == {("D2", "A"): (1, 0), ("D1", "N"): (0, 0)}
 
 
 def test_frozen_epochs_run_without_a_stop():
@@ -87,25 +166,24 @@ def test_frozen_epochs_run_without_a_stop():
 
 
 def test_selection_refuses_faulty_grids(spark):
-    key = "run_id string, fold string, partition string, asset string, config string, seed string, origin_date date, target_date date, actual_return double, predicted_return double, actual_direction int, predicted_direction int"
     import datetime as dt
 
     day = lambda k: dt.date(2020, 1, k)
-    rows = [("run", "D", "validation", a, c, None, day(k), day(k + 1), 0.1, 0.1 + e, 1, 1) for a in "AB" for c, e in (("x", 0.1), ("y", 0.3)) for k in (1, 2)]
-    validation = spark.createDataFrame(rows, key)
-    fits = spark.createDataFrame([("D", a, c, None, 5, e, 10) for a in "AB" for c, e in (("x", 0.1), ("y", 0.3))], "fold string, asset string, config string, seed string, best_iteration int, fit_mae double, n_train long")
-    expected = train._expected(validation, ["x", "y"], [None])
-    simple = train._simplicity(validation, ["x", "y"])
-    chosen = train.select(fits, validation, expected, simple)
+    rows = [("D", "validation", a, day(k), day(k + 1), 0.1, c, None, 0.1 + e, 5, True, 10, e, e, 0.5) for a in "AB" for c, e in (("x", 0.1), ("y", 0.3)) for k in (1, 2)]
+    told = spark.createDataFrame(rows, train._TOLD)
+    expected = train._expected(told, ["x", "y"], [None])
+    simple = train._simplicity(told, ["x", "y"])
+    chosen = train.select(train.audit_of(told), expected, simple)
     assert {(r["config"], r["asset"], r["best_iteration"]) for r in chosen["iterations"].collect()} == {("x", "A", 5), ("x", "B", 5)}
-    for bad in (
-        (fits, validation.where("NOT (config = 'y' AND asset = 'B')"), expected),
-        (fits, validation.where("NOT (config = 'y' AND day(origin_date) = 2)"), expected),
-        (fits, validation, train._expected(validation, ["x"], [None])),
-        (fits.withColumn("fit_mae", F.col("fit_mae") + F.lit(0.001)), validation, expected),
+    for bad, grid in (
+        (told.where("NOT (config = 'y' AND asset = 'B')"), expected),
+        (told.where("NOT (config = 'y' AND day(origin_date) = 2)"), expected),
+        (told, train._expected(told, ["x"], [None])),
+        (told.withColumn("fit_mae", F.col("fit_mae") + F.lit(0.001)), expected),
+        (told.withColumn("fit_rmse", F.col("fit_rmse") + F.lit(0.001)), expected),
     ):
         with pytest.raises(ContractError):
-            train.select(*bad, simple)
+            train.select(train.audit_of(bad), grid, simple)
 
 
 def test_refit_audit_by_seed(spark):

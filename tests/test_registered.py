@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["flagship", "s10_drift", "q5_calendar_gaps", "f9_supervised_checked", "f10_eligibility_stats", "f14_patches", "g7_macro", "r2_thresholds", "x6_contrasts", "x10_failure_patterns", "c9_verify_tables"]
+SAMPLE = ["flagship", "s10_drift", "q5_calendar_gaps", "f9_supervised_checked", "f10_eligibility_stats", "f14_patches", "g7_macro", "r2_thresholds", "x6_contrasts", "x10_failure_patterns", "c9_verify_tables", "s7_fingerprint", "s10_tree", "m13_replay_trees"]
 
 
 def norm(rows, columns):
@@ -29,16 +29,3 @@ def test_names():
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["fold", "asset", "n", "mae", "rmse", "da"]
-
-
-def test_trees_of_all_development_folds(spark):
-    got = entry.queries()["m4_tree_family"](spark, "/root/testdata/sf0.001").collect()
-    assert {(r["fold"], r["asset"]) for r in got} == {(f, a) for f in ("D1", "D2") for a in "ANR"}
-    assert all(len({r["config"] for r in got if r["fold"] == f}) == 1 for f in ("D1", "D2"))
-
-
-def test_early_stop():
-    from foldcast.operators.train import stop_at
-
-    assert stop_at([3.0, 2.0, 2.0, 2.5], 2) == (2, True) and stop_at([3.0, 2.0, 2.5, 1.0], 2) == (4, False)
-    assert stop_at([3.0, 4.0, 4.0, 1.0], 2) == (1, True)
