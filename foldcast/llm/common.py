@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once. Texts may be long, so a batch is short.
@@ -57,6 +57,13 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """As :func:`staged`, with the number of rows, or another count, taken while they are written."""
+    seen = Observation()
+    out = staged(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")), name)
+    return out, int(seen.get["n"] or 0)
+
+
 def added(parts: DataFrame, kind: type, keys: Sequence[str] = ("key",), fan: int = 16) -> DataFrame:
     """Sums (keys, x) of vectors (keys, part long, x binary) that tasks have made, one of a key for each part.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldcast.llm.common import staged
+from foldcast.llm.common import counted, staged
 
 #: Gives a member's column by name.
 Side = Callable[[str], Column]
@@ -18,32 +20,54 @@ LIST_PART = 512
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """Label each node that has an edge with the smallest node of its component.
 
-    Alternates two contractions until nothing changes: each node hangs its larger neighbours
-    on its smallest neighbour, then its smaller neighbours and itself. The number of rounds
-    grows with the logarithm of the longest chain; a node with very many neighbours is
+    Tasks first contract the edges that they hold, each by itself. Then two contractions alternate until only stars
+    are left: each node hangs its larger neighbours on its smallest neighbour, then its smaller neighbours and
+    itself. The number of rounds grows with the logarithm of the longest chain; a node with very many neighbours is
     reduced by partial aggregation and a splittable join, never gathered.
 
     Returns (node, component). Self edges and edges with a null end are ignored. An empty
     table gives an empty result.
     """
-    e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    e = staged(e, "edges")
-    before = None
+    e = edges.select(F.least(a, b).cast("long").alias("v"), F.greatest(a, b).cast("long").alias("u")).where("u <> v").mapInArrow(_contract, "v long, u long")
+    e, n = counted(e, "edges")
     for _ in range(rounds):
-        e = staged(_small_star(_large_star(e)), "edges")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before or now["n"] == 0:
+        if not n or _is_stars(e):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct().union(e.select("v", "v").distinct())
+        e, n = counted(_small_star(_large_star(e)).mapInArrow(_contract, "v long, u long"), "edges")
+    raise RuntimeError("components did not converge")
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (v, u) of a task as stars: each node and the smallest that it reaches by these edges."""
+    held = [(b.column("v").to_numpy(), b.column("u").to_numpy()) for b in batches]
+    if not held:
+        return
+    v, u = (np.concatenate(x) for x in zip(*held))
+    nodes, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+    x, y, least = at[: len(v)], at[len(v) :], np.arange(len(nodes))
+    while True:
+        # hang the root of either end on the smaller one, then let every node see its root
+        lo, hi = np.minimum(least[x], least[y]), np.maximum(least[x], least[y])
+        if (lo == hi).all():
             break
-        before = now
-    else:
-        raise RuntimeError("components did not converge")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        np.minimum.at(least, hi, lo)
+        while (least != (up := least[least])).any():
+            least = up
+    own = np.flatnonzero(least != np.arange(len(nodes)))
+    yield from pa.Table.from_arrays([pa.array(nodes[least[own]], pa.int64()), pa.array(nodes[own], pa.int64())], ["v", "u"]).to_batches()
+
+
+def _is_stars(e: DataFrame) -> bool:
+    """Whether each node hangs on one other only, on which nothing else is hung the other way round."""
+    both = e.select(F.col("u").alias("x"), "v").union(e.select(F.col("v").alias("x"), F.col("v")).distinct())
+    odd = both.groupBy("x").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi")
+    return odd.isEmpty()
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -52,6 +76,16 @@ def _small_star(e: DataFrame) -> DataFrame:
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels (node, component) after more edges (a, b): only the components that they join are worked on."""
+    to = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    ends = found.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    moved = staged(components(ends), "moved")
+    new = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    kept = labels.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return kept.unionByName(moved.join(labels, "node", "left_anti"))
+
+
 def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge: Callable[[DataFrame], DataFrame], pivot_rounds: int = 2) -> DataFrame:
     """Components of a similarity join that is given by lists of members.
 
@@ -69,16 +103,16 @@ def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge
         now = lists.withColumn("component", F.col("id")) if labels is None else lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         pairs = _pivot_pairs(now, can_link, k) if k < pivot_rounds else _other_pairs(now, can_link)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if labels is not None and pairs.isEmpty():
+        pairs, n = counted(pairs, "pairs")
+        if labels is not None and not n:
             continue
-        judged = staged(judge(pairs), "judged")
+        judged, linked = counted(judge(pairs), "judged", F.count_if("linked"))
         tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
         found = judged.where("linked").select("a", "b")
         if labels is None:
-            labels = components(found)
-        elif not found.isEmpty():
-            labels = components(found.union(labels.where("node <> component").select("node", "component")))
+            labels = staged(components(found), "labels")
+        elif linked:
+            labels = staged(merged(labels, found), "labels")
     return labels
 
 
@@ -86,7 +120,8 @@ def _pivot_pairs(lists: DataFrame, can_link: Callable[[Side, Side], Column], k:
     rest = [c for c in lists.columns if c not in ("key", "id")]
     # one order for all lists first, so that few pairs are judged; then one for each list, should the first pivots be odd ones
     turn = F.xxhash64("id") if k == 0 else F.xxhash64(F.lit(k), "id", "key")
-    pivots = lists.where("indexed").groupBy("key").agg(F.min(F.struct(turn.alias("h"), "id", *rest)).alias("p"))
+    # written, so that a long list's join with its pivot can be split at run time
+    pivots = staged(lists.where("indexed").groupBy("key").agg(F.min(F.struct(turn.alias("h"), "id", *rest)).alias("p")), "pivots")
     met = lists.join(pivots, "key").where((F.col("component") != F.col("p.component")) & can_link(F.col, lambda c: F.col(f"p.{c}")))
     return met.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
 
