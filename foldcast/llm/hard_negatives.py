@@ -127,9 +127,9 @@ def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, p
 
 
 def _along_curve(vectors: DataFrame, partitions: int) -> DataFrame:
-    """Sorted by length and place; equal places are split by id."""
+    """Sorted by length and place; equal places are split by id. No more than so many partitions, so that runs aren't cut short."""
     key = ["d", "place", "vec_id"]
-    return vectors.repartitionByRange(partitions, *key).sortWithinPartitions(*key)
+    return vectors.repartitionByRange(partitions, *key).sortWithinPartitions(*key).coalesce(partitions)
 
 
 def _narrow(x: np.ndarray) -> bytes:
