@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from foldcast import schema as C
 from foldcast.functions import direction, finite, require_none, table_diff
+from foldcast.operators.folds import assign
+from foldcast.operators.moments import fold_fits
+from foldcast.sources.artifacts import stored
 
 #: Candidates whose error is within this of the best count as tied.
 TIE = 1e-5
@@ -47,37 +50,25 @@ def baseline_forecasts(slices: DataFrame, assets: DataFrame | None = None) -> Da
     return forecast_rows(test, F.lit("baseline"), F.lit("zero_persistence"), F.lit(None), zero_return(), persistence())
 
 
-def _in_sample(seed: Column, percent: int = 80) -> Column:
-    """Whether a sample key belongs to a seed's fixed share of the training rows."""
-    key = F.concat_ws("|", "asset", F.col("origin_date").cast("string"), seed)
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % 100 < percent
+#: Fits that may be broadcast: a row a cell.
+BROADCAST_FITS = 200_000
 
 
-def ols_fit(rows: DataFrame, configs: Sequence[str], seeds: Sequence[str] | None, keys: Sequence[str] = ("fold", "asset")) -> DataFrame:
-    """Closed-form one-feature fits for all cells in one aggregation: (keys, config, seed, slope, intercept, n_train).
+def ols_predict(rows: DataFrame, fits: DataFrame, configs: Sequence[str]) -> DataFrame:
+    """Forecast rows of every fitted cell (fold, asset, config, seed): model 'plain' without a seed, else 'seeded'.
 
-    Without seeds all rows are used; with seeds each takes its own share. A constant feature gives slope 0.
+    Fits are a few rows a fold and asset; they are counted, and broadcast if few.
     """
-    x = rows.select(*keys, "asset", "origin_date", "target_return", *configs) if "asset" not in keys else rows.select(*keys, "origin_date", "target_return", *configs)
-    x = x.unpivot([c for c in x.columns if c not in configs], list(configs), "config", "x")
-    x = x.withColumn("seed", F.explode(F.array(*(F.lit(s) for s in seeds)))) if seeds else x.withColumn("seed", F.lit(None).cast("string"))
-    x = x.where(_in_sample(F.col("seed"))) if seeds else x
-    fit = x.groupBy(*keys, "config", "seed").agg(F.regr_slope("target_return", "x").alias("b"), F.avg("target_return").alias("my"), F.avg("x").alias("mx"), F.count("*").alias("n_train"))
-    return fit.select(*keys, "config", "seed", F.coalesce("b", F.lit(0.0)).alias("slope"), (F.col("my") - F.coalesce("b", F.lit(0.0)) * F.col("mx")).alias("intercept"), "n_train")
-
-
-def ols_predict(rows: DataFrame, fits: DataFrame, configs: Sequence[str], model: str) -> DataFrame:
-    """Forecast rows of every fitted cell. The fits are a handful of rows a fold and asset."""
-    ids = [c for c in rows.columns if c not in configs]
-    x = rows.unpivot(ids, list(configs), "config", "x")
-    y = x.join(fits, ["fold", "asset", "config"])
-    return forecast_rows(y, F.lit(model), F.col("config"), F.col("seed"), F.col("intercept") + F.col("slope") * F.col("x"))
+    small = F.broadcast(fits) if fits.count() <= BROADCAST_FITS else fits
+    x = F.coalesce(*(F.when(F.col("config") == c, F.col(c)) for c in configs))
+    y = rows.join(small.drop("usage", "n_train"), ["fold", "asset"])
+    return forecast_rows(y, F.when(F.col("seed").isNull(), "plain").otherwise("seeded"), F.col("config"), F.col("seed"), F.col("intercept") + F.col("slope") * x)
 
 
 def candidate_audit(validation: DataFrame, fits: DataFrame) -> DataFrame:
     """M7: per cell rows, errors and class counts on validation rows; of the fits also iterations and seconds, where they have them."""
     e = F.col("predicted_return") - F.col("actual_return")
-    agg = validation.groupBy("fold", "config", "asset", "seed").agg(
+    agg = validation.groupBy("model", "fold", "config", "asset", "seed").agg(
         F.count("*").alias("n_validation"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg((F.col("actual_direction") == F.col("predicted_direction")).cast("double")).alias("da"), F.count_if(F.col("actual_direction") == 1).alias("n_positive"), F.count_if(F.col("actual_direction") != 1).alias("n_other")
     )
     f = fits.select("fold", "asset", "config", F.coalesce("seed", F.lit("")).alias("s"), "n_train", *(c for c in ("best_iteration", "runtime") if c in fits.columns))
@@ -104,39 +95,27 @@ def key_agreement(validation: DataFrame) -> DataFrame:
     return sets.groupBy("fold", "asset").agg(F.countDistinct("n", "h").alias("n_key_sets"), F.count("*").alias("n_cells"))
 
 
-def fold_winner(audit: DataFrame, simplicity: DataFrame, tie: float = TIE) -> DataFrame:
+def fold_winner(audit: DataFrame, simplicity: DataFrame, tie: float = TIE, by: Sequence[str] = ("fold",)) -> DataFrame:
     """M9: per fold the config of least equal-weight error; ties go to the simpler, then rmse, then id.
 
     Only configs with every asset that any of the fold's configs has can win. A config without a simplicity
     is the least simple.
     """
-    by_seed = audit.groupBy("fold", "config", "asset").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"))
-    macro = by_seed.groupBy("fold", "config").agg(F.count("*").alias("n_assets"), F.avg("mae").alias("macro_mae"), F.avg("rmse").alias("macro_rmse"))
-    full = F.col("n_assets") == F.max("n_assets").over(Window.partitionBy("fold"))
-    macro = macro.withColumn("full", full)
-    best = F.min(F.when(F.col("full"), F.col("macro_mae"))).over(Window.partitionBy("fold"))
+    by_seed = audit.groupBy(*by, "config", "asset").agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"))
+    macro = by_seed.groupBy(*by, "config").agg(F.count("*").alias("n_assets"), F.avg("mae").alias("macro_mae"), F.avg("rmse").alias("macro_rmse"))
+    own = Window.partitionBy(*by)
+    macro = macro.withColumn("full", F.col("n_assets") == F.max("n_assets").over(own))
+    best = F.min(F.when(F.col("full"), F.col("macro_mae"))).over(own)
     out = macro.join(simplicity, "config", "left").withColumn("delta", F.col("macro_mae") - best).withColumn("tied", (F.col("full") & (F.col("delta") <= tie)).cast("int"))
-    order = Window.partitionBy("fold").orderBy(F.col("tied").desc(), F.when(F.col("tied") == 1, F.coalesce("simplicity", F.lit(1 << 30))).otherwise(F.lit(0)), F.when(F.col("tied") == 1, F.col("macro_rmse")).otherwise(F.col("macro_mae")), "config")
-    alone = F.sum("tied").over(Window.partitionBy("fold")) == 1
+    order = own.orderBy(F.col("tied").desc(), F.when(F.col("tied") == 1, F.coalesce("simplicity", F.lit(1 << 30))).otherwise(F.lit(0)), F.when(F.col("tied") == 1, F.col("macro_rmse")).otherwise(F.col("macro_mae")), "config")
+    alone = F.sum("tied").over(own) == 1
     out = out.drop("full").withColumn("selected", (F.row_number().over(order) == 1).cast("int"))
     return out.withColumn("reason", F.when(F.col("selected") == 0, "not_selected").when(alone, "lowest_error").otherwise("tie_break"))
 
 
-def winner_iterations(winners: DataFrame, audit: DataFrame, iteration: str = "best_iteration") -> DataFrame:
+def winner_iterations(winners: DataFrame, audit: DataFrame, iteration: str = "best_iteration", by: Sequence[str] = ("fold",)) -> DataFrame:
     """The iteration counts of the winners' cells."""
-    return winners.where("selected = 1").select("fold", "config").join(audit.select("fold", "config", "asset", "seed", iteration), ["fold", "config"])
-
-
-def refit_rows(slices: DataFrame) -> DataFrame:
-    """Training and validation rows together."""
-    return slices.where("partition IN ('train', 'validation')")
-
-
-def refit_forecasts(slices: DataFrame, winners: DataFrame, configs: Sequence[str], seeds: Sequence[str] | None, model: str) -> DataFrame:
-    """Refit each fold's winner on train and validation, forecast its test rows once."""
-    won = F.broadcast(winners.where("selected = 1").select("fold", "config"))
-    fits = ols_fit(refit_rows(slices), configs, seeds).join(won, ["fold", "config"])
-    return ols_predict(slices.where("partition = 'test'"), fits, configs, model)
+    return winners.where("selected = 1").select(*by, "config").join(audit.select(*by, "config", "asset", "seed", iteration), [*by, "config"])
 
 
 def refit_audit(slices: DataFrame, fits: DataFrame, forecasts: DataFrame, winners: DataFrame, cell: Sequence[str] = ("fold", "asset", "config"), iterations: DataFrame | None = None) -> DataFrame:
@@ -163,14 +142,22 @@ def replay(first: DataFrame, second: DataFrame, keys: Sequence[str] = (*C.FORECA
     return table_diff(first.drop("run_id"), second.drop("run_id"), list(keys))
 
 
-def run_family(slices: DataFrame, configs: Sequence[str], seeds: Sequence[str] | None, simplicity: DataFrame, model: str) -> dict[str, DataFrame]:
-    """Candidates, winners, refits and forecasts of a closed-form family, all folds at once."""
-    dev = slices.where("role = 'development'")
-    fits = ols_fit(dev.where("partition = 'train'"), configs, seeds)
-    validation = ols_predict(dev.where("partition = 'validation'"), fits, configs, model)
-    audit = candidate_audit(validation, fits)
-    winners = fold_winner(audit, simplicity)
-    return {"fits": fits, "validation": validation, "audit": audit, "winners": winners, "forecasts": refit_forecasts(dev, winners, configs, seeds, model)}
+def run_family(rows: DataFrame, folds: DataFrame, configs: Sequence[str], seeds: Sequence[str | None], simplicity: DataFrame) -> dict[str, DataFrame]:
+    """Candidates, winners, refits (M11) and forecasts of closed-form families, all development folds at once.
+
+    ``rows`` are the eligible rows (F9). A null in ``seeds`` is the plain model, the others together the seeded one; each has a winner of
+    its own. Fits and refits come from one pass over the rows; fits, audit, winners and forecasts are stored.
+    """
+    dev = folds.where("role = 'development'")
+    slices = assign(rows, dev)
+    fits = stored(fold_fits(rows, dev, configs, seeds), "fits")
+    validation = ols_predict(slices.where("partition = 'validation'"), fits.where("usage = 'selection'"), configs)
+    audit = stored(candidate_audit(validation, fits.where("usage = 'selection'")), "audit")
+    winners = stored(fold_winner(audit, simplicity, by=("model", "fold")), "winners")
+    won = F.broadcast(winners.where("selected = 1").select("model", "fold", "config"))  # a row a model and fold
+    refits = fits.where("usage = 'refit'").withColumn("model", F.when(F.col("seed").isNull(), "plain").otherwise("seeded")).join(won, ["model", "fold", "config"])
+    forecasts = stored(ols_predict(slices.where("partition = 'test'"), refits.drop("model"), configs), "forecasts")
+    return {"fits": fits, "validation": validation, "audit": audit, "winners": winners, "refits": refits, "forecasts": forecasts}
 
 
 def require_complete(gaps: DataFrame) -> None:

@@ -36,14 +36,43 @@ def match_baseline(forecasts: DataFrame, baseline: DataFrame, check: bool = Fals
     return checked_join(forecasts, b, _KEY) if check else forecasts.join(b, _KEY, "left")
 
 
-def _errors(predicted: str = "predicted_return", guess: str = "predicted_direction", prefix: str = "") -> list[Column]:
-    e = F.col(predicted) - F.col("actual_return")
-    return [F.avg(F.abs(e)).alias(f"{prefix}mae"), F.sqrt(F.avg(e * e)).alias(f"{prefix}rmse"), F.avg((F.col(guess) == F.col("actual_direction")).cast("double")).alias(f"{prefix}da")]
+#: What two forecasts of a row are compared by: the prefix of a state's sums, the forecast and its direction.
+SIDES = (("", "predicted_return", "predicted_direction"), ("baseline_", "baseline_return", "baseline_direction"))
+STATE = ("n", "n_positive", "abs_sum", "sq_sum", "hits", "baseline_abs_sum", "baseline_sq_sum", "baseline_hits")
+
+
+def states(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mergeable states of metrics by ``keys``: counts and sums of errors, of the forecasts and, where they are there, of the baseline's.
+
+    States of finer keys add up to those of coarser ones (:func:`add_up`), and those of a new fold are simply more rows.
+    """
+    sums = [F.count("*").alias("n"), F.count_if(F.col("actual_direction") == 1).alias("n_positive")]
+    for prefix, value, guess in SIDES:
+        if value in matched.columns:
+            e = F.col(value) - F.col("actual_return")
+            sums += [F.sum(F.abs(e)).alias(f"{prefix}abs_sum"), F.sum(e * e).alias(f"{prefix}sq_sum"), F.count_if(F.col(guess) == F.col("actual_direction")).alias(f"{prefix}hits")]
+    return matched.groupBy(*keys).agg(*sums)
+
+
+def add_up(finer: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States of coarser keys."""
+    return finer.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in STATE if c in finer.columns))
+
+
+def of_states(made: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """N and the metrics of states: errors, accuracy and, beside a baseline, its own, skill and difference of accuracy."""
+    n, out = F.nullif(F.col("n"), F.lit(0).cast("long")), {}
+    for prefix, *_ in SIDES:
+        if f"{prefix}abs_sum" in made.columns:
+            out |= {f"{prefix}mae": F.col(f"{prefix}abs_sum") / n, f"{prefix}rmse": F.sqrt(F.col(f"{prefix}sq_sum") / n), f"{prefix}da": F.col(f"{prefix}hits") / n}
+    told = made.select(*keys, "n", *(v.alias(k) for k, v in out.items()))
+    return told.withColumns({"skill": skill(), "da_diff": F.col("da") - F.col("baseline_da")}) if "baseline_mae" in out else told
 
 
 def error_metrics(df: DataFrame, keys: Sequence[str] = ("fold", "asset")) -> DataFrame:
     """Rows, mean absolute and root mean squared error, directional accuracy."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *_errors())
+    plain = df.select(*keys, *(c for c in ("predicted_return", "predicted_direction", "actual_return", "actual_direction") if c not in keys))
+    return of_states(states(plain, keys), keys)
 
 
 def class_balance(df: DataFrame, keys: Sequence[str] = ("fold", "asset")) -> DataFrame:
@@ -59,8 +88,7 @@ def skill(mae: str = "mae", base: str = "baseline_mae") -> Column:
 
 def skill_metrics(matched: DataFrame, keys: Sequence[str] = ("model", "seed", "fold", "asset")) -> DataFrame:
     """Metrics beside the matched baseline's, skill and difference of accuracy."""
-    out = matched.groupBy(*keys).agg(F.count("*").alias("n"), *_errors(), *_errors("baseline_return", "baseline_direction", "baseline_"))
-    return out.withColumns({"skill": skill(), "da_diff": F.col("da") - F.col("baseline_da")})
+    return of_states(states(matched, keys), keys)
 
 
 def macro_metrics(by_asset: DataFrame, n_assets: int, keys: Sequence[str] = ("model", "seed", "fold"), values: Sequence[str] = ("mae", "rmse", "da", "skill", "da_diff")) -> DataFrame:

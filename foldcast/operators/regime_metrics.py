@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldcast import schema as C
 from foldcast.functions import quartiles
-from foldcast.operators.metrics import _errors, skill
+from foldcast.operators import metrics
 
 LEAST, TOLERANCE = 30, 1e-12
 #: What a contrast takes from a cell: its name, the metric, and the sign with which more is worse.
@@ -26,35 +26,45 @@ def _grid(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct().select(*keys, F.inline(values))
 
 
-def _long(df: DataFrame) -> DataFrame:
-    return df.unpivot([c for c in df.columns if c not in C.DIMENSIONS], list(C.DIMENSIONS), "dimension", "label")
+def finest(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States of all metrics (G) by ``keys`` and the three labels together: all cells, levels and contrasts follow from them."""
+    plain = labelled.withColumn("seed", F.coalesce("seed", F.lit(""))) if "seed" in keys else labelled
+    return metrics.states(plain, [*keys, *C.DIMENSIONS])
+
+
+def _cells(made: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """Metrics of every cell of the whole keys x dimension x label grid from the finest states; an empty cell has n = 0 and null metrics."""
+    cell = [*keys, "dimension", "label"]
+    long = made.unpivot([c for c in made.columns if c not in C.DIMENSIONS], list(C.DIMENSIONS), "dimension", "label")
+    # zero states of the grid's cells instead of a join with it
+    zero = _grid(made, keys).select(*cell, *(F.lit(0).cast(t).alias(c) for c, t in long.dtypes if c in metrics.STATE))
+    known = F.concat_ws("|", "dimension", "label").isin([f"{d}|{v}" for d, vs in C.DIMENSIONS.items() for v in vs])
+    summed = metrics.add_up(long.where(known).select(*zero.columns).unionByName(zero), cell)
+    out = metrics.of_states(summed, cell)
+    if "baseline_mae" not in out.columns:
+        out = out.join(summed.select(*cell, "n_positive"), cell)
+    return out.withColumn("status", status(F.col("n"), least))
 
 
 def baseline_cells(labelled: DataFrame, least: int = LEAST) -> DataFrame:
     """Baseline metrics of the whole fold x asset x dimension x label grid; an empty cell has n = 0 and null metrics."""
-    keys = ["fold", "asset", "dimension", "label"]
-    made = _long(labelled).groupBy(*keys).agg(F.count("*").alias("n"), *_errors(), F.count_if(F.col("actual_direction") == 1).alias("n_positive"))
-    out = _grid(labelled, ["fold", "asset"]).join(made, keys, "left")
-    out = out.withColumns({"n": F.coalesce("n", F.lit(0)), "n_positive": F.coalesce("n_positive", F.lit(0))})
-    return out.withColumn("status", status(F.col("n"), least))
+    keys = ["fold", "asset"]
+    plain = labelled.select(*keys, "predicted_return", "predicted_direction", "actual_return", "actual_direction", *C.DIMENSIONS)
+    return _cells(finest(plain, keys), keys, least)
 
 
 def learned_cells(matched: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per model and seed, with skill against the matched baseline."""
-    ids = ["model", "seed", "fold", "asset"]
-    keys = [*ids, "dimension", "label"]
-    m = matched.withColumn("seed", F.coalesce("seed", F.lit("")))
-    made = _long(m).groupBy(*keys).agg(F.count("*").alias("n"), *_errors(), *_errors("baseline_return", "baseline_direction", "baseline_"))
-    out = _grid(m.groupBy(*ids).agg(F.count("*")), ids).join(made, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.withColumns({"skill": skill(), "da_diff": F.col("da") - F.col("baseline_da"), "status": status(F.col("n"), least)})
+    """Per model and seed, with skill against the matched baseline. ``matched`` has forecasts, or states that :func:`finest` made of them."""
+    keys = ["model", "seed", "fold", "asset"]
+    return _cells(matched if "abs_sum" in matched.columns else finest(matched, keys), keys, least)
 
 
 def cell_seed_summary(cells: DataFrame, values: Sequence[str] = ("mae", "rmse", "da", "skill", "da_diff")) -> DataFrame:
-    """Over seeds; reportable if all are. ``mixed`` counts metrics that some seeds lack and some have."""
+    """Over seeds; reportable if all are. A metric that some seeds of a cell have and some lack is an error when the cell is read."""
     keys = ["model", "fold", "asset", "dimension", "label"]
     aggs = [f(v).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
     mixed = sum((((F.count(v) > 0) & (F.count(v) < F.count("*"))).cast("int") for v in values), F.lit(0))
-    return cells.groupBy(*keys).agg(F.count("*").alias("n_seeds"), F.max("n").alias("n"), F.when(F.bool_and(F.col("status") == "reportable"), "reportable").otherwise("suppressed").alias("status"), mixed.alias("mixed"), *aggs)
+    return cells.groupBy(*keys).agg(F.count("*").alias("n_seeds"), F.max("n").alias("n"), F.when(F.bool_and(F.col("status") == "reportable"), "reportable").otherwise("suppressed").alias("status"), F.when(mixed > 0, F.raise_error(F.lit("some seeds of a cell have a metric that others lack")).cast("int")).otherwise(mixed).alias("mixed"), *aggs)
 
 
 def sign(c: Column, tol: float = TOLERANCE) -> Column:

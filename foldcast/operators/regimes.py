@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldcast import schema as C
-from foldcast.functions import finite, grid_fill
+from foldcast.functions import finite, grid_fill, require_none
 
 #: Sessions in a year, the lag of the jump ratio, and the ratio from which volatility has jumped.
 YEAR, LAG, JUMP = 252, 21, 1.5
@@ -121,10 +121,15 @@ def label_mismatches(table: DataFrame) -> DataFrame:
 
 
 def regimes(sup_ref: DataFrame, folds: DataFrame, forecasts: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(inputs, thresholds, labels) for the keys of all forecasts."""
+    """(inputs, thresholds, labels) for the keys of all forecasts.
+
+    Keys without reference values or thresholds are an error (R7). Thresholds of folds without forecasts, such as the guarded one, are not.
+    """
     inputs = volatility_inputs(sup_ref)
     limits = thresholds(inputs, folds)
     keys = forecasts[0].select("fold", "origin_date")
     for f in forecasts[1:]:
         keys = keys.union(f.select("fold", "origin_date"))
-    return inputs, limits, labels(keys.distinct(), inputs, limits)
+    keys = keys.distinct()
+    require_none(label_gaps(keys, inputs, limits).where("problem <> 'unused_thresholds'"), "labels would be incomplete")
+    return inputs, limits, labels(keys, inputs, limits)

@@ -50,9 +50,9 @@ def _long(table: str, ids: str) -> str:
 def _fit(rows: str) -> str:
     one = " UNION ALL ".join(f"SELECT fold, asset, '{c}' AS config, origin_date, target_return, {c} AS x FROM {rows}" for c in CONFIGS)
     return f"""SELECT fold, asset, config, seed, coalesce(regr_slope(target_return, x), 0) AS slope,
-      avg(target_return) - coalesce(regr_slope(target_return, x), 0) * avg(x) AS intercept, count(*) AS n_train FROM (
-      SELECT *, NULL AS seed FROM ({one}) UNION ALL SELECT a.*, s AS seed FROM ({one}) a, (VALUES ('1'), ('2')) t(s)
-      WHERE ('0x' || substr(md5(asset || '|' || CAST(origin_date AS VARCHAR) || '|' || s), 1, 8))::BIGINT % 100 < 80) GROUP BY fold, asset, config, seed"""
+      avg(target_return) - coalesce(regr_slope(target_return, x), 0) * avg(x) AS intercept, count(*) FILTER (copy = 1) AS n_train FROM (
+      SELECT *, NULL AS seed, 1 AS copy FROM ({one}) UNION ALL SELECT a.*, s AS seed, copy FROM ({one}) a, (VALUES ('1'), ('2')) t(s), (VALUES (1), (2)) k(copy)
+      WHERE copy = 1 OR ('0x' || substr(md5(asset || '|' || CAST(origin_date AS VARCHAR) || '|' || s), 1, 8))::BIGINT % 2 = 1) GROUP BY fold, asset, config, seed"""
 
 
 def _predict(rows: str, fits: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foldcast import schema as C
 from foldcast.functions import table_diff
-from foldcast.operators import features, folds, forecast, metrics, quality, regime_metrics, regimes, reports, sequences, train
+from foldcast.operators import features, folds, forecast, metrics, moments, quality, regime_metrics, regimes, reports, sequences, train
 from foldcast.plans.oracle import CONFIGS, LEAST, METRICS, SEEDS, four, sign, sql
 from foldcast.sources import artifacts, panel as sources
 
@@ -60,32 +60,42 @@ class Tables:
     def slices(self) -> DataFrame:
         return folds.eligible_slices(self.sup, self.folds)
 
+    @cached_property
+    def eligible(self) -> DataFrame:
+        """Eligible rows, each once; families read them several times."""
+        return artifacts.stored(self.sup.where("eligible = 1"), "eligible")
+
     @cached_property
     def dev(self) -> DataFrame:
-        return folds.development_only(self.slices)
+        return folds.assign(self.eligible, self.folds.where("role = 'development'"))
 
     @cached_property
     def base(self) -> DataFrame:
         return forecast.baseline_forecasts(self.slices)
 
+    @cached_property
+    def dev_base(self) -> DataFrame:
+        """As ``base``, from the stored rows."""
+        return forecast.baseline_forecasts(self.dev)
+
     @cached_property
     def simplicity(self) -> DataFrame:
         return self.spark.createDataFrame([(c, k + 1) for k, c in enumerate(CONFIGS)], "config string, simplicity int")
 
     @cached_property
-    def families(self) -> dict[str, dict[str, DataFrame]]:
-        """Plain and seeded closed-form families on one materialised slice table."""
-        dev = self.dev.cache()
-        return {m: forecast.run_family(dev, CONFIGS, s, self.simplicity, m) for m, s in (("plain", None), ("seeded", SEEDS))}
-
-    def both(self, name: str) -> DataFrame:
-        a, b = (self.families[m][name] for m in ("plain", "seeded"))
-        tag = lambda d, m: d if "model" in d.columns else d.withColumn("model", F.lit(m))
-        return tag(a, "plain").unionByName(tag(b, "seeded"))
+    def family(self) -> dict[str, DataFrame]:
+        """The plain and the seeded closed-form family, in one walk."""
+        return forecast.run_family(self.eligible, self.folds, CONFIGS, [None, *SEEDS], self.simplicity)
 
     @cached_property
     def matched(self) -> DataFrame:
-        return metrics.match_baseline(self.both("forecasts"), self.base)
+        return metrics.match_baseline(self.family["forecasts"], self.dev_base)
+
+    @cached_property
+    def states(self) -> DataFrame:
+        """Metric states by model, seed, fold, asset and the three labels, stored: all metrics that follow are sums of these."""
+        labelled = regimes.attach(self.matched, self.regime[2])
+        return artifacts.stored(regime_metrics.finest(labelled, ["model", "seed", "fold", "asset"]), "states")
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -97,11 +107,11 @@ class Tables:
 
     @cached_property
     def regime(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return regimes.regimes(self.ref, self.folds, [self.base])
+        return regimes.regimes(artifacts.stored(self.ref, "reference"), self.folds, [self.dev_base])
 
     @cached_property
     def base_labelled(self) -> DataFrame:
-        return regimes.attach(self.base, self.regime[2])
+        return regimes.attach(self.dev_base, self.regime[2])
 
     @cached_property
     def matched_labelled(self) -> DataFrame:
@@ -110,7 +120,7 @@ class Tables:
 
     @cached_property
     def rcells(self) -> DataFrame:
-        return regime_metrics.learned_cells(self.matched_labelled, LEAST)
+        return regime_metrics.learned_cells(self.states, LEAST)
 
     @cached_property
     def contrasts(self) -> DataFrame:
@@ -376,7 +386,7 @@ def _(t):
 
 @query("d5_coverage", "SELECT fold, partition, asset, count(*) AS n_rows, min(target_date) AS first_date, max(target_date) AS last_date FROM slices GROUP BY ROLLUP (fold, partition, asset)")
 def _(t):
-    return folds.coverage(t.slices)
+    return moments.fold_coverage(t.sup.where("eligible = 1"), folds.guarded(t.folds))
 
 
 # forecasts
@@ -387,55 +397,53 @@ def _(t):
 
 @query("m6_candidate_forecasts", "SELECT model, config, seed, fold, partition, asset, origin_date, target_date, actual_return, predicted_return, actual_direction, predicted_direction FROM val", "actual_return predicted_return")
 def _(t):
-    return t.both("validation").select("model", "config", "seed", "fold", "partition", *C.SAMPLE_KEY, "actual_return", "predicted_return", "actual_direction", "predicted_direction")
+    return t.family["validation"].select("model", "config", "seed", "fold", "partition", *C.SAMPLE_KEY, "actual_return", "predicted_return", "actual_direction", "predicted_direction")
 
 
 @query("m7_candidate_audit", "SELECT model, fold, config, asset, seed, n_validation, mae, rmse, da, n_positive, n_validation - n_positive AS n_other, n_train, status FROM audit", _ERR)
 def _(t):
-    return t.both("audit")
+    return t.family["audit"]
 
 
 @query("m8_grid_gaps", "SELECT fold, config, asset, '' AS seed, 'missing' AS problem FROM audit WHERE model = 'plain' AND asset = 'N' AND config = 'ret' UNION ALL SELECT fold, config, asset, '', 'repeated' FROM audit WHERE model = 'plain' AND asset = 'A' AND config = 'ref_ret' UNION ALL SELECT fold, config, asset, '', 'unexpected' FROM audit, (VALUES (1), (2)) WHERE model = 'plain' AND asset = 'R' AND config = 'ret_mean_5' AND fold = 'D2' AND false")
 def _(t):
-    audit = t.families["plain"]["audit"].drop("model")
+    audit = t.family["audit"].where("model = 'plain'").drop("model")
     grid = audit.select("fold", "config", "asset", "seed").distinct()
     return forecast.grid_gaps(audit.where("NOT (asset = 'N' AND config = 'ret')").unionByName(audit.where("asset = 'A' AND config = 'ref_ret'")), grid)
 
 
 @query("m8_key_agreement", "SELECT fold, asset, 1::BIGINT AS n_key_sets, count(DISTINCT (config, coalesce(seed, ''), model)) AS n_cells FROM val WHERE model = 'seeded' GROUP BY fold, asset")
 def _(t):
-    return forecast.key_agreement(t.families["seeded"]["validation"])
+    return forecast.key_agreement(t.family["validation"].where("model = 'seeded'"))
 
 
 @query("m9_fold_winner", "SELECT model, fold, config, n_assets, macro_mae, macro_rmse, simplicity, delta, tied, selected, reason FROM winners", "macro_mae macro_rmse delta")
 def _(t):
-    return t.both("winners")
+    return t.family["winners"]
 
 
 @query("m10_winner_cells", "SELECT model, fold, config, asset, seed, n_train FROM won JOIN audit USING (model, fold, config)")
 def _(t):
-    parts = [forecast.winner_iterations(f["winners"], f["audit"], "n_train").withColumn("model", F.lit(m)) for m, f in t.families.items()]
-    return parts[0].unionByName(parts[1])
+    return forecast.winner_iterations(t.family["winners"], t.family["audit"], "n_train", ("model", "fold"))
 
 
 @query("m11_refit_forecasts", "SELECT model, config, seed, fold, asset, origin_date, target_date, actual_return, predicted_return, predicted_direction FROM learned", "actual_return predicted_return")
 def _(t):
-    return t.both("forecasts").select("model", "config", "seed", "fold", *C.SAMPLE_KEY, "actual_return", "predicted_return", "predicted_direction")
+    return t.family["forecasts"].select("model", "config", "seed", "fold", *C.SAMPLE_KEY, "actual_return", "predicted_return", "predicted_direction")
 
 
 @query("m12_refit_audit", "SELECT fold, asset, config, r.n_train AS n_refit, n_forecast, n.n_train, n_validation, n_test, config AS winner, CASE WHEN n.n_train + n_validation = r.n_train AND n_forecast = n_test THEN 1 ELSE 0 END AS ok FROM (SELECT * FROM refits WHERE seed IS NULL) r JOIN (SELECT fold, config FROM won WHERE model = 'plain') w USING (fold, config) JOIN (SELECT fold, asset, count(*) AS n_forecast FROM learned WHERE model = 'plain' GROUP BY fold, asset) USING (fold, asset) JOIN (SELECT fold, asset, count(*) FILTER (partition = 'train') AS n_train, count(*) FILTER (partition = 'validation') AS n_validation, count(*) FILTER (partition = 'test') AS n_test FROM dev GROUP BY fold, asset) n USING (fold, asset)")
 def _(t):
-    f = t.families["plain"]
-    fits = forecast.ols_fit(forecast.refit_rows(t.dev), CONFIGS, None)
-    return forecast.refit_audit(t.dev, fits, f["forecasts"], f["winners"])
+    f = {k: v.where("model = 'plain'") for k, v in t.family.items() if "model" in v.columns}
+    return forecast.refit_audit(t.dev, f["refits"], f["forecasts"], f["winners"])
 
 
 @query("m13_replay", "SELECT unnest(['key', 'model', 'seed', 'partition', 'actual_return', 'predicted_return', 'actual_direction', 'predicted_direction', 'trend_regime', 'volatility_regime', 'transition_regime']) AS \"column\", unnest([k, 0, 0, 0, 0, p, 0, 0, 0, 0, 0]) AS n_mismatch FROM (SELECT count(*) FILTER (day(target_date) = 6) AS k, count(*) FILTER (day(target_date) = 5 AND asset = 'A') AS p FROM learned WHERE model = 'plain')")
 def _(t):
     """A second run over other partitions, with planted differences: rows that are gone, and forecasts that moved."""
-    again = forecast.run_family(t.dev.repartition(3, "origin_date"), CONFIGS, None, t.simplicity, "plain")["forecasts"].where("day(target_date) <> 6")
+    again = forecast.run_family(t.eligible.repartition(3, "origin_date"), t.folds, CONFIGS, [None], t.simplicity)["forecasts"].where("day(target_date) <> 6")
     moved = again.withColumn("predicted_return", F.when(F.expr("day(target_date) = 5 AND asset = 'A'"), F.col("predicted_return") + 0.001).otherwise(F.col("predicted_return")))
-    return forecast.replay(t.families["plain"]["forecasts"], moved).select("column", "n_mismatch")
+    return forecast.replay(t.family["forecasts"].where("model = 'plain'"), moved).select("column", "n_mismatch")
 
 
 def _replayed(t: Tables, walk: Callable[[DataFrame], dict[str, DataFrame]]) -> DataFrame:
@@ -485,7 +493,7 @@ def _(t):
 # comparison and metrics
 @query("g1_key_difference", "SELECT count(*) FILTER (day(target_date) = 5) AS n_missing, 0::BIGINT AS n_extra, count(*) FILTER (day(target_date) <> 5) AS n_common FROM base")
 def _(t):
-    return metrics.key_difference(t.base, t.both("forecasts").where("day(target_date) <> 5"))
+    return metrics.key_difference(t.base, t.family["forecasts"].where("day(target_date) <> 5"))
 
 
 @query("g2_actual_agreement", "SELECT 0::BIGINT AS n_unmatched, count(*) FILTER (day(target_date) = 5 AND actual_return <> 0) AS n_return, 0::BIGINT AS n_direction, max(CASE WHEN day(target_date) = 5 THEN abs(actual_return) * 0.5 ELSE 0 END) AS max_abs_diff FROM base", "max_abs_diff")
@@ -690,11 +698,11 @@ _SIDE = "baseline_mae baseline_rmse baseline_da plain_mae plain_rmse plain_da pl
 
 @query("c1_asset_comparison", _sides("fold, asset", _BASE_BY, "cells"), _SIDE)
 def _(t):
-    return reports.side_by_side(metrics.error_metrics(t.base), t.cells.where("model = 'plain'"), metrics.seed_summary(t.cells.where("model = 'seeded'"), SEEDS))
+    return reports.side_by_side(metrics.error_metrics(t.dev_base), t.cells.where("model = 'plain'"), metrics.seed_summary(t.cells.where("model = 'seeded'"), SEEDS))
 
 
 def _macro_sides(t: Tables) -> DataFrame:
-    base = metrics.macro_metrics(metrics.error_metrics(t.base), len(ASSETS), ("fold",), ("mae", "rmse", "da"))
+    base = metrics.macro_metrics(metrics.error_metrics(t.dev_base), len(ASSETS), ("fold",), ("mae", "rmse", "da"))
     return reports.side_by_side(base, t.macro.where("model = 'plain'"), metrics.seed_summary(t.macro.where("model = 'seeded'"), SEEDS, ("fold",)), ("fold",))
 
 
@@ -728,7 +736,7 @@ def _(t):
 
 @query("c7_effort", "SELECT model, count(*) AS n_fits, count(DISTINCT seed) AS n_seeds, any_value(n_refits) AS n_refits, any_value(n_positive_skill) AS n_positive_skill FROM audit JOIN (SELECT model, count(*) AS n_refits, count(*) FILTER (skill > 0) AS n_positive_skill FROM cells GROUP BY model) USING (model) GROUP BY model")
 def _(t):
-    return reports.effort(t.both("audit"), t.cells, t.cells)
+    return reports.effort(t.family["audit"], t.cells, t.cells)
 
 
 @query("c8_table_diff", "SELECT unnest(['key', 'partition', 'actual_return', 'predicted_return', 'actual_direction', 'predicted_direction']) AS \"column\", unnest([0, 0, n, 0, 0, 0]) AS n_mismatch FROM (SELECT count(*) FILTER (day(target_date) = 5 AND actual_return <> 0) AS n FROM base)")
@@ -792,7 +800,7 @@ def _(t):
 
 @query("f15_scaler", "SELECT fold, asset, 'selection' AS usage, feature, avg(x) AS mean, var_pop(x) AS var, CASE WHEN var_pop(x) = 0 THEN 1 ELSE sqrt(var_pop(x)) END AS scale, count(x) AS n FROM (" + " UNION ALL ".join(f"SELECT fold, asset, '{f}' AS feature, {f} AS x FROM slices WHERE partition = 'train'" for f in C.FEATURES) + ") GROUP BY fold, asset, feature", "mean var scale", 6)
 def _(t):
-    return sequences.fit_scaler(t.slices)
+    return moments.fold_scalers(t.sup.where("eligible = 1"), t.folds)
 
 
 @query("f16_scaled", "SELECT fold, asset, count(*) AS n, round(avg((ret - m) / s), 4) + 0.0 AS mean_z FROM (SELECT fold, asset, ret FROM dev WHERE partition = 'validation') JOIN (SELECT fold, asset, avg(ret) AS m, stddev_pop(ret) AS s FROM dev WHERE partition = 'train' GROUP BY fold, asset) USING (fold, asset) GROUP BY fold, asset")
