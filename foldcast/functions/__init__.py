@@ -35,6 +35,23 @@ def rolling(value: str, size: int, keys: Sequence[str], order: str, how: str) ->
     return F.when(F.count(value).over(w) == size, made.over(w))
 
 
+def halo(df: DataFrame, keys: Sequence[str], order: str, rows: int, before: int) -> DataFrame:
+    """Long series in blocks: adds ``halo_block`` and ``halo_own`` to the rows of each key, in the order of the date ``order``.
+
+    A block has ``rows`` consecutive rows of a key and, as its halo, copies of the ``before`` rows that precede them. A window over
+    (keys, halo_block) that reaches back no further gives the rows with ``halo_own`` what a window over the keys would, so one long
+    series is many tasks. Rows are numbered by spans of days first; only counts of spans meet by key. Dates of a key are unique.
+    """
+    span = F.floor(F.unix_date(order) / rows)
+    numbered = df.withColumn("halo_span", span).withColumn("halo_at", F.row_number().over(Window.partitionBy(*keys, "halo_span").orderBy(order)) - 1)
+    upto = Window.partitionBy(*keys).orderBy("halo_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = df.groupBy(*keys, span.alias("halo_span")).agg(F.count("*").alias("halo_n")).withColumn("halo_from", F.coalesce(F.sum("halo_n").over(upto), F.lit(0))).drop("halo_n")
+    at = numbered.join(spans, [*keys, "halo_span"]).withColumn("halo_at", F.col("halo_at") + F.col("halo_from"))
+    own = F.floor(F.col("halo_at") / rows)
+    blocks = at.withColumn("halo_block", F.explode(F.sequence(own, F.floor((F.col("halo_at") + before) / rows))))
+    return blocks.withColumn("halo_own", F.col("halo_block") == own).drop("halo_span", "halo_at", "halo_from")
+
+
 def violations(df: DataFrame, rules: dict[str, Column], keys: Sequence[str]) -> DataFrame:
     """(rule, keys) for each row and each rule whose predicate holds, in one pass."""
     hit = F.filter(F.array(*(F.when(F.coalesce(p, F.lit(True)), F.lit(name)) for name, p in rules.items())), lambda x: x.isNotNull())
@@ -80,19 +97,35 @@ def quartiles(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataF
     return out.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
+#: Buckets of keys by whose digests two tables are compared first.
+DIFF_BUCKETS = 1024
+
+
 def table_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], rtol: float = 1e-12, atol: float = 1e-15) -> DataFrame:
-    """(column, n_mismatch, max_abs_diff) of two tables by key; null equals null. ``column`` 'key' counts unmatched rows."""
+    """(column, n_mismatch, max_abs_diff) of two tables by key; null equals null. ``column`` 'key' counts unmatched rows.
+
+    Digests of the rows by bucket of their keys come first, and only buckets that differ are joined: equal tables are compared
+    by 1,024 small rows a side. A key that repeats within a bucket that differs is an error when the result is read.
+    """
     if set(a.columns) != set(b.columns):
         raise ContractError(f"columns differ: {sorted(set(a.columns) ^ set(b.columns))}")
     numeric = {f.name for f in a.schema if f.dataType.typeName() in ("double", "float", "long", "integer", "short", "byte")}
     values = [c for c in a.columns if c not in keys]
-    left = a.select(*keys, F.struct(*values).alias("x"), F.lit(1).alias("in_x"))
-    right = b.select(*keys, F.struct(*values).alias("y"), F.lit(1).alias("in_y"))
-    both = left.join(right, list(keys), "full")
-    parts = [F.struct(F.lit("key").alias("column"), (F.col("in_x").isNull() | F.col("in_y").isNull()).cast("long").alias("bad"), F.lit(None).cast("double").alias("gap"))]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(DIFF_BUCKETS)).cast("int")
+    # rows that are equal in the comparison below have equal text: numbers as doubles, -0.0 as 0.0
+    told = [F.coalesce((F.col(c).cast("double") + F.lit(0.0)).cast("string") if c in numeric else F.col(c).cast("string"), F.lit("\0")) for c in values]
+    parts = lambda d: d.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(k), *keys, *told, *(F.col(c).isNull() for c in values)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)))
+    both_parts = parts(a).withColumnRenamed("n", "n_a").join(parts(b).select("bucket", F.col("n").alias("n_b"), F.col("h0").alias("g0"), F.col("h1").alias("g1")), "bucket", "full")
+    odd = F.broadcast(both_parts.where(~(F.col("n_a").eqNullSafe(F.col("n_b")) & F.col("h0").eqNullSafe(F.col("g0")) & F.col("h1").eqNullSafe(F.col("g1")))).select("bucket"))
+    row = lambda d, name: d.withColumn("bucket", bucket).join(odd, "bucket", "left_semi").groupBy(*keys).agg(F.any_value(F.struct(*values) if values else F.struct(F.lit(1).alias("one"))).alias(name), F.count("*").alias(f"n_{name}"))
+    once = lambda n: F.when(F.col(n) > 1, F.raise_error(F.lit(f"keys {list(keys)} repeat")).cast("int")).when(F.col(n) == 1, F.lit(1))
+    both = row(a, "x").join(row(b, "y"), list(keys), "full").withColumns({"in_x": once("n_x"), "in_y": once("n_y")})
+    parts_of = [F.struct(F.lit("key").alias("column"), (F.col("in_x").isNull() | F.col("in_y").isNull()).cast("long").alias("bad"), F.lit(None).cast("double").alias("gap"))]
     for c in values:
         x, y = F.col(f"x.{c}"), F.col(f"y.{c}")
         gap = F.abs(x.cast("double") - y.cast("double")) if c in numeric else F.lit(None).cast("double")
         same = (x.eqNullSafe(y) | F.coalesce(gap <= atol + rtol * F.abs(y.cast("double")), F.lit(False))) if c in numeric else x.eqNullSafe(y)
-        parts.append(F.struct(F.lit(c).alias("column"), (F.col("in_x").isNotNull() & F.col("in_y").isNotNull() & ~same).cast("long").alias("bad"), gap.alias("gap")))
-    return both.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.column").agg(F.sum("p.bad").alias("n_mismatch"), F.max("p.gap").alias("max_abs_diff"))
+        parts_of.append(F.struct(F.lit(c).alias("column"), (F.col("in_x").isNotNull() & F.col("in_y").isNotNull() & ~same).cast("long").alias("bad"), gap.alias("gap")))
+    # columns of buckets that don't differ: no mismatch
+    none = a.sparkSession.createDataFrame([(c, 0, 0.0 if c in numeric else None) for c in ("key", *values)], "column string, bad long, gap double")
+    return both.select(F.explode(F.array(*parts_of)).alias("p")).select("p.*").unionByName(none).groupBy("column").agg(F.sum("bad").alias("n_mismatch"), F.max("gap").alias("max_abs_diff"))

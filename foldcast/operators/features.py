@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldcast import schema as C
-from foldcast.functions import ContractError, checked_join, direction, require_none, rolling
+from foldcast.functions import ContractError, checked_join, direction, halo, require_none, rolling
 from foldcast.operators.quality import eligibility
 
 
@@ -42,21 +42,30 @@ def _windows(windows: Sequence[int]) -> None:
         raise ContractError("windows must be unique and 2 or more")
 
 
-def asset_features(panel: DataFrame, windows: Sequence[int] = C.WINDOWS, keep: Sequence[str] = ()) -> DataFrame:
-    """returns and rolling means and deviations by asset, on one sort; columns in ``keep`` pass through."""
+def asset_features(panel: DataFrame, windows: Sequence[int] = C.WINDOWS, keep: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
+    """returns and rolling means and deviations by asset, on one sort; columns in ``keep`` pass through.
+
+    With ``block_rows`` an asset's rows are worked on in blocks of so many (:func:`foldcast.functions.halo`), so a long series is many tasks.
+    """
     _windows(windows)
-    base = panel.withColumn("ret", log_return())
-    base = base.withColumn("ret_lag", F.lag("ret").over(_by("asset")))
-    made = {f"{x}_{how}_{w}": rolling(v, w, ["asset"], "date", how) for w in windows for x, v in (("ret", "ret"), ("vol", "volume")) for how in ("mean", "std")}
-    return base.withColumns(made).select("asset", F.col("date").alias("origin_date"), "ret", "ret_lag", *made, *keep)
+    panel, keys = (panel, ["asset"]) if block_rows is None else (halo(panel, ["asset"], "date", block_rows, max(windows) + 1), ["asset", "halo_block"])
+    base = panel.withColumn("ret", log_return(keys=keys))
+    base = base.withColumn("ret_lag", F.lag("ret").over(_by(*keys)))
+    made = {f"{x}_{how}_{w}": rolling(v, w, keys, "date", how) for w in windows for x, v in (("ret", "ret"), ("vol", "volume")) for how in ("mean", "std")}
+    out = base.withColumns(made)
+    return (out if block_rows is None else out.where("halo_own")).select("asset", F.col("date").alias("origin_date"), "ret", "ret_lag", *made, *keep)
 
 
-def reference_features(panel: DataFrame, reference: str = C.REFERENCE, windows: Sequence[int] = C.WINDOWS, trend: int = C.TREND) -> DataFrame:
-    """features of the reference series, one row a date."""
+def reference_features(panel: DataFrame, reference: str = C.REFERENCE, windows: Sequence[int] = C.WINDOWS, trend: int = C.TREND, block_rows: int | None = None) -> DataFrame:
+    """features of the reference series, one row a date; ``block_rows`` as in :func:`asset_features`."""
     _windows(windows)
-    ref = panel.where(F.col("asset") == reference).withColumn("ref_ret", log_return())
-    made = {f"ref_{how}_{w}": rolling("ref_ret", w, ["asset"], "date", how) for w in windows for how in ("mean", "std")}
-    ref = ref.withColumns({"ref_ret_lag": F.lag("ref_ret").over(_by("asset")), **made, f"ref_trend_{trend}": log_return(k=trend)})
+    ref, keys = panel.where(F.col("asset") == reference), ["asset"]
+    if block_rows is not None:
+        ref, keys = halo(ref, ["asset"], "date", block_rows, max(*windows, trend) + 1), ["asset", "halo_block"]
+    ref = ref.withColumn("ref_ret", log_return(keys=keys))
+    made = {f"ref_{how}_{w}": rolling("ref_ret", w, keys, "date", how) for w in windows for how in ("mean", "std")}
+    ref = ref.withColumns({"ref_ret_lag": F.lag("ref_ret").over(_by(*keys)), **made, f"ref_trend_{trend}": log_return(k=trend, keys=keys)})
+    ref = ref if block_rows is None else ref.where("halo_own")
     return ref.select(F.col("date").alias("origin_date"), "ref_ret", "ref_ret_lag", *made, f"ref_trend_{trend}", F.lit(1).alias("ref_observed"))
 
 
@@ -126,10 +135,11 @@ def reference_view(sup: DataFrame, columns: Sequence[str] = ("ref_ret", "ref_std
     )
 
 
-def reconstruct(ref: DataFrame, tol: float = 1e-9) -> DataFrame:
-    """rebuild 21-row deviation and 63-row trend of the reference from its returns and compare."""
-    w = Window.orderBy("origin_date").partitionBy(F.lit(0))
+def reconstruct(ref: DataFrame, tol: float = 1e-9, block_rows: int = 4096) -> DataFrame:
+    """rebuild 21-row deviation and 63-row trend of the reference from its returns, block by block, and compare."""
+    rows = halo(ref.withColumn("series", F.lit(0)), ["series"], "origin_date", block_rows, C.TREND)
+    w = Window.partitionBy("series", "halo_block").orderBy("origin_date")
     std = F.when(F.count("ref_ret").over(w.rowsBetween(-20, 0)) == 21, F.stddev_pop("ref_ret").over(w.rowsBetween(-20, 0)))
     trend = F.when(F.count("ref_ret").over(w.rowsBetween(1 - C.TREND, 0)) == C.TREND, F.sum("ref_ret").over(w.rowsBetween(1 - C.TREND, 0)))
-    made = ref.select("origin_date", F.col("ref_std_21").alias("std"), std.alias("std2"), F.col(f"ref_trend_{C.TREND}").alias("trend"), trend.alias("trend2"))
+    made = rows.select("halo_own", F.col("ref_std_21").alias("std"), std.alias("std2"), F.col(f"ref_trend_{C.TREND}").alias("trend"), trend.alias("trend2")).where("halo_own")
     return made.agg(*(x for a in ("std", "trend") for x in (F.count(F.col(a) + F.col(f"{a}2")).alias(f"n_{a}"), F.count_if(F.abs(F.col(a) - F.col(f"{a}2")) > tol).alias(f"bad_{a}"), F.count_if(F.col(a).isNull() & F.col(f"{a}2").isNotNull()).alias(f"null_{a}"))))

@@ -10,13 +10,24 @@ from pyspark.sql import functions as F
 
 from foldcast.functions import ContractError, require_none
 
+PARTITIONS, ROLES = ("train", "validation", "test"), ("development", "holdout")
 _SCHEMA = "fold string, partition string, start date, end date, role string"
 
 
 def registry(spark: SparkSession, rows: Iterable[tuple[str, str, str, str, str]]) -> DataFrame:
-    """A fold table of (fold, partition, start, end, role), checked: train before validation before test."""
+    """A fold table of (fold, partition, start, end, role), checked: each fold has each partition once, train before validation before
+    test without overlap, one known role, and the only holdout, if there is one, is tested last."""
     import datetime as dt
 
+    rows = [tuple(r) for r in rows]
+    named = [(f, p) for f, p, *_ in rows]
+    wrong = [r for r in rows if r[1] not in PARTITIONS or r[4] not in ROLES or not r[0]]
+    wrong += [r for r in rows if named.count((r[0], r[1])) > 1]
+    wrong += [r for r in rows if len({x[4] for x in rows if x[0] == r[0]}) > 1]
+    held = {r[0] for r in rows if r[4] == "holdout"}
+    tests = {r[0]: r[2] for r in rows if r[1] == "test"}
+    if wrong or len(held) > 1 or any(tests.get(h, "") < t for h in held for t in tests.values()):
+        raise ContractError(f"folds that break the rules: {wrong or sorted(held)}")
     df = spark.createDataFrame([(f, p, dt.date.fromisoformat(a), dt.date.fromisoformat(b), r) for f, p, a, b, r in rows], _SCHEMA)
     bad = df.groupBy("fold").pivot("partition", ["train", "validation", "test"]).agg(F.min("start").alias("s"), F.max("end").alias("e"))
     broken = bad.where("train_s > train_e OR validation_s > validation_e OR test_s > test_e OR train_e >= validation_s OR validation_e >= test_s OR train_s IS NULL OR validation_s IS NULL OR test_s IS NULL")

@@ -47,20 +47,45 @@ def missing_assets(panel: DataFrame, universe: DataFrame) -> DataFrame:
     return universe.join(panel, "asset", "left_anti")
 
 
+def _ordinals(sessions: DataFrame) -> DataFrame:
+    """Sessions with their numbers from 1: a row a day, so one small task."""
+    return sessions.select("date").distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")))
+
+
+def gap_runs(panel: DataFrame, sessions: DataFrame, assets: DataFrame) -> DataFrame:
+    """Q5: (asset, first, last, n): runs of consecutive sessions that an asset lacks, as session numbers.
+
+    An asset's own sessions are compared with their neighbours; its first and last with the calendar's ends. An asset without rows
+    lacks them all. Nothing is multiplied: a run is a row, however long.
+    """
+    numbered = _ordinals(sessions)
+    ends = numbered.agg(F.max("k").alias("most"))
+    have = panel.select("asset", "date").join(assets, "asset", "left_semi").distinct().join(F.broadcast(numbered), "date")
+    w = Window.partitionBy("asset").orderBy("k")
+    inner = have.select("asset", (F.coalesce(F.lag("k").over(w), F.lit(0)) + 1).alias("first"), (F.col("k") - 1).alias("last"))
+    seen = have.groupBy("asset").agg(F.max("k").alias("k"))
+    tail = assets.select("asset").distinct().join(seen, "asset", "left").crossJoin(F.broadcast(ends)).select("asset", (F.coalesce("k", F.lit(0)) + 1).alias("first"), F.coalesce("most", F.lit(0)).alias("last"))
+    return inner.unionByName(tail).where("first <= last").withColumn("n", (F.col("last") - F.col("first") + 1).cast("long"))
+
+
+def _unexpected(panel: DataFrame, sessions: DataFrame, assets: DataFrame) -> DataFrame:
+    return panel.select("asset", "date").join(assets, "asset", "left_semi").distinct().join(F.broadcast(sessions.select("date").distinct()), "date", "left_anti")
+
+
 def calendar_gaps(panel: DataFrame, sessions: DataFrame, assets: DataFrame) -> DataFrame:
-    """Q5: (asset, date, kind) of sessions an asset lacks and dates that are no session."""
-    have = panel.select("asset", "date").join(assets, "asset", "left_semi").distinct()
-    want = sessions.select("date").distinct().crossJoin(assets.select("asset").distinct())
-    lacking = want.join(have, ["asset", "date"], "left_anti").select("asset", "date", F.lit("missing").alias("kind"))
-    return lacking.unionByName(have.join(sessions, "date", "left_anti").select("asset", "date", F.lit("unexpected").alias("kind")))
+    """Q5: (asset, date, kind) of sessions an asset lacks and dates that are no session. Runs are written out here, and here alone."""
+    days = gap_runs(panel, sessions, assets).select("asset", F.explode(F.sequence("first", "last")).alias("k"))
+    lacking = days.join(F.broadcast(_ordinals(sessions)), "k").select("asset", "date", F.lit("missing").alias("kind"))
+    return lacking.unionByName(_unexpected(panel, sessions, assets).select("asset", "date", F.lit("unexpected").alias("kind")))
 
 
 def calendar_audit(panel: DataFrame, sessions: DataFrame, assets: DataFrame) -> DataFrame:
-    """Q5 and Q7: counts by asset, and whether the asset's calendar is clean."""
+    """Q5 and Q7: counts by asset, and whether the asset's calendar is clean. Runs are counted, not written out."""
     expected = sessions.select("date").distinct().agg(F.count("*").alias("expected"))
     seen = panel.join(assets, "asset", "left_semi").groupBy("asset").agg(F.countDistinct("date").alias("observed"))
-    gaps = calendar_gaps(panel, sessions, assets).groupBy("asset").agg(F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "unexpected").alias("unexpected"))
-    out = assets.select("asset").distinct().join(seen, "asset", "left").join(gaps, "asset", "left").crossJoin(F.broadcast(expected))
+    lacking = gap_runs(panel, sessions, assets).groupBy("asset").agg(F.sum("n").alias("missing"))
+    more = _unexpected(panel, sessions, assets).groupBy("asset").agg(F.count("*").alias("unexpected"))
+    out = assets.select("asset").distinct().join(seen, "asset", "left").join(lacking, "asset", "left").join(more, "asset", "left").crossJoin(F.broadcast(expected))
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = out.select("asset", "expected", n("observed"), n("missing"), n("unexpected"))
     return out.withColumn("is_clean", ((F.col("missing") == 0) & (F.col("unexpected") == 0)).cast("int"))

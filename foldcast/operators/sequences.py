@@ -9,20 +9,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foldcast import schema as C
-from foldcast.functions import require_none
+from foldcast.functions import halo, require_none
 
 
-def windows(sup: DataFrame, length: int, features: Sequence[str] = C.FEATURES) -> DataFrame:
-    """per origin the last ``length`` feature rows of its asset as float arrays; may reach before its fold.
+#: Origins of a block.
+BLOCK_ROWS = 2048
+
+
+def window_blocks(sup: DataFrame, length: int, features: Sequence[str] = C.FEATURES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """blocks of consecutive origins of an asset: (asset, origins, rows), with each row's features once.
 
-    ``usable`` is 1 where the window is full and all finite; unusable windows are null.
+    ``rows`` has the features of the block's sessions and of the ``length`` - 1 before them, in order; ``origins`` the block's own
+    sessions: key, target, place ``at`` in ``rows`` (from 0), and ``usable``, 1 where a whole window of finite features ends there. A
+    window is a slice of ``rows``, so length costs a halo a block and no copies.
     """
-    w = Window.partitionBy("asset").orderBy("origin_date").rowsBetween(1 - length, 0)
     row = F.array(*(F.col(c).cast("float") for c in features))
-    fine = F.forall(row, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).cast("int")
-    out = sup.select(*C.SAMPLE_KEY, "target_return", F.collect_list(row).over(w).alias("seq"), F.sum(fine).over(w).alias("n_fine"))
-    usable = (F.size("seq") == length) & (F.col("n_fine") == length)
-    return out.select(*C.SAMPLE_KEY, "target_return", usable.cast("int").alias("usable"), F.when(usable, F.col("seq")).alias("seq"))
+    kept = halo(sup.select(*C.SAMPLE_KEY, "target_return", row.alias("x")), ["asset"], "origin_date", block_rows, length - 1)
+    w = Window.partitionBy("asset", "halo_block").orderBy("origin_date")
+    fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).cast("int")
+    whole = F.coalesce(F.sum(fine).over(w.rowsBetween(1 - length, 0)) == length, F.lit(False)).cast("int")
+    marked = kept.select("*", (F.row_number().over(w) - 1).alias("at"), whole.alias("usable"))
+    own = F.when(F.col("halo_own"), F.struct("at", *C.SAMPLE_KEY, "target_return", "usable"))
+    made = marked.groupBy("asset", "halo_block").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("rows"), F.collect_list(own).alias("origins"))
+    return made.select("asset", "origins", F.col("rows.x").alias("rows"))
+
+
+def windows(sup: DataFrame, length: int, features: Sequence[str] = C.FEATURES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """per origin the last ``length`` feature rows of its asset as float arrays; may reach before its fold.
+
+    ``usable`` is 1 where the window is full and all finite; unusable windows are null. Windows are cut out of blocks.
+    """
+    blocks = window_blocks(sup, length, features, block_rows).select("rows", F.explode("origins").alias("o"))
+    seq = F.when(F.col("o.usable") == 1, F.slice("rows", F.greatest(F.col("o.at") - length + 2, F.lit(1)), length))
+    return blocks.select(*(F.col(f"o.{c}").alias(c) for c in (*C.SAMPLE_KEY, "target_return", "usable")), seq.alias("seq"))
 
 
 def endpoint_windows(sup: DataFrame, endpoints: DataFrame, length: int, features: Sequence[str] = C.FEATURES, strict: bool = False) -> DataFrame:
@@ -55,8 +74,8 @@ def fit_scaler(slices: DataFrame, features: Sequence[str] = C.FEATURES, usage: s
     """
     parts = "partition = 'train'" if usage == "selection" else "partition IN ('train', 'validation')"
     rows = slices.where(parts).select("fold", "asset", "origin_date", *features).dropDuplicates(["fold", "asset", "origin_date"])
-    long = rows.unpivot(["fold", "asset"], list(features), "feature", "x")
-    out = long.groupBy("fold", "asset", "feature").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.count("x").alias("n"))
+    wide = rows.groupBy("fold", "asset").agg(*(f(c).alias(f"{name}_{c}") for c in features for name, f in (("mean", F.avg), ("var", F.var_pop), ("n", F.count))))
+    out = wide.select("fold", "asset", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), *(F.col(f"{name}_{c}").alias(name) for name in ("mean", "var", "n"))) for c in features))))
     scale = F.sqrt("var")
     return out.select("fold", "asset", F.lit(usage).alias("usage"), "feature", "mean", "var", F.when((F.col("var") == 0) | (scale < 1e-300), F.lit(1.0)).otherwise(scale).alias("scale"), "n")
 

@@ -172,7 +172,9 @@ def _(t):
 
 @query("s4_read_until", "SELECT asset, target_date, target_return FROM targets WHERE target_date BETWEEN '1996-01-01' AND '1997-12-31'", "target_return")
 def _(t):
-    return sources.read_until(features.next_session_target(t.panel.where("asset <> 'MKT'")), "1996-01-01", "1997-12-31", ["asset", "target_date", "target_return"])
+    """Of a stored table by year: two years are opened."""
+    path = sources.store_by_year(features.next_session_target(t.panel.where("asset <> 'MKT'")), f"{artifacts.shared_root(t.spark)}/targets-{uuid.uuid4().hex}")
+    return sources.read_until(t.spark.read.parquet(path), "1996-01-01", "1997-12-31", ["asset", "target_date", "target_return"])
 
 
 @query("s1_read_panel", "SELECT * FROM panel", _PANEL)
@@ -297,6 +299,11 @@ def _(t):
     return quality.calendar_gaps(*_calendar(t))
 
 
+@query("q5_gap_runs", "SELECT asset, CAST(min(k) AS INT) AS first, CAST(max(k) AS INT) AS last, count(*) AS n FROM (SELECT asset, k, k - row_number() OVER (PARTITION BY asset ORDER BY k) AS run FROM (SELECT asset, date FROM (" + _GAPS + ") WHERE kind = 'missing') JOIN (SELECT date, row_number() OVER (ORDER BY date) AS k FROM panel WHERE asset = 'MKT') USING (date)) GROUP BY asset, run")
+def _(t):
+    return quality.gap_runs(*_calendar(t))
+
+
 @query("q7_calendar_audit", f"SELECT r.asset, (SELECT count(*) FROM panel WHERE asset = 'MKT') AS expected, count(DISTINCT r.date) AS observed, coalesce(any_value(m), 0) AS missing, coalesce(any_value(u), 0) AS unexpected, CASE WHEN coalesce(any_value(m), 0) = 0 AND coalesce(any_value(u), 0) = 0 THEN 1 ELSE 0 END AS is_clean FROM ragged r LEFT JOIN (SELECT asset, count(*) FILTER (kind = 'missing') AS m, count(*) FILTER (kind = 'unexpected') AS u FROM ({_GAPS}) GROUP BY asset) g ON r.asset = g.asset GROUP BY r.asset")
 def _(t):
     return quality.calendar_audit(*_calendar(t))
@@ -331,6 +338,12 @@ def _(t):
     return features.asset_features(t.panel.where("asset <> 'MKT'"))
 
 
+@query("f4_features_in_blocks", "SELECT * FROM own", " ".join(C.OWN_FEATURES), 6)
+def _(t):
+    """As f4, each asset in blocks of 256 rows with a halo."""
+    return features.asset_features(t.panel.where("asset <> 'MKT'"), block_rows=256)
+
+
 @query("f5_reference_features", "SELECT * FROM ref", " ".join(C.REF_FEATURES))
 def _(t):
     return t.ref
@@ -381,7 +394,9 @@ def _(t):
 
 @query("d4_eligible_slices", "SELECT fold, partition, role, asset, origin_date, target_date, target_return FROM slices", "target_return")
 def _(t):
-    return t.slices.select("fold", "partition", "role", *C.SAMPLE_KEY, "target_return")
+    """Every partition must have all assets of the panel."""
+    assets = t.panel.where("asset <> 'MKT'").select("asset").distinct()
+    return folds.eligible_slices(t.sup, t.folds, assets).select("fold", "partition", "role", *C.SAMPLE_KEY, "target_return")
 
 
 @query("d5_coverage", "SELECT fold, partition, asset, count(*) AS n_rows, min(target_date) AS first_date, max(target_date) AS last_date FROM slices GROUP BY ROLLUP (fold, partition, asset)")
@@ -392,7 +407,8 @@ def _(t):
 # forecasts
 @query("m3_baseline", "SELECT fold, partition, asset, origin_date, target_date, actual_return, predicted_return, actual_direction, predicted_direction FROM base", "actual_return predicted_return")
 def _(t):
-    return t.base.select("fold", "partition", *C.SAMPLE_KEY, "actual_return", "predicted_return", "actual_direction", "predicted_direction")
+    whole = forecast.baseline_forecasts(t.dev, t.eligible.select("asset").distinct())
+    return whole.select("fold", "partition", *C.SAMPLE_KEY, "actual_return", "predicted_return", "actual_direction", "predicted_direction")
 
 
 @query("m6_candidate_forecasts", "SELECT model, config, seed, fold, partition, asset, origin_date, target_date, actual_return, predicted_return, actual_direction, predicted_direction FROM val", "actual_return predicted_return")

@@ -13,7 +13,8 @@ from foldcast.functions import ContractError, require_none
 
 
 def read_panel(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """A panel with exactly the contract's columns in order; CSV dates must be ISO text."""
+    """A panel with exactly the contract's columns in order, and their types; CSV has text alone, whose dates must be ISO and whose numbers
+    must be numbers."""
     if form == "csv":
         raw = spark.read.option("header", True).csv(path)
         if tuple(raw.columns) != tuple(C.PANEL.names):
@@ -21,8 +22,8 @@ def read_panel(spark: SparkSession, path: str, form: str = "parquet") -> DataFra
         require_none(raw.where(~F.coalesce(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))).select("date"), "dates that aren't ISO text")
         return raw.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in C.PANEL))
     df = spark.read.format(form).load(path)
-    if tuple(df.columns) != tuple(C.PANEL.names):
-        raise ContractError(f"panel columns are {df.columns}")
+    if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in C.PANEL]:
+        raise ContractError(f"panel columns are {df.dtypes}")
     return df
 
 
@@ -54,9 +55,22 @@ def normalize_panel(df: DataFrame, tz: str | None = None) -> DataFrame:
     return out
 
 
+def store_by_year(df: DataFrame, path: str) -> str:
+    """A table laid out by the year of target_date, which :func:`read_until` prunes by."""
+    df.withColumn("target_year", F.year("target_date")).repartition("target_year").write.partitionBy("target_year").parquet(path)
+    return path
+
+
 def read_until(df: DataFrame, start: str, end: str, columns: Sequence[str]) -> DataFrame:
-    """A date firewall. Only rows with target_date in the closed range, and only named columns; pushed to the scan."""
-    return df.select(*columns).where(F.col("target_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """A date firewall. Only rows with target_date in the closed range, and only named columns.
+
+    The range is pushed to the scan; of a table that is laid out by year only the range's years are opened.
+    """
+    a, b = (F.lit(x).cast("date") for x in (start, end))
+    inside = F.col("target_date").between(a, b)
+    if "target_year" in df.columns:
+        inside = inside & F.col("target_year").between(int(start[:4]), int(end[:4]))
+    return df.where(inside).select(*columns)
 
 
 def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
