@@ -54,7 +54,18 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/staged-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of staged tables from which nothing will be read again."""
+    for t in tables:
+        path = t.__dict__.pop("staged_path", None) if t is not None else None
+        if path:
+            at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
@@ -68,9 +79,10 @@ def added(parts: DataFrame, kind: type, keys: Sequence[str] = ("key",), fan: int
     """Sums (keys, x) of vectors (keys, part long, x binary) that tasks have made, one of a key for each part.
 
     They are added in levels, ``fan`` at a time and in the order of their parts, so no task gets more than
-    ``fan`` vectors of a key however many tasks there are, and the sums don't depend on timing.
+    ``fan`` vectors of a key however many tasks there are, and the sums don't depend on timing. Whoever has read the sums may
+    :func:`discard` them.
     """
-    parts = staged(parts, "parts")
+    made = parts = staged(parts, "parts")
     most = parts.agg(F.max("part")).first()[0] or 0
 
     def add(t: pa.Table) -> pa.Table:
@@ -85,7 +97,9 @@ def added(parts: DataFrame, kind: type, keys: Sequence[str] = ("key",), fan: int
         parts = parts.withColumn("up", F.floor(F.col("part") / fan)).groupBy(*keys, "up").applyInArrow(add, parts.schema)
         most //= fan
         if not most:
-            return parts.drop("part")
+            out = parts.drop("part")
+            out.staged_path = made.staged_path
+            return out
 
 
 def any_of(columns: Sequence[Column]) -> Column:

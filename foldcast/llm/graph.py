@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldcast.llm.common import counted, staged
+from foldcast.llm.common import counted, discard, staged
 
 #: Gives a member's column by name.
 Side = Callable[[str], Column]
@@ -33,7 +33,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     for _ in range(rounds):
         if not n or _is_stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct().union(e.select("v", "v").distinct())
-        e, n = counted(_small_star(_large_star(e)).mapInArrow(_contract, "v long, u long"), "edges")
+        before = e
+        e, n = counted(_small_star(_large_star(before)).mapInArrow(_contract, "v long, u long"), "edges")
+        discard(before)
     raise RuntimeError("components did not converge")
 
 
@@ -107,12 +109,15 @@ def link_lists(lists: DataFrame, can_link: Callable[[Side, Side], Column], judge
         if labels is not None and not n:
             continue
         judged, linked = counted(judge(pairs), "judged", F.count_if("linked"))
+        discard(pairs)
         tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
         found = judged.where("linked").select("a", "b")
         if labels is None:
             labels = staged(components(found), "labels")
         elif linked:
-            labels = staged(merged(labels, found), "labels")
+            before = labels
+            labels = staged(merged(before, found), "labels")
+            discard(before)
     return labels
 
 

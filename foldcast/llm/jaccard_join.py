@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldcast.llm import graph, textkit
-from foldcast.llm.common import added, bounded, short_batches, staged, table
+from foldcast.llm.common import added, bounded, discard, short_batches, staged, table
 
 #: Columns of the odd hash buckets.
 ODD = ("p1", "p2", "p3", "p4")
@@ -83,18 +83,20 @@ def sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             for _, words, ends in textkit.word_hashes(batch.column(0)):
                 small[: LIGHT_MOST + 1] += np.bincount(np.clip(np.diff(ends) - size + 1, np.minimum(np.diff(ends), 1), LIGHT_MOST + 1), minlength=LIGHT_MOST + 2)[: LIGHT_MOST + 1].astype(np.uint32)
                 held.append((_document_shingles(words, ends, size)[0] >> top).astype(np.int32))
-                if sum(map(len, held)) > 1 << 21:
-                    total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+                if sum(map(len, held)) > 1 << 19:
+                    np.add.at(total, np.concatenate(held), np.uint32(1))
                     held = []
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32)
+            np.add.at(total, np.concatenate(held), np.uint32(1))
         for k, x in enumerate([*total.reshape(-1, BLOCK), small]):
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "part", "x"])
 
     blocks = (1 << SKETCH_BITS) // BLOCK
     parts = docs.select("text").mapInArrow(count, "block int, part long, x binary")
-    found = {r["block"]: np.frombuffer(r["x"], np.float32) for r in added(parts, np.float32, ("block",)).collect()}
+    sums = added(parts, np.float32, ("block",))
+    found = {r["block"]: np.frombuffer(r["x"], np.float32) for r in sums.collect()}
+    discard(sums)
     none = np.zeros(BLOCK, np.float32)
     weights = np.concatenate([np.minimum(np.log2(found.get(k, none) + 1) * 8, 255).astype(np.uint8) for k in range(blocks)])
     return weights, found.get(blocks, none)[: LIGHT_MOST + 1].astype(float)
@@ -202,8 +204,11 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     entries = chosen.select(F.col("doc_id").alias("id"), "n", *ODD, F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("i"))).alias("key", "i"))
     entries = entries.withColumn("indexed", (F.col("i") < 0) | (F.col("i") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / F.lit(100 + percent))))
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("x")).where("lo <> hi and x").select("key")
-    live = staged(entries.join(bounded(staged(shared, "keys")), "key", "left_semi"), "lists")
-    labels = graph.link_lists(live, lambda x, y: _can_link(x, y, percent), lambda pairs: _judge(pairs, docs, size, percent))
+    keys, spent = staged(shared, "keys"), []
+    live = staged(entries.join(bounded(keys), "key", "left_semi"), "lists")
+    discard(keys)
+    labels = graph.link_lists(live, lambda x, y: _can_link(x, y, percent), lambda pairs: _judge(pairs, docs, size, percent, spent))
+    discard(live, *spent)
     known = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(known, ["s1", "s2"], "left")
     return out.select("doc_id", "n_shingles", "s1", "s2", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -219,10 +224,16 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.join(bounded(ids), "doc_id", "left_semi").mapInArrow(make, "id long, shingles array<long>")
 
 
-def _judge(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Exact verification of candidate pairs: only their texts are read into sets again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(_sets_of(docs, staged(ids, "ids"), size), "sets")
+def _judge(pairs: DataFrame, docs: DataFrame, size: int, percent: int, spent: list[DataFrame]) -> DataFrame:
+    """Exact verification of candidate pairs: only their texts are read into sets again.
+
+    ``spent`` holds the sets of the last call, whose verdicts are written by now.
+    """
+    discard(*spent)
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = staged(_sets_of(docs, ids, size), "sets")
+    discard(ids)
+    spent[:] = [sets]
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.groupBy("a", "b").agg(F.max(common * (100 + percent) >= (F.size("x") + F.size("y")) * percent).alias("linked"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldcast.llm import graph, textkit
-from foldcast.llm.common import bounded, short_batches, staged, table
+from foldcast.llm.common import bounded, discard, short_batches, staged, table
 
 #: Largest edit distance, and the shortest line in code points that takes part.
 THRESHOLD, MIN_CHARS = 2, 20
@@ -160,7 +160,9 @@ def near_classes(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS
     made = staged(entries(docs, t, min_chars), "lines")
     flat = made.select("id", "n", *ODD, F.posexplode_outer("keys").alias("place", "key")).where("key <> 0").select("key", "id", "n", *ODD, (F.col("place") <= t).alias("indexed"))
     shared = flat.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("indexed").alias("x")).where("lo <> hi and x").select("key")
-    lists = staged(flat.join(bounded(staged(shared, "keys")), "key", "left_semi").distinct(), "lists")
+    keys = staged(shared, "keys")
+    lists = staged(flat.join(bounded(keys), "key", "left_semi").distinct(), "lists")
+    discard(made, keys)
     ids = staged(lists.select("id").distinct(), "ids")
     long = _lines(docs).where(F.char_length("line") >= min_chars)
     texts = staged(long.join(bounded(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct("id2", "line")).alias("x")).select("id", "x.id2", "x.line"), "texts")
@@ -179,6 +181,7 @@ def near_classes(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS
         return (F.abs(x("n") - y("n")) <= t) & (apart <= 4 * t)
 
     labels = graph.link_lists(lists, can_link, judge)
+    discard(lists, ids)
     return labels.withColumnRenamed("node", "id").join(texts.select("id", "id2"), "id")
 
 

@@ -24,7 +24,7 @@ _STEP_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACES = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: Bytes of text that are hashed together.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
