@@ -37,10 +37,21 @@ def shingles(w: str) -> Column:
     return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), run)).otherwise(F.array().cast("array<long>"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays as multisets."""
+def repeated(a: Column) -> Column:
+    """The values that an array holds more than once: equal neighbours of the sorted array."""
+    s = F.sort_array(a)
+    pairs = F.zip_with(F.slice(s, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.when(x == y, x))
+    return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
+
+
+def similarity(a: Column, b: Column, a_more: Column, b_more: Column) -> Column:
+    """Weighted Jaccard similarity of two arrays as multisets; ``a_more`` and ``b_more`` are their repeated values.
+
+    A common value counts once, by a hash set; only values that both sides repeat are counted out.
+    """
     count = lambda x, v: F.size(F.filter(x, lambda y: y == v))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)))
+    both = F.array_intersect(a_more, b_more)
+    common = F.size(F.array_intersect(a, b)) + F.aggregate(both, F.lit(0), lambda acc, v: acc + F.least(count(a, v), count(b, v)) - 1)
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -54,8 +65,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document only if their texts are equal. Empty tables give an empty result.
     """
     items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).withColumn("item_h", shingles("w"))
-    items = staged(items.where("size(item_h) > 0").select("item_id", F.xxhash64("item_h").alias("kind"), F.size("w").alias("n"), "item_h").dropDuplicates(["item_id", "kind"]), "items")
-    places = items.select("item_id", "kind", "n", F.posexplode("item_h").alias("off", "s"))
+    items = items.where("size(item_h) > 0").select("item_id", F.xxhash64("item_h").alias("kind"), F.size("w").alias("n"), "item_h").dropDuplicates(["item_id", "kind"])
+    items = staged(items.withColumn("item_more", repeated(F.col("item_h"))), "items")
+    # a shingle that an item repeats aligns by its first and its last place: windows that begin at it are all there besides
+    places = items.select("item_id", "kind", "n", F.posexplode("item_h").alias("off", "s")).groupBy("item_id", "kind", "n", "s").agg(F.min("off").alias("lo"), F.max("off").alias("hi"))
+    places = places.select("item_id", "kind", "n", "s", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("off"))
     rows = items.agg(F.coalesce(F.sum(F.size("item_h")), F.lit(0))).first()[0]
     small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
 
@@ -77,8 +91,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = hashed(plain.withColumn("t", F.xxhash64("text")).join(windows.select("doc_id", "t"), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"]))
     cut = found.join(windows, ["doc_id", "t"]).select("doc_id", "h", F.explode("windows").alias("x"))
     cut = cut.select("doc_id", "x.*", F.slice("h", F.col("x.start") + 1, F.col("x.n") - SHINGLE + 1).alias("h")).where("size(h) > 0")
-    met = cut.join(small(items.select("item_id", "kind", "item_h")), ["item_id", "kind"])
-    return met.select("doc_id", "item_id", "start", F.col("n").alias("words"), similarity(F.col("h"), F.col("item_h")).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
+    met = cut.join(small(items.select("item_id", "kind", "item_h", "item_more")), ["item_id", "kind"])
+    more = F.when(F.size("item_more") > 0, repeated(F.col("h"))).otherwise(F.array().cast("array<long>"))
+    met = met.withColumn("more", more)
+    return met.select("doc_id", "item_id", "start", F.col("n").alias("words"), similarity(F.col("h"), F.col("item_h"), F.col("more"), F.col("item_more")).alias("similarity")).where(F.col("similarity") >= SIMILARITY)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -248,6 +248,27 @@ def test_leaks_in_another_order_equal_all_windows(spark):
     assert {(x["doc_id"], x["item_id"]) for x in decontaminate.matches(d, b).collect()} == want
 
 
+def test_weighted_similarity_of_repeated_shingles(spark):
+    r = random.Random(3)
+    rows = [([r.randrange(6) for _ in range(r.randrange(1, 14))], [r.randrange(6) for _ in range(r.randrange(1, 14))]) for _ in range(200)] + [([1] * 40, [1] * 30), ([], [1]), ([1, 2], [3])]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = df.select("a", "b", decontaminate.similarity(F.col("a"), F.col("b"), decontaminate.repeated(F.col("a")), decontaminate.repeated(F.col("b"))).alias("s")).collect()
+    for a, b, s in got:
+        x, y = Counter(a), Counter(b)
+        assert s == (x & y).total() / (x | y).total()
+
+
+def test_a_long_item_of_one_word_is_quick(spark):
+    import time
+
+    items = spark.createDataFrame([(1, "spam " * 1500), (2, "a b c d e f g")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "spam " * 4000 + "x " * k) for k in range(4)] + [(9, "q " * 3000), (10, "z a b c d e f g z")], "doc_id long, text string")
+    decontaminate.matches(docs.limit(1), items).count()  # compiled
+    began = time.time()
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 1), (10, 2)} and time.time() - began < 40
+
+
 def test_crc(spark):
     from foldcast.llm.common import crc_mod
 

@@ -116,6 +116,37 @@ def test_language_equals_brute_force_in_parts(spark, monkeypatch):
     assert language_id.predict(spark.createDataFrame([], "text string"), langs, m).count() == 0
 
 
+def test_more_languages_than_a_block_holds(spark, monkeypatch):
+    rows = [(f"{c}{c}{d} {d}{c} {c}{d}", f"l{c}{d}") for c in "abcdefg" for d in "xyz"] * 3
+    df = spark.createDataFrame(rows, "text string, lang string")
+    asked = spark.createDataFrame([*rows[:21], (None, None), ("12 3", None)], "text string, true string").withColumn("score_sum", F.lit("clash"))
+    told = lambda: {r["text"]: (r["true"], r["lang_pred"], r["score"]) for r in language_id.predict_all(asked.withColumn("text", F.col("text")).select("true", "text", F.col("text").alias("t2"), "score_sum"), language_id.learn_all(df)).select("true", F.col("t2").alias("text"), "lang_pred", "score").collect()}
+    whole = told()
+    monkeypatch.setattr(language_id, "LANGUAGES", 4)
+    parts = told()
+    assert set(whole) == set(parts) and len(whole) == 23
+    for t, (true, pred, score) in whole.items():
+        assert parts[t][1] == pred and parts[t][2] == pytest.approx(score, abs=1e-9)
+        assert pred == (true or "und")
+
+
+def test_quality_weights_equal_a_fit_on_all_pairs():
+    rng = np.random.default_rng(2)
+    d = len(quality.FEATURES)
+    good, bad = rng.normal(0.3, 1, (60, d)), rng.normal(-0.3, 1.2, (50, d))
+    made = quality.fit(good, bad)
+    both = np.concatenate([good, bad])
+    z = lambda x: ((x - both.mean(0)) / both.std(0)).clip(-8, 8)
+    diff = (z(good)[:, None] - z(bad)[None]).reshape(-1, d)
+    w = np.zeros(d)
+    for _ in range(60):  # Newton's steps on all 3,000 pairs, the same penalty
+        p = 1 / (1 + np.exp(diff @ w))
+        w = w + np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + 1e-3 * np.eye(d), diff.T @ p / len(diff) - 1e-3 * w)
+    assert np.abs(made.weights - w).max() < 0.03 * np.abs(w).max()
+    assert np.corrcoef(both @ w, both @ made.weights)[0, 1] > 0.999
+    assert (made.scores(good) > made.scores(bad).mean()).mean() > 0.9
+
+
 def test_quality(spark, sf):
     out = quality.query(spark, sf)
     labels = table(spark, sf, "labels")
