@@ -46,11 +46,14 @@ def fold_ranks(table: DataFrame) -> DataFrame:
 
 
 def effort(audit: DataFrame, refits: DataFrame, skills: DataFrame, family: str = "model") -> DataFrame:
-    """Fits, refits, seeds and cells of positive skill by family."""
-    a = audit.groupBy(family).agg(F.count("*").alias("n_fits"), F.countDistinct("seed").alias("n_seeds"))
-    r = refits.groupBy(family).agg(F.count("*").alias("n_refits"))
+    """Fits, refits, seeds and cells of positive skill by family, and the seconds of fits and refits where both tables tell them."""
+    timed = "runtime" in audit.columns and "runtime" in refits.columns
+    seconds = lambda name: [F.sum("runtime").alias(name)] if timed else []
+    a = audit.groupBy(family).agg(F.count("*").alias("n_fits"), F.countDistinct("seed").alias("n_seeds"), *seconds("fit_seconds"))
+    r = refits.groupBy(family).agg(F.count("*").alias("n_refits"), *seconds("refit_seconds"))
     s = skills.groupBy(family).agg(F.count_if(F.col("skill") > 0).alias("n_positive_skill"))
-    return a.join(r, family, "left").join(s, family, "left")
+    out = a.join(r, family, "left").join(s, family, "left")
+    return out.withColumn("seconds", F.col("fit_seconds") + F.coalesce("refit_seconds", F.lit(0.0))).drop("fit_seconds", "refit_seconds") if timed else out
 
 
 def verify_tables(stored: Mapping[str, DataFrame], made: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -523,6 +523,13 @@ def _(t):
     return t.matched.select("model", "seed", "fold", "asset", "origin_date", "predicted_return", "baseline_return", "baseline_direction")
 
 
+@query("g3_matched_checked", "SELECT model, seed, fold, asset, origin_date, baseline_return, baseline_direction FROM matched", "baseline_return")
+def _(t):
+    """As g3, with an error for a baseline key that repeats or is missing."""
+    whole = metrics.match_baseline(t.family["forecasts"], t.dev_base, check=True)
+    return whole.select("model", "seed", "fold", "asset", "origin_date", "baseline_return", "baseline_direction")
+
+
 @query("g4_error_metrics", "SELECT fold, asset, count(*) AS n, avg(abs(predicted_return - actual_return)) AS mae, sqrt(avg((predicted_return - actual_return) ** 2)) AS rmse, avg(CAST(predicted_direction = actual_direction AS INT)) AS da FROM base GROUP BY fold, asset", _ERR)
 def _(t):
     return metrics.error_metrics(t.base)
@@ -569,6 +576,18 @@ def _(t):
     return metrics.all_metrics(t.matched, len(ASSETS), SEEDS)["seed_macro"]
 
 
+@query("g10_levels", "SELECT 'cells' AS level, count(*) AS n, sum(skill) AS skill FROM cells UNION ALL SELECT 'macro', count(*), sum(skill) FROM macro UNION ALL SELECT 'seed_cells', count(*), sum(skill_mean) FROM seed_cells UNION ALL SELECT 'seed_macro', count(DISTINCT fold), sum(skill) / 2 FROM macro WHERE seed IS NOT NULL UNION ALL SELECT 'development', 5 * count(*), sum(skill) FROM (SELECT quantile_cont(skill, 0.5) AS skill FROM cells WHERE seed IS NULL GROUP BY asset)", "skill", 8)
+def _(t):
+    """Rows of all five tables, and the sum of the skill that each tells."""
+    done = metrics.all_metrics(t.matched, len(ASSETS), SEEDS)
+    value = {"cells": F.col("skill"), "macro": F.col("skill"), "seed_cells": F.col("skill_mean"), "seed_macro": F.col("skill_mean"), "development": F.when(F.col("metric") == "skill", F.col("median"))}
+    parts = [done[k].agg(F.count("*").alias("n"), F.sum(v).alias("skill")).select(F.lit(k).alias("level"), "n", "skill") for k, v in value.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("skill", F.round("skill", 8))
+
+
 # regimes
 @query("r1_volatility_inputs", "SELECT origin_date, target_date, trend, vol, abs_ret, vol_lag, jump FROM inputs", "trend vol abs_ret vol_lag jump")
 def _(t):
@@ -750,9 +769,18 @@ def _(t):
     return reports.fold_ranks(t.macro.select("model", "seed", "fold", "mae", "da"))
 
 
-@query("c7_effort", "SELECT model, count(*) AS n_fits, count(DISTINCT seed) AS n_seeds, any_value(n_refits) AS n_refits, any_value(n_positive_skill) AS n_positive_skill FROM audit JOIN (SELECT model, count(*) AS n_refits, count(*) FILTER (skill > 0) AS n_positive_skill FROM cells GROUP BY model) USING (model) GROUP BY model")
+@query("c7_effort", "SELECT model, count(*) AS n_fits, count(DISTINCT seed) AS n_seeds, any_value(n_refits) AS n_refits, any_value(n_positive_skill) AS n_positive_skill FROM audit JOIN (SELECT model, count(*) AS n_refits FROM (SELECT CASE WHEN seed IS NULL THEN 'plain' ELSE 'seeded' END AS model, * FROM refits) JOIN won USING (model, fold, config) GROUP BY model) USING (model) JOIN (SELECT model, count(*) FILTER (skill > 0) AS n_positive_skill FROM cells GROUP BY model) USING (model) GROUP BY model")
+def _(t):
+    return reports.effort(t.family["audit"], t.family["refits"], t.cells)
+
+
+@query("c7_tree_effort", "SELECT 'tree' AS model, 4 * count(*) AS n_fits, 0::BIGINT AS n_seeds, count(*) AS n_refits, 1 AS timed FROM (SELECT DISTINCT fold, asset FROM dev)")
 def _(t):
-    return reports.effort(t.family["audit"], t.cells, t.cells)
+    done = train.tree_family(t.dev)
+    named = lambda d: d.withColumn("model", F.lit("tree"))
+    skills = metrics.skill_metrics(metrics.match_baseline(done["forecasts"], t.dev_base))
+    told = reports.effort(named(done["audit"]), named(done["refits"]), skills)
+    return told.select("model", "n_fits", "n_seeds", "n_refits", (F.col("seconds") > 0).cast("int").alias("timed"))
 
 
 @query("c8_table_diff", "SELECT unnest(['key', 'partition', 'actual_return', 'predicted_return', 'actual_direction', 'predicted_direction']) AS \"column\", unnest([0, 0, n, 0, 0, 0]) AS n_mismatch FROM (SELECT count(*) FILTER (day(target_date) = 5 AND actual_return <> 0) AS n FROM base)")
