@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["flagship", "s10_drift", "q5_calendar_gaps", "f9_supervised_checked", "f10_eligibility_stats", "f14_patches", "g7_macro", "r2_thresholds", "x6_contrasts", "x10_failure_patterns", "c9_verify_tables", "s7_fingerprint", "s10_tree", "m13_replay_trees"]
+SAMPLE = ["flagship", "s10_drift", "q5_calendar_gaps", "f9_supervised_checked", "f10_eligibility_stats", "f14_patches", "g7_macro", "r2_thresholds", "x6_contrasts", "x10_failure_patterns", "c9_verify_tables", "s7_fingerprint", "s10_tree"]
 
 
 def norm(rows, columns):
