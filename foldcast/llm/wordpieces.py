@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Words and pieces that a worker remembers. It forgets all when full.
-HELD = 250_000
+HELD = 800_000
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)?([!#$%&*+,./:;=?@|~-]+)?")
 #: Bytes of UTF-8 as the characters by which byte-level vocabularies know them.
 _BYTES = {b: 256 + 33 + b - 0x7F for b in range(0x7F, 0xA1)} | {0xAD: 256 + 67}
