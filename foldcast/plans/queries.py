@@ -199,11 +199,10 @@ def _(t):
 @query("s10_drift", "SELECT asset || '/' || 'part' AS path, CASE asset WHEN 'A' THEN 'changed' WHEN 'N' THEN 'missing' ELSE 'extra' END AS kind FROM (SELECT DISTINCT asset FROM panel WHERE asset <> 'MKT')")
 def _(t):
     """A folder by asset, with files of one name in each: A's content changes, N's file goes, R's comes."""
-    root, panel = artifacts.shared_root(t.spark), t.panel.where("asset <> 'MKT'")
+    root, panel = artifacts.shared_root(t.spark), artifacts.stored(t.panel.where("asset <> 'MKT'"), "panel")
 
     def files(rows: DataFrame, name: str) -> DataFrame:
-        place = f"{root}/{name}-{uuid.uuid4().hex}"
-        rows.repartition("asset").sortWithinPartitions("asset", "date").withColumn("folder", F.col("asset")).write.partitionBy("folder").parquet(place)
+        place = artifacts.write_rows(rows, f"{root}/{name}-{uuid.uuid4().hex}", "asset", "date")
         found = artifacts.inventory(t.spark, place, "part-*")
         return found.withColumn("path", F.regexp_replace("path", "^folder=(.*)/part-.*$", "$1/part"))
 
@@ -215,11 +214,10 @@ def _(t):
 @query("s10_tree", "SELECT 'folder=' || asset AS folder, 1::BIGINT AS n_files, CASE WHEN asset = 'A' THEN 0 ELSE 1 END AS same FROM (SELECT DISTINCT asset FROM panel WHERE asset <> 'MKT') UNION ALL SELECT '', count(DISTINCT asset), 0 FROM panel WHERE asset <> 'MKT'")
 def _(t):
     """The digest tree of a folder by asset against that of the same with one asset changed: its node and the root differ."""
-    root, panel = artifacts.shared_root(t.spark), t.panel.where("asset <> 'MKT'")
+    root, panel = artifacts.shared_root(t.spark), artifacts.stored(t.panel.where("asset <> 'MKT'"), "panel")
 
     def node(rows: DataFrame) -> DataFrame:
-        place = f"{root}/tree-{uuid.uuid4().hex}"
-        rows.repartition("asset").sortWithinPartitions("asset", "date").withColumn("folder", F.col("asset")).write.partitionBy("folder").parquet(place)
+        place = artifacts.write_rows(rows, f"{root}/tree-{uuid.uuid4().hex}", "asset", "date")
         # Spark names files at random: only their folders are told here
         found = artifacts.inventory(t.spark, place, "part-*").withColumn("path", F.regexp_replace("path", "/part-.*$", "/part"))
         return artifacts.tree(found)

@@ -131,6 +131,15 @@ def inventory(spark, root: str, glob: str = "*") -> DataFrame:
     return files.select(F.expr("path").substr(at, F.lit(1 << 20)).alias("path"), "length", F.sha2("content", 256).alias("digest"))
 
 
+def write_rows(df: DataFrame, path: str, key: str, order: str) -> str:
+    """A folder by ``key`` with one file of JSON lines in each, whose bytes follow from its rows alone if (key, order) is unique.
+
+    A Parquet file's don't: its footer lists encodings in an order that differs between JVMs.
+    """
+    df.repartition(key).sortWithinPartitions(key, order).withColumn("folder", F.col(key)).write.option("compression", "none").partitionBy("folder").json(path)
+    return path
+
+
 def tree(found: DataFrame) -> DataFrame:
     """(folder, n_files, n_bytes, sum_a, sum_b) of an inventory: a node for each folder with all that lies below it; the root is ''.
 

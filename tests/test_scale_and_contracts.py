@@ -1,6 +1,7 @@
 """Rules that tables must keep, and plans that must hold at scale."""
 
 import datetime as dt
+import hashlib
 import math
 import os
 import re
@@ -80,6 +81,14 @@ def test_two_writers_leave_one_whole_table(spark, tmp_path):
     assert not [x for x in os.listdir(places[0]) if x.startswith(".aside")]
 
 
+def test_written_rows_fix_a_files_bytes(spark, tmp_path):
+    rows = [("A", 2, 0.5), ("B", 1, 1.0), ("A", 1, 2.25)]
+    place = artifacts.write_rows(spark.createDataFrame(rows, "asset string, day int, x double").repartition(3), str(tmp_path / "rows"), "asset", "day")
+    got = {re.sub("/part-.*", "", r["path"]): r["digest"] for r in artifacts.inventory(spark, place, "part-*").collect()}
+    told = lambda a: "".join(f'{{"asset":"{k}","day":{d},"x":{x}}}\n' for k, d, x in sorted(rows) if k == a)
+    assert got == {f"folder={a}": hashlib.sha256(told(a).encode()).hexdigest() for a in "AB"}
+
+
 def test_inventory_goes_by_relative_path(spark, tmp_path, monkeypatch):
     for name, text in (("a/x.txt", "one"), ("b/x.txt", "two"), ("b/c/x.txt", "two")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
