@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foldcast import schema as C
 from foldcast.functions import ContractError, require_none
+from foldcast.sources.artifacts import stored
 
 
 def read_panel(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
@@ -81,15 +82,35 @@ def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+#: Rows of a table of days and flags that may be broadcast.
+BROADCAST_DAYS = 500_000
+
+
 def panel_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """A daily panel from order lines: return flags are assets, all lines together the reference.
 
-    Within a day lines are ordered by their whole key and price. One shuffle with partial aggregation.
+    Within a day lines are ordered by their whole key and price. A first scan finds each day's range of order keys beside plain
+    sums, so it holds numbers alone; a second keeps the lines of those two orders, which the whole key then orders. A task's
+    memory goes with days and flags, not with lines. A null order key comes first.
     """
-    day = F.col("l_shipdate").cast("date")
-    k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = lineitem.select(day.alias("date"), F.explode(F.array("l_returnflag", F.lit(C.REFERENCE))).alias("asset"), k.alias("k"), F.col("l_extendedprice").cast("double").alias("p"), F.col("l_quantity").cast("double").alias("q")).where(F.weekday("date") < 5)
-    return rows.groupBy("date", "asset").agg(F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.sum("q").alias("volume"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = lineitem.select(F.col("l_shipdate").cast("date").alias("date"), F.col("l_returnflag").alias("flag"), *key, F.col("l_extendedprice").cast("double").alias("p"), F.col("l_quantity").cast("double").alias("q")).where(F.weekday("date") < 5)
+    first = F.when(F.count("l_orderkey") == F.count("*"), F.min("l_orderkey"))
+    days = stored(lines.groupBy("date", "flag").agg(first.alias("first"), F.max("l_orderkey").alias("last"), F.max("p").alias("high"), F.min("p").alias("low"), F.sum("q").alias("volume")), "days")
+    found = days.select(F.col("date").alias("own_date"), F.col("flag").alias("own_flag"), "first", "last")
+    found = F.broadcast(found) if days.count() <= BROADCAST_DAYS else found.hint("shuffle_hash")
+    same = (F.col("date") == F.col("own_date")) & F.col("flag").eqNullSafe(F.col("own_flag"))
+    ends = lines.join(found, same & (F.col("l_orderkey").eqNullSafe(F.col("first")) | F.col("l_orderkey").eqNullSafe(F.col("last"))))
+
+    def by_asset(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("asset", F.explode(F.array("flag", F.lit(C.REFERENCE)))).groupBy("date", "asset")
+
+    k = F.struct(*key)
+    ordered = by_asset(ends.withColumn("k", k)).agg(F.min_by("p", "k").alias("open"), F.max_by("p", "k").alias("close"))
+    sums = by_asset(days).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
+    other = ordered.select(F.col("date").alias("own_date"), F.col("asset").alias("own_asset"), "open", "close")
+    joined = sums.join(other, (F.col("date") == F.col("own_date")) & F.col("asset").eqNullSafe(F.col("own_asset")))
+    return joined.select("date", "asset", "open", "high", "low", "close", "volume")
 
 
 def panel_from_orders(orders: DataFrame, customer: DataFrame) -> DataFrame:

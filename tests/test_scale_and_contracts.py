@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import math
 import os
+import random
 import re
 import threading
 
@@ -81,6 +82,25 @@ def test_two_writers_leave_one_whole_table(spark, tmp_path):
     assert not [x for x in os.listdir(places[0]) if x.startswith(".aside")]
 
 
+@pytest.mark.parametrize("most", [panel.BROADCAST_DAYS, 0])
+def test_panel_orders_lines_by_their_whole_key_without_sorting_them(spark, monkeypatch, most):
+    monkeypatch.setattr(panel, "BROADCAST_DAYS", most)
+    r = random.Random(4)
+    pick = lambda n, none: None if r.random() < none else r.randrange(n)
+    rows = [(dt.datetime(2020, 1, 1 + r.randrange(9), r.randrange(24)), r.choice(["A", "N", None]), pick(6, 0.05), pick(3, 0), pick(3, 0.1), pick(3, 0), float(r.randrange(1000)), 1.0) for _ in range(2000)]
+    lines = spark.createDataFrame(rows, "l_shipdate timestamp, l_returnflag string, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double")
+    df = panel.panel_from_lineitem(lines)
+    want = {}
+    for t, flag, *k, q in rows:
+        if t.weekday() < 5:
+            for a in (flag, C.REFERENCE):
+                want.setdefault((t.date(), a), []).append((tuple((x is not None, x or 0) for x in k), k[-1], q))
+    got = {(r["date"], r["asset"]): tuple(r)[2:] for r in df.collect()}
+    assert got == {d: (min(x)[1], max(p for _, p, _ in x), min(p for _, p, _ in x), max(x)[1], sum(q for *_, q in x)) for d, x in want.items()}
+    scans = plan_of(df).split("SortAggregate")[-1] if "SortAggregate" in plan_of(df) else ""
+    assert "Join" in scans  # what is sorted are lines of each day's first and last order
+
+
 def test_written_rows_fix_a_files_bytes(spark, tmp_path):
     rows = [("A", 2, 0.5), ("B", 1, 1.0), ("A", 1, 2.25)]
     place = artifacts.write_rows(spark.createDataFrame(rows, "asset string, day int, x double").repartition(3), str(tmp_path / "rows"), "asset", "day")
