@@ -5,28 +5,29 @@ likelihood that, of a good and a bad labelled document, the good one ranks highe
 (logistic loss on the difference of their features). A quantile of the utilities of labelled
 documents becomes the cut; scores are scaled so that the cut is at 0.7.
 
-Labels of at most ``MAX_LABELLED`` rows of each class are used for fitting, chosen by hash, and of
-their pairs ``PAIRS`` drawn with a fixed seed: with two classes of n rows there are n * n pairs, whose
-features differ by no more than n + n rows tell, so more pairs change the weights by less than the
-labels' own noise.
+All labelled rows and all their pairs count: with two classes of n and m rows there are n * m pairs, but
+what a pair weighs depends on its difference in utility alone. So each Newton step sums rows, their features
+and products of features by class and bin of utility, in Spark, and the bins' pairs stand for the rows' pairs, with
+what rows differ by inside a bin to first order. What is collected has a fixed size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldcast.llm import textkit
-from foldcast.llm.common import crc_mod, short_batches, staged, table
+from foldcast.llm.common import added, crc_mod, discard, short_batches, staged, table
 
-#: Rows of each class that fitting may use, and pairs that are drawn from them.
-MAX_LABELLED, PAIRS = 20_000, 200_000
+#: Bins of utility in a Newton step, and bins in which the cut's quantiles are counted; steps at most, and the change that ends them.
+BINS, CUT_BINS, STEPS, CLOSE = 512, 1 << 16, 40, 1e-4
 #: The score at the cut.
 CUT_SCORE = 0.7
 #: The share of good documents that may fall below the cut where the classes overlap.
@@ -103,50 +104,140 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(self.slope * (z - self.cut), -40, 40) - np.log(CUT_SCORE / (1 - CUT_SCORE))))
 
 
-def fit(good: np.ndarray, bad: np.ndarray, l2: float = 1e-3, seed: int = 7) -> Ranking:
-    """Fit on feature rows of good and bad documents.
+def _at(u: np.ndarray, reach: float, bins: int) -> np.ndarray:
+    """The bin of utilities between -reach and reach."""
+    return np.clip(((u + reach) * (bins / (2 * reach))).astype(np.int64), 0, bins - 1)
 
-    Without rows of either class nothing can be ranked: all documents get the cut's score.
-    """
+
+def _products(x: np.ndarray) -> np.ndarray:
+    """Of each row 1, its features, and their products."""
+    return np.hstack([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)])
+
+
+def _summed(at: np.ndarray, x: np.ndarray, bins: int) -> np.ndarray:
+    """Sums of rows of ``x`` by bin."""
+    order = np.argsort(at, kind="stable")
+    found, first = np.unique(at[order], return_index=True)
+    out = np.zeros((bins, x.shape[1]))
+    if len(found):
+        out[found] = np.add.reduceat(x[order], first)
+    return out
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return ((x - mean) / scale).clip(-8, 8)
+
+
+def _reach(w: np.ndarray) -> float:
+    """No utility is beyond this."""
+    return 8 * float(np.abs(w).sum()) + 1e-9
+
+
+def _binned(z: np.ndarray, q: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Standardised rows of classes ``q`` (0, 1), as sums by class and bin of utility; bins are narrow in the middle."""
+    share = 0.5 + np.arctan(z @ w / (2 * np.linalg.norm(w) + 1e-9)) / np.pi
+    return _summed(q * BINS + np.clip((share * BINS).astype(np.int64), 0, BINS - 1), _products(z), 2 * BINS)
+
+
+def _newton(sums: np.ndarray, w: np.ndarray, l2: float) -> np.ndarray:
+    """A Newton step on all pairs of :func:`_binned` rows."""
+    d = len(w)
+    b, g = (x for x in sums.reshape(2, BINS, -1))
+    (nb, xb, qb), (ng, xg, qg) = ((s[:, 0], s[:, 1 : d + 1], s[:, d + 1 :]) for s in (b, g))
+    ub, ug = (x @ w / np.maximum(n, 1) for n, x in ((nb, xb), (ng, xg)))
+    pairs = ng.sum() * nb.sum()
+    p = 1 / (1 + np.exp(np.clip(ug[:, None] - ub[None], -40, 40)))
+    v = p * (1 - p)
+    within = lambda x, q, u: q.reshape(-1, d, d) @ w - u[:, None] * x
+    grad = xg.T @ (p @ nb) - xb.T @ (p.T @ ng) - within(xg, qg, ug).T @ (v @ nb) - within(xb, qb, ub).T @ (v.T @ ng)
+    grad = grad / pairs - l2 * w
+    cross = xg.T @ v @ xb
+    hess = (((v @ nb) @ qg + (v.T @ ng) @ qb).reshape(d, d) - cross - cross.T) / pairs + l2 * np.eye(d)
+    return np.linalg.solve(hess, grad)
+
+
+def _quantile(counts: np.ndarray, share: float, reach: float) -> float:
+    """The middle of the bin that holds a quantile of all counted utilities."""
+    k = int(np.searchsorted(np.cumsum(counts), share * max(counts.sum() - 1, 0), side="right"))
+    return (min(k, len(counts) - 1) + 0.5) * 2 * reach / len(counts) - reach
+
+
+def _fitted(moments: np.ndarray, step: Callable[..., np.ndarray], tally: Callable[..., np.ndarray], l2: float) -> Ranking:
+    """Fit on rows told by sums: moments (by class rows, features, squares), :func:`_binned` rows for weights, counts of utilities."""
     d = len(FEATURES)
-    if not len(good) or not len(bad):
+    if not moments[0, 0] or not moments[1, 0]:
         return Ranking(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 1.0)
-    both = np.concatenate([good, bad])
-    mean, scale = both.mean(0), both.std(0)
-    scale = np.where(scale > 1e-9, scale, 1)
-    g, b = (((x - mean) / scale).clip(-8, 8) for x in (good, bad))
-    rng = np.random.default_rng(seed)
-    diff = g[rng.integers(len(g), size=PAIRS)] - b[rng.integers(len(b), size=PAIRS)]
+    n, total, squares = moments[:, 0].sum(), moments[:, 1 : d + 1].sum(0), moments[:, d + 1 :].sum(0)
+    mean = total / n
+    scale = np.sqrt(np.maximum(squares / n - mean**2, 0))
+    scale = np.where(scale > 1e-6, scale, 1)
     w = np.zeros(d)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -40, 40)))
-        grad = diff.T @ p / PAIRS - l2 * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / PAIRS + l2 * np.eye(d)
-        step = np.linalg.solve(hess, grad)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
+    for _ in range(STEPS):
+        by = _newton(step(mean, scale, w), w, l2)
+        w = w + by
+        if np.abs(by).max() < CLOSE * max(np.abs(w).max(), 1):
             break
-    ug, ub = g @ w, b @ w
-    low, high = np.quantile(ug, GOOD_BELOW), np.quantile(ub, 1 - GOOD_BELOW)
+    bad, good = tally(mean, scale, w)
+    reach = _reach(w)
+    low, high = _quantile(good, GOOD_BELOW, reach), _quantile(bad, 1 - GOOD_BELOW, reach)
     cut = (low + high) / 2 if high < low else low
-    return Ranking(mean, scale, w, float(cut), float(4 / max(np.median(ug) - cut, 1e-6)))
+    return Ranking(mean, scale, w, float(cut), float(4 / max(_quantile(good, 0.5, reach) - cut, 1e-6)))
+
+
+def _moments(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return _summed(q, np.hstack([np.ones((len(x), 1)), x, x**2]), 2)
+
+
+def _tally(x: np.ndarray, q: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Counts of rows by class and fine bin of utility."""
+    at = q * CUT_BINS + _at(_standard(x, mean, scale) @ w, _reach(w), CUT_BINS)
+    return np.bincount(at, minlength=2 * CUT_BINS).reshape(2, -1)
 
 
-def learn(featured: DataFrame, labels: DataFrame) -> Ranking:
-    """Fit on rows of ``featured`` (doc_id, features) that ``labels`` (doc_id, quality) marks 0 or 1.
+def fit(good: np.ndarray, bad: np.ndarray, l2: float = 1e-3) -> Ranking:
+    """Fit on feature rows of good and bad documents, all held here; :func:`learn` fits a table.
+
+    Without rows of either class nothing can be ranked: all documents get the cut's score.
+    """
+    x, q = np.concatenate([bad, good]), np.repeat([0, 1], [len(bad), len(good)])
+    return _fitted(_moments(x, q), lambda mean, scale, w: _binned(_standard(x, mean, scale), q, w), lambda *told: _tally(x, q, *told), l2)
+
+
+def learn(featured: DataFrame, labels: DataFrame, l2: float = 1e-3) -> Ranking:
+    """Fit on all rows of ``featured`` (doc_id, features) that ``labels`` (doc_id, quality) marks 0 or 1.
 
     Labels without a document, null labels and other values are ignored; rows that repeat count once a
     distinct (id, label). Without labels of both classes all documents get the cut's score.
-    Where a class has more than ``MAX_LABELLED`` rows, that many in the order of a hash of
-    the id are used.
     """
-    marked = featured.join(labels.where("quality in (0, 1)").select("doc_id", "quality").distinct(), "doc_id")
-
-    def rows(q: int) -> np.ndarray:
-        chosen = marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(MAX_LABELLED)
-        return np.array([r[0] for r in chosen.select("features").collect()], float).reshape(-1, len(FEATURES))
+    marks = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    marked = staged(featured.join(marks, "doc_id").select("features", "quality"), "marked")
+
+    def sums(make: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+        """Sums of what ``make`` makes of batches of (features, class): one array a task, added in levels."""
+
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if len(batch):
+                    own = make(batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)), batch.column("quality").to_numpy().astype(np.int64)).astype(float)
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["key", "part", "x"])
+
+        parts = added(marked.mapInArrow(tell, "key int, part long, x binary"), np.float64)
+        rows = parts.collect()
+        discard(parts)
+        return np.frombuffer(rows[0]["x"]).reshape(shape) if rows else np.zeros(shape)
 
-    return fit(rows(1), rows(0))
+    d = len(FEATURES)
+    made = _fitted(
+        sums(_moments, (2, 1 + 2 * d)),
+        lambda mean, scale, w: sums(lambda x, q: _binned(_standard(x, mean, scale), q, w), (2 * BINS, 1 + d + d * d)),
+        lambda mean, scale, w: sums(lambda x, q: _tally(x, q, mean, scale, w), (2, CUT_BINS)),
+        l2,
+    )
+    discard(marked)
+    return made
 
 
 def score(featured: DataFrame, ranking: Ranking) -> DataFrame:

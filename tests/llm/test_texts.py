@@ -147,6 +147,23 @@ def test_quality_weights_equal_a_fit_on_all_pairs():
     assert (made.scores(good) > made.scores(bad).mean()).mean() > 0.9
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0.3, 1, (30_000, len(quality.FEATURES))), rng.normal(-0.3, 1.2, (400, len(quality.FEATURES)))])
+    q = np.repeat([1, 0], [30_000, 400])
+    at = pa.table({"doc_id": np.arange(len(x)), "features": list(x)})
+    rows, labels = spark.createDataFrame(at).repartition(3), spark.createDataFrame(pa.table({"doc_id": np.arange(len(x)), "quality": q}))
+    made, want = quality.learn(rows, labels), quality.fit(x[q == 1], x[q == 0])
+    assert np.allclose(made.mean, x.mean(0)) and np.allclose(made.scale, x.std(0))
+    assert np.allclose(made.weights, want.weights, atol=1e-6) and made.cut == pytest.approx(want.cut, abs=1e-6)
+    z = ((x - x.mean(0)) / x.std(0)).clip(-8, 8)
+    u = z[q == 1] @ made.weights
+    assert made.cut == pytest.approx(np.quantile(u, quality.GOOD_BELOW), abs=5e-3)
+    g, b, w = z[q == 1], z[q == 0], made.weights
+    p = 1 / (1 + np.exp((g @ w)[:, None] - (b @ w)[None]))  # at the weights the gradient over all 12 million pairs is nothing
+    assert np.abs((g.T @ p.sum(1) - b.T @ p.sum(0)) / p.size - 1e-3 * w).max() < 1e-4
+
+
 def test_quality(spark, sf):
     out = quality.query(spark, sf)
     labels = table(spark, sf, "labels")
