@@ -238,6 +238,17 @@ def test_word_ids_equal_the_tokenizer(sf, spark):
         assert known[w] == np.array(p.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), w
 
 
+def test_word_ids_are_remembered_once(monkeypatch):
+    p = WordPieces(packing.vocabulary())
+    want = lambda w: np.array(p.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    p.learn({"Zebra,", "\xc9tude!"})
+    assert p.known == {"": b""} | {w: want(w) for w in ("Zebra,", "zebra", ",", "\xc9tude!", "\xe9tude", "!")}
+    monkeypatch.setattr("foldcast.llm.wordpieces.HELD", 50)
+    for k in range(20):
+        words = {f"{a}{'abcdefghij'[k % 10]}q" for a in "abcdefg"} | {"Zebra,"}
+        assert all(p.learn(words)[w] == want(w) for w in words) and len(p.known) <= 50 + 3
+
+
 def test_top_k(spark):
     r = np.random.default_rng(0)
     v = r.normal(0, 0.2, (300, 24))
