@@ -435,6 +435,37 @@ def test_lm_runs_cover_each_token_once_with_its_context(monkeypatch):
     assert 0.04 < len(list(lm_score.runs_of(long, 7, lm_score.SHARE))) / len(list(lm_score.runs_of(long, 7))) < 0.09
 
 
+def test_lm_learns_from_all_tokens(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    end = 50_256
+    ids = [np.append(r.integers(0, 40, n), end).astype("<u2") for n in (0, 1, 15, 16, 17, 90, 300, *r.integers(1, 60, 60))]
+    df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in ids], "ids binary")
+    v = attention_lm.Vocabulary.of(lm_score.token_counts(df, end + 1))
+    want = np.zeros((attention_lm.KNOWN + 1, attention_lm.CLASSES), int)
+    for x in ids:
+        np.add.at(want, (v.rank[[end, *x[:-1]]], np.minimum(v.rank[x], attention_lm.CLASSES - 1)), 1)
+    counts = lm_score.pair_counts(df, v, end)
+    assert (counts == want).all()
+    pairs = attention_lm.Pairs.fit(counts)
+    query, (asked, had), side = pairs.queries(), pairs.wanted(), attention_lm.Moments.SIDE
+    sums = np.zeros((attention_lm.QUERIES, side, side + attention_lm.WIDTH))
+    for x in ids:
+        said = v.rank[[end, *x[:-1]]]
+        for i in range(len(x)):
+            first = max(0, i // attention_lm.BLOCK * attention_lm.BLOCK - attention_lm.BLOCK)
+            near = [[pairs.emb[said[i - d]] for d in range(lo, hi + 1) if i - d >= first] for lo, hi in attention_lm.RANGES]
+            f = np.concatenate([np.mean(k, 0) if k else np.zeros(attention_lm.WIDTH) for k in near])
+            sums[query[said[i]]] += np.outer(f, [*f, *(asked[min(v.rank[x[i]], attention_lm.CLASSES - 1)] - had[said[i]])])
+    for held in (lm_score.HELD_TOKENS, 48):
+        monkeypatch.setattr(lm_score, "HELD_TOKENS", held)
+        m = attention_lm.Moments(pairs.emb, (asked, had), query)
+        for batch in df.toArrow().to_batches():
+            for part in lm_score.contexts(batch, v.rank, end):
+                m.add(*part)
+        assert m.n.sum() == sum(map(len, ids))
+        assert np.allclose(m.sums, sums, rtol=1e-3, atol=1e-3 * np.abs(sums).max())
+
+
 def test_lm_gradients():
     ranks, m, _, _ = tiny()
     x, before, target, weight = attention_lm.layout(ranks, 7)
