@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -466,6 +467,73 @@ def test_lm_learns_from_all_tokens(spark, monkeypatch):
         assert np.allclose(m.sums, sums, rtol=1e-3, atol=1e-3 * np.abs(sums).max())
 
 
+def test_lm_splits_words_at_ascii_space_alone(monkeypatch):
+    texts = ["", None, " ", "\t\n a  B ", "Z\xc9z\x0bq\x1cr\xa0s t\u2028u", "x" * 300, ("y" * 70 + " ") * 9, "w " * 500, " " * 400, " " * 300 + "A b" + " " * 300, "a a", "end"]
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts]
+    for size in (lm_score.SLICE, 1_000, 100, 3):
+        monkeypatch.setattr(lm_score, "SLICE", size)
+        for column in (pa.array(texts), pa.array(["skipped", *texts]).slice(1)):
+            got, over = [[] for _ in texts], Counter()
+            for first, ends, n, index, told in lm_score.split_words(column):
+                assert told.to_pylist() == lm_score._values(told) and len(set(told.to_pylist())) == len(told)
+                for k, own in enumerate(np.split(index, np.cumsum(n)[:-1]), first):
+                    got[k] += told.take(pa.array(own)).to_pylist()
+                    over[k] += ends
+            assert got == want and set(over.values()) == {1} and len(over) == len(texts)
+
+
+def test_lm_looks_up_and_spells_each_different_word_once():
+    looked, alone = Counter(), []
+
+    class Seen(dict):
+        def get(self, key):
+            looked[key] += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            looked[key] += 1
+            return super().__getitem__(key)
+
+    s = speller()
+    words = [b"w%d" % (i % 300) for i in range(3_000)] + ["odd\xa0word".encode(), b"x" * 400]
+    want = b"".join(map(s.spell, words))
+    plain = s.spell
+    s.known, s.spell = Seen(), lambda w: alone.append(w) or plain(w)
+    assert s.ids(words) == want
+    assert max(looked.values()) == 1 and len(alone) <= 20  # two odd words don't slow the others down
+    looked.clear()
+    assert s.ids(words) == want and max(looked.values()) == 1
+
+
+def test_lm_solved_states_equal_a_direct_computation():
+    r = np.random.default_rng(12)
+    ranks = [r.integers(0, 300, n).astype(np.int32) for n in (1, 5, 16, 17, 32, 33, 64, 200, 700)]
+    counts = np.zeros((attention_lm.KNOWN + 1, attention_lm.CLASSES), int)
+    for t in ranks:
+        np.add.at(counts, (np.append(7, t[:-1]), np.minimum(t, attention_lm.CLASSES - 1)), 1)
+    pairs = attention_lm.Pairs.fit(counts)
+    query, block, ranges = pairs.queries(), attention_lm.BLOCK, attention_lm.RANGES
+    m = attention_lm.Moments(pairs.emb, pairs.wanted(), query)
+    m.add(*attention_lm.layout(ranks, 7))
+    states = attention_lm.Placed.fit(pairs, query, m.flat())
+    weigh = states.weigh.astype(float).reshape(2, block, attention_lm.QUERIES, len(ranges))
+    v, own, books = states.v.astype(float), states.own.astype(float), states.books.astype(float)
+    same = total = 0
+    for t, got in zip(ranks, np.split(attention_lm.follow_all(states, ranks, 7), np.cumsum([len(t) for t in ranks])[:-1])):
+        said = [7, *t.tolist()[:-1]]
+        for i in range(len(t)):
+            first, z, held = max(0, i // block * block - block), own[said[i]].copy(), 0
+            for k, (lo, hi) in enumerate(ranges):
+                near, w = [v[said[i - d]] for d in range(lo, hi + 1) if i - d >= first], weigh[int(i >= block), i % block, query[said[i]], k]
+                z, held = z + w * sum(near), held + w * len(near)
+            assert held < 1  # the sink has the rest
+            p = z @ books - (books**2).sum(0) / 2
+            coarse = int(p[: attention_lm.COARSE].argmax())
+            fine = int((p[attention_lm.COARSE :] - books[:, coarse] @ books[:, attention_lm.COARSE :]).argmax())
+            same, total = same + (got[i] == coarse * attention_lm.FINE + fine), total + 1
+    assert same >= total - 2  # two codes may be equally near to the last digit
+
+
 def test_lm_gradients():
     ranks, m, _, _ = tiny()
     x, before, target, weight = attention_lm.layout(ranks, 7)
